@@ -31,9 +31,32 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .common import Scratch
+
+    scratch = Scratch(spark, "op3")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    index = warc.write_bundles(warc.mark_revisits(pages, "html", "page_id"), "html", "page_id", "url", scratch.path("bundles"), scratch=scratch)
+    records = warc.read_records(index, payloads=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_bundles": op3_warc_bundles,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_bundles": """
+        WITH p AS (
+          SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+          FROM pages
+        ), m AS (
+          SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
+        FROM m""",
+}
