@@ -14,6 +14,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Fixed values of the contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), URL_RULES)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_column
 
@@ -44,6 +54,7 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_bundles": op3_warc_bundles,
+    "op4_url_filter": op4_url_filter,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_language_id": op9_language_id,
 }
