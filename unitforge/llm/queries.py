@@ -24,6 +24,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), URL_RULES)
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spotsigs as S
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = S.with_next(S.add_signatures(docs, "text", "sigs"), "doc_id", ["text", "sigs"], F.xxhash64("text"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
+    docs = S.add_signatures(docs, "edited", "edited_sigs")
+    return docs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), S.as_text(F.col("sigs")).alias("fingerprint"), S.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
+        S.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), S.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_column
 
@@ -41,6 +57,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: What the mixing query trains on and aims at: tokens by domain; toxic text is not wanted.
+DOMAIN_TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
+
+
+def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents: toxic, low (quality 0) or good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return mix(docs, label_domains(spark, sf_dir), DOMAIN_TARGETS)
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     from .common import Scratch
@@ -53,8 +87,10 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_warc_bundles": op3_warc_bundles,
     "op4_url_filter": op4_url_filter,
+    "op5_spotsigs": op5_spotsigs,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_language_id": op9_language_id,
 }
