@@ -36,44 +36,50 @@ def add_tokens(df: DataFrame, text: str) -> DataFrame:
 
 
 class Classifier:
-    """Naive Bayes on the presence of the words that tell most; tables are bounded by SLOTS whatever the corpus."""
+    """Naive Bayes on the presence and absence of the words that tell most; tables are bounded by SLOTS whatever the corpus.
 
-    def __init__(self, domains: list[str], prior: list[float], table: dict[str, tuple[int, list[float]]]):
-        self.domains, self.prior, self.table = domains, prior, table
+    start: log score of a text with none of the words, by domain; table: what each word adds when it is there.
+    """
+
+    def __init__(self, domains: list[str], start: list[float], table: dict[str, tuple[int, list[float]]]):
+        self.domains, self.start, self.table = domains, start, table
 
-    def posteriors(self, tokens: str) -> Column:
-        """Array of posteriors, in the order of domains, from a column of tokens."""
+    def add_posterior(self, df: DataFrame, tokens: str, out: str = "posterior") -> DataFrame:
+        """Append an array of posteriors, in the order of domains, from a column of tokens."""
         hits = F.filter(F.col(tokens), lambda w: w.isin(*self.table)) if self.table else F.array().cast("array<string>")
-        slots = F.transform(hits, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
-        logs = []
-        for k, prior in enumerate(self.prior):
+        df = df.withColumn("_slots", F.transform(hits, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+
+        def total(k: int) -> Column:
             weights = ["0"] * SLOTS
             for slot, w in self.table.values():
                 weights[slot] = repr(w[k])
             table = F.split(F.lit(",".join(weights)), ",").cast("array<double>")
-            logs.append(F.aggregate(slots, F.lit(math.log(prior)), lambda acc, i, t=table: acc + F.get(t, i)))
-        all_ = F.array(*logs)
-        odds = F.transform(all_, lambda x: F.exp(x - F.array_max(all_)))
-        return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+            return F.aggregate("_slots", F.lit(self.start[k]), lambda acc, i: acc + F.get(table, i))
 
+        names = [f"_log{k}" for k in range(len(self.domains))]
+        df = df.withColumns({name: total(k) for k, name in enumerate(names)})
+        df = df.withColumns({name: F.exp(F.col(name) - F.greatest(*names) if len(names) > 1 else F.lit(0.0)) for name in names})
+        whole = sum((F.col(name) for name in names[1:]), F.col(names[0]))
+        return df.withColumn(out, F.array(*[F.col(name) / whole for name in names])).drop("_slots", *names)
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", rows: int = 20_000, features: int = 400, least: float = 25.0, max_domains: int = 16) -> Classifier:
+
+def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", rows: int = 20_000, features: int = 100, least: float = 25.0, lift: float = 3.0, max_domains: int = 16) -> Classifier:
     """Fit on the labelled rows, a hash sample of about `rows` of them at most (a bound in rows, documented here).
 
     labelled: (key, domain); null keys and domains teach nothing, a key labelled twice counts with each label. features words
-    at most for each domain are kept, those with a G-statistic over `least`. Without labelled rows there is one domain, named "".
+    at most for each domain are kept, those with a G-statistic over `least` that are `lift` times as common there as elsewhere. Without labelled rows there is one domain, named "".
     """
     labelled = labelled.select(F.col(key).alias("key"), F.col(domain).alias("domain")).where("key is not null and domain is not null")
     total = labelled.count()
     if not total:
-        return Classifier([""], [1.0], {})
+        return Classifier([""], [0.0], {})
     if total > rows:
         labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
     known = labelled.join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
     own = add_tokens(known, "text").select("domain", "tokens")
     counts = {r[0]: r[1] for r in own.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(max_domains).collect()}
     if not counts:
-        return Classifier([""], [1.0], {})
+        return Classifier([""], [0.0], {})
     domains, n = sorted(counts), sum(counts.values())
     seen = own.where(F.col("domain").isin(domains)).select("domain", F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("all"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)]).where("all >= 5")
     table: dict[str, tuple[int, list[float]]] = {}
@@ -83,22 +89,23 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", te
         p = F.col("all") / F.lit(float(n))
         part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         g = 2 * (part(a, na * p) + part(b, nb * p) + part(na - a, na * (1 - p)) + part(nb - b, nb * (1 - p)))
-        for r in seen.withColumns({"g": g, "slot": F.pmod(F.xxhash64("w"), F.lit(SLOTS))}).where(F.col("g") > least).orderBy(F.desc("g"), "w").limit(features).collect():
+        for r in seen.withColumns({"g": g, "slot": F.pmod(F.xxhash64("w"), F.lit(SLOTS))}).where((F.col("g") > least) & (a * nb > lift * b * na)).orderBy(F.desc("g"), "w").limit(features).collect():
             if taken.get(r["slot"], -1.0) < r["g"]:
                 table = {w: x for w, x in table.items() if x[0] != r["slot"]}
                 taken[r["slot"]] = r["g"]
-                base = math.log((r["all"] + 1) / (n + 2))
-                table[r["w"]] = r["slot"], [math.log((r[f"c{j}"] + 1 * (r["all"] + 1) / (n + 2)) / (counts[e] + 1)) - base for j, e in enumerate(domains)]
-    return Classifier(domains, [(counts[d] + 1) / (n + len(domains)) for d in domains], table)
+                table[r["w"]] = r["slot"], [(r[f"c{j}"] + (r["all"] + 1) / (n + 2)) / (counts[e] + 1) for j, e in enumerate(domains)]
+    start = [math.log((counts[d] + 1) / (n + len(domains))) + sum(math.log1p(-x[1][k]) for x in table.values()) for k, d in enumerate(domains)]
+    return Classifier(domains, start, {w: (slot, [math.log(q) - math.log1p(-q) for q in odds]) for w, (slot, odds) in table.items()})
 
 
-def fit_rates(docs: DataFrame, targets: list[float], tokens: str = "n_tokens", posterior: str = "posterior", budget: float | None = None, rounds: int = 40, tolerance: float = 1e-5) -> tuple[list[list[float]], list[float], list[float]]:
-    """Projected-gradient least squares for nonnegative rates r: sum of n * p_k * r over documents -> targets_k * budget.
+def fit_rates(docs: DataFrame, targets: list[float], scratch: Scratch, tokens: str = "n_tokens", posterior: str = "posterior", budget: float | None = None, rounds: int = 20, tolerance: float = 1e-5, gain: float = 0.01) -> DataFrame:
+    """Append rate: nonnegative, so that the sum of n * p_k * rate over documents comes to targets_k * budget, by projected gradient.
 
-    The residual's gradient with respect to a document's rate is n * p . residual; scaled by 1/n (so that a rate depends on what a text
-    is, not on how long it is) and whitened by the domains' Gram matrix, a step of one is safe. Each round's K sums come from one
-    aggregation. Returns the steps (see rate()), the wanted and the reached totals. budget None: as many tokens as there are;
-    0: the most that asks no domain for more than it has.
+    A document's rate starts at one and moves against the gradient n * p . residual of the squared residual, then is cut at zero.
+    Scaled by 1/n (so that a rate depends on what a text is, not on how long it is) and whitened by the domains' Gram matrix, a
+    step of one is safe. A round's residual comes from one aggregation; each fifth round the rates are written, which cuts the
+    lineage. It ends within tolerance of the budget, when a round lessens the squared residual by less than gain, or after the
+    rounds. budget None: as many tokens as there are; 0: the most that asks no domain for more than it has.
     """
     k, p = len(targets), [F.get(F.col(posterior), i) for i in range(len(targets))]
     n = F.col(tokens).cast("double")
@@ -109,26 +116,25 @@ def fit_rates(docs: DataFrame, targets: list[float], tokens: str = "n_tokens", p
     if budget == 0:
         budget = min((h / g for h, g in zip(have, goal, strict=True) if g > 0), default=0.0)
     want = goal * (have.sum() if budget is None else budget)
+    docs = docs.withColumn("rate", F.lit(1.0))
     if have.sum() == 0:
-        return [], want.tolist(), have.tolist()
+        return docs
     inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(k))
-    steps: list[list[float]] = []
-    for _ in range(rounds):
-        if np.abs(have - want).max() <= tolerance * have.sum():
+    before = math.inf
+    for i in range(rounds):
+        off = have - want
+        now = float(off @ inverse @ off)
+        if np.abs(off).max() <= tolerance * max(want.sum(), 1.0) or now > (1 - gain) * before:
             break
-        steps.append((inverse @ (have - want)).tolist())
-        have = np.array([x or 0.0 for x in docs.agg(*[F.sum(n * x * rate(steps, posterior)) for x in p]).first()])
-    return steps, want.tolist(), have.tolist()
-
-
-def rate(steps: list[list[float]], posterior: str = "posterior") -> Column:
-    """A document's rate after the given steps: one each, then moved against the gradient and cut at zero step by step."""
-    out = F.lit(1.0)
-    for step in steps:
-        for i, x in enumerate(step):
-            out = out - F.get(F.col(posterior), i) * F.lit(x)
-        out = F.greatest(out, F.lit(0.0))
-    return out
+        before = now
+        moved = F.col("rate")
+        for x, step in zip(p, (inverse @ off).tolist(), strict=True):
+            moved = moved - x * F.lit(step)
+        docs = docs.withColumn("rate", F.greatest(moved, F.lit(0.0)))
+        if i % 5 == 4:
+            docs = scratch.keep(docs, "rates")
+        have = np.array([x or 0.0 for x in docs.agg(*[F.sum(n * x * F.col("rate")) for x in p]).first()])
+    return docs
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", budget: float | None = None, seed: int = 0) -> DataFrame:
@@ -139,11 +145,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
     tokens and the posteriors of its marks; repeated keys stay and get equal results for equal texts; an empty table gives none.
     """
     model = fit_classifier(docs, labelled, key, text)
-    slim = add_tokens(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text").withColumn("posterior", model.posteriors("tokens"))
-    slim = Scratch(docs.sparkSession, "mix").keep(slim.select("key", "n_tokens", "posterior"), "posteriors")
+    slim = add_tokens(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text")
+    slim = model.add_posterior(slim, "tokens")
+    scratch = Scratch(docs.sparkSession, "mix")
+    slim = scratch.keep(slim.select("key", "n_tokens", "posterior"), "posteriors")
     weights = [targets.get(d, 0.0) for d in model.domains]
-    steps, _, _ = fit_rates(slim, weights if sum(weights) else [1.0] * len(weights), budget=budget)
-    out = slim.withColumn("rate", rate(steps))
+    out = fit_rates(slim, weights if sum(weights) else [1.0] * len(weights), scratch, budget=budget)
     chance = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     best = F.get(F.array(*[F.lit(d) for d in model.domains]), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     return out.select(F.col("key").alias(key), "n_tokens", best.alias("domain"), "posterior", "rate", F.floor(F.col("rate") + chance).cast("long").alias("copies"))

@@ -193,4 +193,5 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         out = pd.DataFrame(rows, columns=["key", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"])
         return out.assign(key=out["key"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
 
-    return index.groupBy("bundle").applyInPandas(run, RECORD_SCHEMA)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the index is small, what it names is not
+    return index.repartition(tasks, "bundle").groupBy("bundle").applyInPandas(run, RECORD_SCHEMA)
