@@ -40,6 +40,12 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lsh_forest import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_column
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_bundles": op3_warc_bundles,
     "op4_url_filter": op4_url_filter,
     "op5_spotsigs": op5_spotsigs,
+    "op6_lsh_forest": op6_lsh_forest,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_language_id": op9_language_id,
 }
