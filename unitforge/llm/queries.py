@@ -81,6 +81,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, label_domains(spark, sf_dir), DOMAIN_TARGETS)
 
 
+def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rp_forest import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
     from .common import Scratch
@@ -94,6 +100,7 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_rp_forest": op2_rp_forest,
     "op3_warc_bundles": op3_warc_bundles,
     "op4_url_filter": op4_url_filter,
     "op5_spotsigs": op5_spotsigs,
