@@ -82,6 +82,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", te
         return Classifier([""], [0.0], {})
     domains, n = sorted(counts), sum(counts.values())
     seen = own.where(F.col("domain").isin(domains)).select("domain", F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("all"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)]).where("all >= 5")
+    seen = Scratch(docs.sparkSession, "mix").keep(seen, "words")
     table: dict[str, tuple[int, list[float]]] = {}
     taken: dict[int, float] = {}
     for i, d in enumerate(domains):
