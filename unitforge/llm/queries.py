@@ -54,6 +54,13 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_column
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return count_column(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "n_words")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_spotsigs": op5_spotsigs,
     "op6_lsh_forest": op6_lsh_forest,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_unigram_counts": op8_unigram_counts,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
