@@ -287,102 +287,123 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(least: int, common: np.ndarray):
-    """(id, v, at, code, fragment): the windows around a document's shared minimizers; those around very common ones one by one,
-    each under a code of its own, so that no shard gets all their surroundings."""
+    """(hot, code, fragment, id, v, at): the windows around a document's shared minimizers. Those around very common minimizers come one
+    by one as digests (hot), to be counted by Spark, so that no shard gets all their surroundings."""
+    names = ["hot", "code", "fragment", "id", "v", "at"]
+    kinds = [pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, kinds, places, codes, parts = [], [], [], [], []
+        rows: list[tuple] = []
 
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), pa.array(codes, pa.int64()), pa.array(parts, pa.binary())], names=["id", "v", "at", "code", "fragment"])
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+        for batch in batches:
             for i, t, listed, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 if len(raw) < least:
                     continue
                 code, first, end = minimizers(np.frombuffer(raw, dtype=np.uint8), least)
                 hot = np.isin(code, common)
-                for k in np.flatnonzero(np.isin(code, np.array(listed, dtype=np.int64)) | hot).tolist():
-                    a, b = int(first[k]), int(end[k])
-                    spans = [(p, raw[p : p + least]) for p in range(a, b)] if hot[k] else [(a, raw[a : b - 1 + least])]
-                    for p, part in spans:
-                        ids.append(i)
-                        kinds.append(v)
-                        places.append(p)
-                        codes.append(int.from_bytes(hashlib.blake2b(part, digest_size=7).digest(), "little") if hot[k] else int(code[k]))
-                        parts.append(part)
-                if len(ids) > 100_000:
+                some = np.flatnonzero(np.isin(code, np.array(listed, dtype=np.int64)) & ~hot)
+                for c, a, b in zip(code[some].tolist(), first[some].tolist(), end[some].tolist(), strict=True):
+                    rows.append((False, c, raw[a : b - 1 + least], i, v, a))
+                for a, b in zip(first[hot].tolist(), end[hot].tolist(), strict=True):
+                    rows += [(True, 0, hashlib.blake2b(raw[p : p + least], digest_size=16).digest(), i, v, p) for p in range(a, b)]
+                if len(rows) > 50_000:
                     yield out()
-                    ids, kinds, places, codes, parts = [], [], [], [], []
-            yield out()
+                    rows = []
+        yield out()
 
     return run
 
 
-def _holders(least: int):
-    """(mark, holders) of the distinct fragments of a partition, sorted by code: the smallest document of each window, packed.
+def _shard(least: int):
+    """(id, v, spans) of a partition's fragments: the removed runs of each occurrence, as packed pairs of start and end.
 
-    Fragments whose windows have no smaller holder than each of their documents stay out.
+    Occurrences of one code are together; codes are taken in rising order and sorted by suffix arrays of SHARD_BYTES at least.
+    Codes with one distinct fragment need no sorting: all its windows have the same smallest document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[int, bytes, int, int, bytes]] = []
-
-        def settle(rows: list) -> pa.RecordBatch:
-            alone = len({r[0] for r in rows}) == len(rows)
-            low = np.array([r[2] for r in rows], dtype=np.int64)
-            if alone:
-                found = [np.full(len(r[1]) - least + 1, r[2], dtype=np.int64) for r in rows]
-            else:
-                found = smallest_holders([r[1] for r in rows], low, least)
-            keep = [(r[4], h) for r, h in zip(rows, found, strict=True) if h.min() < r[3]]
-            return pa.RecordBatch.from_arrays([pa.array([m for m, _ in keep], pa.binary()), pa.array([h[:1].tobytes() if (h == h[0]).all() else h.tobytes() for _, h in keep], pa.binary())], names=["mark", "holders"])
-
-        def flush(rows: list) -> Iterator[pa.RecordBatch]:
-            """Single fragments of their code need no sorting."""
-            first = {}
-            for r in rows:
-                first[r[0]] = first.get(r[0], 0) + 1
-            for part in ([r for r in rows if first[r[0]] == 1], [r for r in rows if first[r[0]] > 1]):
-                if part:
-                    yield settle(part)
-
-        size, last = 0, None
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= SHARD_BYTES and row[0] != last:
-                    yield from flush(waiting)
-                    waiting, size = [], 0
-                waiting.append(row)
-                size, last = size + len(row[1]), row[0]
-        yield from flush(waiting)
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.concat_tables(parts).combine_chunks().sort_by("code")
+        code = table.column("code").to_numpy()
+        doc, kind, at = (table.column(c).to_numpy() for c in ("id", "v", "at"))
+        texts = table.column("fragment")
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))), len(code)).tolist()
+        out: list[tuple] = []
+        distinct: list[bytes] = []
+        low: list[int] = []
+        where: list[tuple[int, int]] = []  # row, fragment
+        size = 0
+
+        def emit(row: int, windows: int, h) -> None:
+            """h: the smallest document of every window, or one for all."""
+            i, start = int(doc[row]), int(at[row])
+            if np.ndim(h) == 0:
+                if h < i:
+                    out.append((i, int(kind[row]), np.array([start, start + windows - 1 + least], dtype="<i8").tobytes()))
+                return
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], h < i, [False])).view(np.int8)))
+            if len(edge):
+                pairs = edge.reshape(-1, 2) + start
+                pairs[:, 1] += least - 1
+                out.append((i, int(kind[row]), pairs.astype("<i8").tobytes()))
+
+        def settle() -> None:
+            nonlocal distinct, low, where, size
+            if distinct:
+                held = smallest_holders(distinct, np.array(low, dtype=np.int64), least)
+                same = [int(h[0]) if (h == h[0]).all() else None for h in held]
+                for row, f in where:
+                    emit(row, len(held[f]), held[f] if same[f] is None else same[f])
+            distinct, low, where, size = [], [], [], 0
+
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a == 1:
+                continue  # one occurrence: nobody else holds it
+            own = texts.slice(a, b - a).to_pylist()
+            index: dict[bytes, int] = {}
+            lowest: list[int] = []
+            for text, i in zip(own, doc[a:b].tolist(), strict=True):
+                if (f := index.get(text)) is None:
+                    index[text] = len(lowest)
+                    lowest.append(i)
+                elif i < lowest[f]:
+                    lowest[f] = i
+            if len(index) == 1:
+                for row in range(a, b):
+                    emit(row, len(own[0]) - least + 1, lowest[0])
+                continue
+            base = len(distinct)
+            distinct += index
+            low += lowest
+            where += [(a + k, base + index[text]) for k, text in enumerate(own)]
+            size += sum(map(len, index))
+            if size >= SHARD_BYTES:
+                settle()
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "v", "spans"])
+                out = []
+        settle()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "v", "spans"])
 
     return run
 
 
-def _spans(least: int):
-    """(id, v, spans): the removed runs that an occurrence of a fragment gives, as packed pairs of start and end."""
+def _windows(least: int):
+    """(id, v, spans) of single windows that are removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, spans = [], [], []
-            for i, v, at, windows, holders in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h = np.frombuffer(holders, dtype="<i8")
-                if len(h) == 1:
-                    if h[0] < i:
-                        ids.append(i)
-                        kinds.append(v)
-                        spans.append(np.array([at, at + windows - 1 + least], dtype="<i8").tobytes())
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], h < i, [False])).view(np.int8)))
-                if len(edge):
-                    ids.append(i)
-                    kinds.append(v)
-                    pairs = edge.reshape(-1, 2) + at
-                    pairs[:, 1] += least - 1
-                    spans.append(pairs.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(spans, pa.binary())], names=["id", "v", "spans"])
+            at = batch.column(2).to_numpy()
+            pairs = np.stack([at, at + least], axis=1).astype("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["id", "v", "spans"])
 
     return run
 
@@ -424,7 +445,7 @@ def _cut(least: int, kept_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, common_share: float = 0.01) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, common_share: float = 0.005) -> DataFrame:
     """df's rows without text, with n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text.
 
     Every byte is removed that a string of `least` bytes covers which also starts in a document with a smaller key. A null text counts as
@@ -433,8 +454,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     empty table gives an empty result. df's other columns stay, but for those named like the new ones. kept_text drops the rest of a
     UTF-8 character that a removed run cuts.
 
-    A sample of documents only finds minimizers that `common_share` of all documents hold, whose surroundings are dealt
-    out window by window; results don't depend on it.
+    A sample of documents only finds minimizers that `common_share` of all documents hold. Their surroundings are
+    counted window by window; results don't depend on it. Other minimizers' surroundings meet in one task each.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "suffix")
     least = max(least, GRAM + 8)
@@ -460,16 +481,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     if not len(common):
         listed = listed.where(F.size("codes") > 0)
     texts = docs.withColumn("h1", F.xxhash64("text")).join(listed, ["id", "h1"])
-    pieces = texts.select("id", "text", "codes", F.hash("text").alias("v")).mapInArrow(_fragments(least, common), "id long, v int, at long, code long, fragment binary")
-    pieces = scratch.keep(pieces.withColumn("mark", F.unhex(F.md5("fragment"))), "fragments")
-    distinct = pieces.groupBy("code", "fragment", "mark").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shards = distinct.repartition(max(partitions, (total["bytes"] or 0) // 32_000_000), "code").sortWithinPartitions("code", "mark")
-    held = scratch.keep(shards.select("code", "fragment", "low", "high", "mark").mapInArrow(_holders(least), "mark binary, holders binary"), "holders")
-    places = pieces.select("id", "v", "at", (F.length("fragment") - least + 1).cast("long").alias("windows"), "mark").join(held, "mark").select("id", "v", "at", "windows", "holders")
-    spans = places.mapInArrow(_spans(least), "id long, v int, spans binary").groupBy("id", "v").agg(F.collect_list("spans").alias("_spans"))
-    spans = scratch.keep(spans, "spans")
-    for done in (shared, pieces, held):
-        scratch.drop(done)
+    pieces = texts.select("id", "text", "codes", F.hash("text").alias("v")).mapInArrow(_fragments(least, common), "hot boolean, code long, fragment binary, id long, v int, at long")
+    pieces = scratch.keep(pieces, "fragments")
+    scratch.drop(shared)
+    shards = max(partitions, (total["bytes"] or 0) // 16_000_000)
+    spans = pieces.where("not hot").drop("hot").repartition(shards, "code").mapInArrow(_shard(least), "id long, v int, spans binary")
+    if len(common):
+        hot = pieces.where("hot").select("fragment", "id", "v", "at")
+        held = hot.groupBy("fragment").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("fragment", "low")
+        spans = spans.union(hot.join(held, "fragment").where("low < id").select("id", "v", "at").mapInArrow(_windows(least), "id long, v int, spans binary"))
+    spans = scratch.keep(spans.groupBy("id", "v").agg(F.collect_list("spans").alias("_spans")), "spans")
+    scratch.drop(pieces)
     copies = slim.join(firsts.where("rows > 1"), ["h1", "h2", "n"]).where("id > first").select("id", "v").distinct().withColumn("_copy", F.lit(True))
     facts = spans.join(copies, ["id", "v"], "full").withColumnsRenamed({"id": "_id", "v": "_v"})
     names = {"n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if kept_text else [])}
