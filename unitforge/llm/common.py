@@ -31,9 +31,17 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{tag}"
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write df and read it back, so that lost executors cost one scan and not the whole history."""
-        path = self.path(tag)
-        df.write.parquet(path)
+        """Write df and read it back, so that lost executors cost one scan and not the whole history.
+
+        The shuffle files of that job go when it ends: what comes after reads the table.
+        """
+        path, conf, name = self.path(tag), self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name, "false")
+        conf.set(name, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -147,7 +147,9 @@ def candidates(sets: DataFrame, scratch: Scratch, partitions: int, reach: int, t
     edges = found.where("a is null").select("tree", "key", "id", "n")  # a few rows a partition; neighbours across borders are met here
     met = edges.repartitionByRange(max(1, partitions // 16), "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInPandas(_neighbours(reach, threshold), PAIRS)
     both = found.where("a is not null").select("a", "b").union(met.where("a is not null").select("a", "b"))
-    return scratch.keep(both.groupBy("a", "b").agg(F.count("*").alias("votes")), "candidates")
+    out = scratch.keep(both.groupBy("a", "b").agg(F.count("*").alias("votes")), "candidates")
+    scratch.drop(found)
+    return out
 
 
 def _links(threshold: float):
@@ -202,6 +204,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     rest = found.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = first.union(settle(rest, "more"))
+    for done in (full, found, joined):
+        scratch.drop(done)
     member = connected_components(links, scratch)
     nodes = sets.select("same", F.col("id").alias("node")).join(member, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     out = rows.join(nodes, "same", "left")
