@@ -20,6 +20,9 @@ from .common import Scratch, connected_components
 
 #: Largest forest that is sent to all tasks: so many sample vectors a tree, so many of them in a leaf at least.
 SAMPLE, LEAF_SAMPLE = 20_000, 64
+#: Least half width of the band around a threshold, on projections whose standard deviation over all directions is one: a dense
+#: cluster in it goes to both sides whole.
+BAND = 0.15
 
 
 class Tree:
@@ -40,7 +43,8 @@ class Tree:
             return -self.leaves
         way = rng.standard_normal(x.shape[1])
         at = x @ way
-        low, high = np.quantile(at, [0.5 - spill, 0.5 + spill])
+        low, middle, high = np.quantile(at, [0.5 - spill, 0.5, 0.5 + spill])
+        low, high = min(low, middle - BAND), max(high, middle + BAND)
         node = len(self.ways)
         self.ways.append(way)
         self.low.append(low)
@@ -157,7 +161,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, trees: int = 12, leaf_size: int = 512, spill: float = 0.1) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, trees: int = 12, leaf_size: int = 256, spill: float = 0.04) -> DataFrame:
     """(key, n_links, component_id, kept): vectors joined by links of cosine >= threshold (double precision).
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing, nor do vectors of different
@@ -166,14 +170,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     The trees' upper part is grown on a sample of SAMPLE vectors at most; leaves that get far more than leaf_size of all
     vectors are split further by trees grown on samples of their own. What can't be split, or lies so close together that
-    splitting would part links, is compared by pairs of blocks of 2 * leaf_size vectors.
+    splitting would part links, is compared by pairs of blocks of 4 * leaf_size vectors.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "rpforest")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     rows = scratch.keep(rows.mapInPandas(_units, "id long, dim int, unit binary"), "units")
     sets = scratch.keep(rows.where("dim > 0 and id is not null").groupBy("dim", "unit").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "distinct")
     sizes = {r["dim"]: r["count"] for r in sets.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect()}
-    block, tight = 2 * leaf_size, math.cos(math.acos(threshold) / 2)
+    block, tight = 4 * leaf_size, math.cos(math.acos(threshold) / 2)
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     links = None
     for dim, n in sizes.items():
