@@ -73,7 +73,7 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def any_match(items: Column, test) -> Column:
-    return F.exists(F.coalesce(items, F.array().cast("array<string>")), test)
+    return F.exists(F.coalesce(items, F.array().cast("array<string>")), lambda x: test(x))
 
 
 def stable_topk(items: Column, limit: int) -> Column:
@@ -177,7 +177,7 @@ def domains(c: Column) -> Column:
 def audit_literals(strings: Column, lines: Column, limit: int = 16) -> Column:
     """struct of the twelve literal lists of a method; patterns run over its strings and its first 256 instructions."""
     text = F.array_join(F.concat(strings, F.slice(lines, 1, 256)), "\n")
-    picked = lambda test: F.filter(strings, test)
+    picked = lambda test: F.filter(strings, lambda x: test(x))
     lists = {
         "raw_strings_topk": strings, "urls_topk": extract(text, URL), "domains_topk": domains(text), "ips_topk": extract(text, IPV4), "http_headers_topk": picked(is_header),
         "intent_actions_topk": extract(text, INTENT_ACTION), "content_uris_topk": extract(text, CONTENT_URI), "file_paths_topk": extract(text, FILE_PATH), "emails_topk": extract(text, EMAIL),
