@@ -287,8 +287,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(least: int, common: np.ndarray):
-    """(hot, code, fragment, id, v, at): the windows around a document's shared minimizers. Those around very common minimizers come one
-    by one as digests (hot), to be counted by Spark, so that no shard gets all their surroundings."""
+    """(hot, code, fragment, id, v, at): the windows around a document's shared minimizers; hot marks those around common ones."""
     names = ["hot", "code", "fragment", "id", "v", "at"]
     kinds = [pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
@@ -306,11 +305,9 @@ def _fragments(least: int, common: np.ndarray):
                     continue
                 code, first, end = minimizers(np.frombuffer(raw, dtype=np.uint8), least)
                 hot = np.isin(code, common)
-                some = np.flatnonzero(np.isin(code, np.array(listed, dtype=np.int64)) & ~hot)
-                for c, a, b in zip(code[some].tolist(), first[some].tolist(), end[some].tolist(), strict=True):
-                    rows.append((False, c, raw[a : b - 1 + least], i, v, a))
-                for a, b in zip(first[hot].tolist(), end[hot].tolist(), strict=True):
-                    rows += [(True, 0, hashlib.blake2b(raw[p : p + least], digest_size=16).digest(), i, v, p) for p in range(a, b)]
+                some = np.flatnonzero(np.isin(code, np.array(listed, dtype=np.int64)) | hot)
+                for h, c, a, b in zip(hot[some].tolist(), code[some].tolist(), first[some].tolist(), end[some].tolist(), strict=True):
+                    rows.append((h, c, raw[a : b - 1 + least], i, v, a))
                 if len(rows) > 50_000:
                     yield out()
                     rows = []
@@ -396,14 +393,74 @@ def _shard(least: int):
     return run
 
 
-def _windows(least: int):
-    """(id, v, spans) of single windows that are removed."""
+def _settled(rows: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+    packed = [h[:1].tobytes() if (h == h[0]).all() else h.tobytes() for _, h in rows]
+    return pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.binary()), pa.array(packed, pa.binary())], names=["mark", "holders"])
+
+
+def _holders(least: int):
+    """(mark, holders) of distinct fragments: the smallest document of each window, packed; one value where all windows agree.
+
+    Fragments none of whose windows has a smaller document than their largest one stay out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.concat_tables(parts).combine_chunks().sort_by("code")
+        code, low, high = (table.column(c).to_numpy() for c in ("code", "low", "high"))
+        fresh = np.concatenate(([True], code[1:] != code[:-1]))
+        alone = fresh & np.append(fresh[1:], True)
+        marks, texts = table.column("mark"), table.column("fragment")
+        for rows in (np.flatnonzero(alone & (low < high)), np.flatnonzero(~alone)):
+            a = 0
+            while a < len(rows):
+                b, size = a, 0
+                while b < len(rows) and (size < SHARD_BYTES or not fresh[rows[b]]):
+                    size += len(texts[int(rows[b])].as_py())
+                    b += 1
+                part = rows[a:b]
+                own = [texts[int(k)].as_py() for k in part]
+                held = [low[k : k + 1] for k in part] if alone[part[0]] else smallest_holders(own, low[part], least)
+                yield _settled([(marks[int(k)].as_py(), h) for k, h in zip(part, held, strict=True) if h.min() < high[k]])
+                a = b
+
+    return run
+
+
+def _each_window(least: int):
+    """(mark, at, window, low) of every window of distinct fragments, as digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(m, p, hashlib.blake2b(f[p : p + least], digest_size=16).digest(), x) for m, f, x in zip(*[batch.column(c).to_pylist() for c in ("mark", "fragment", "low")], strict=True) for p in range(len(f) - least + 1)]
+            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["mark", "at", "window", "low"])
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _settled([(m, np.array(h, dtype=np.int64)) for m, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+
+def _spans(least: int):
+    """(id, v, spans): the removed runs of each occurrence of a fragment, as packed pairs of start and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            pairs = np.stack([at, at + least], axis=1).astype("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["id", "v", "spans"])
+            out = []
+            for i, v, at, windows, holders in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                h = np.frombuffer(holders, dtype="<i8")
+                h = np.repeat(h, windows) if len(h) == 1 else h
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], h < i, [False])).view(np.int8)))
+                if len(edge):
+                    pairs = edge.reshape(-1, 2) + at
+                    pairs[:, 1] += least - 1
+                    out.append((i, v, pairs.astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["id", "v", "spans"])
 
     return run
 
@@ -445,7 +502,7 @@ def _cut(least: int, kept_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, common_share: float = 0.005) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, often: int = 2, crowd: int = 50_000) -> DataFrame:
     """df's rows without text, with n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text.
 
     Every byte is removed that a string of `least` bytes covers which also starts in a document with a smaller key. A null text counts as
@@ -454,8 +511,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     empty table gives an empty result. df's other columns stay, but for those named like the new ones. kept_text drops the rest of a
     UTF-8 character that a removed run cuts.
 
-    A sample of documents only finds minimizers that `common_share` of all documents hold. Their surroundings are
-    counted window by window; results don't depend on it. Other minimizers' surroundings meet in one task each.
+    A sample of documents only finds common minimizers: those that `often` of its documents hold. Their fragments are
+    aggregated before they are dealt out, so that a fragment of very many documents is one row; if more than `crowd` different
+    fragments of a minimizer are left, as around a passage of very many documents, they are compared window by window through an aggregation.
+    Results depend on none of the three. Other minimizers' occurrences meet in one task each.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "suffix")
     least = max(least, GRAM + 8)
@@ -469,8 +528,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
         common = np.zeros(0, dtype=np.int64)
     else:
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total["docs"]))).select("text").distinct()
-        often = part.mapInArrow(_codes(least), "code long").groupBy("code").count().where(F.col("count") >= max(8, int(common_share * min(sample, total["docs"]))))
-        common = np.array([r["code"] for r in often.collect()], dtype=np.int64)
+        found = part.mapInArrow(_codes(least), "code long").groupBy("code").count().where(F.col("count") >= often)
+        common = np.array([r["code"] for r in found.collect()], dtype=np.int64)  # bounded by the sample
     buckets = 4 * max(partitions, (total["bytes"] or 0) // 16_000_000)
     packed = docs.mapInArrow(_packed(least, buckets, common), "bucket int, codes binary, docs binary")
     shared = scratch.keep(packed.repartition(max(1, buckets // 4), "bucket").mapInArrow(_shared, "id long, code long"), "shared")
@@ -487,9 +546,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     shards = max(partitions, (total["bytes"] or 0) // 16_000_000)
     spans = pieces.where("not hot").drop("hot").repartition(shards, "code").mapInArrow(_shard(least), "id long, v int, spans binary")
     if len(common):
-        hot = pieces.where("hot").select("fragment", "id", "v", "at")
-        held = hot.groupBy("fragment").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("fragment", "low")
-        spans = spans.union(hot.join(held, "fragment").where("low < id").select("id", "v", "at").mapInArrow(_windows(least), "id long, v int, spans binary"))
+        hot = pieces.where("hot").withColumn("mark", F.unhex(F.md5("fragment")))
+        distinct = hot.groupBy("code", "mark").agg(F.first("fragment").alias("fragment"), F.min("id").alias("low"), F.max("id").alias("high"))
+        distinct = scratch.keep(distinct, "distinct")
+        crowded = scratch.keep(distinct.groupBy("code").count().where(F.col("count") > crowd).select("code"), "crowded")
+        held = distinct.join(crowded, "code", "left_anti").repartition(shards, "code").mapInArrow(_holders(least), "mark binary, holders binary")
+        if not crowded.isEmpty():
+            windows = distinct.join(crowded, "code", "left_semi").mapInArrow(_each_window(least), "mark binary, at int, window binary, low long")
+            lowest = windows.groupBy("window").agg(F.min("low").alias("holder"))
+            lists = windows.join(lowest, "window").groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("at", "holder"))).alias("h"))
+            held = held.union(lists.select("mark", F.transform("h", lambda x: x["holder"]).alias("h")).mapInArrow(_pack, "mark binary, holders binary"))
+        places = hot.select("id", "v", "at", (F.length("fragment") - least + 1).cast("long").alias("windows"), "mark").join(held, "mark")
+        spans = spans.union(places.select("id", "v", "at", "windows", "holders").mapInArrow(_spans(least), "id long, v int, spans binary"))
     spans = scratch.keep(spans.groupBy("id", "v").agg(F.collect_list("spans").alias("_spans")), "spans")
     scratch.drop(pieces)
     copies = slim.join(firsts.where("rows > 1"), ["h1", "h2", "n"]).where("id > first").select("id", "v").distinct().withColumn("_copy", F.lit(True))
