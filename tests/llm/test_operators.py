@@ -89,11 +89,11 @@ def removed(rows, least=50):
     return out
 
 
-@pytest.mark.parametrize("sample", [4096, 1])
-def test_suffix_dedup(spark, sample):
+@pytest.mark.parametrize(("sample", "crowd"), [(4096, 50_000), (4096, 1), (1, 50_000)])
+def test_suffix_dedup(spark, sample, crowd):
     rows = corpus(seed=8)
     df = spark.createDataFrame(rows, DOCS).withColumns({"n_spans": F.lit("clash"), "id": F.lit(7)})
-    got = suffix_dedup.remove_repeats(df, sample=sample, kept_text=True).collect()
+    got = suffix_dedup.remove_repeats(df, sample=sample, crowd=crowd, kept_text=True).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed(rows)
     assert {r["id"] for r in got} == {7}
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
