@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SEMANTIC, SYMBOLIC, VIEWS
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -122,16 +123,15 @@ def _fold(p: Params, weights: dict[str, float], views: list[str]):
 def token_shards(units: DataFrame, rounds: int = 30) -> DataFrame:
     """units with shard: the smallest ord of the component of units and tokens that a unit belongs to.
 
-    Labels spread from units to tokens and back until none falls; each fourth round is checkpointed where a folder is named.
+    Labels spread from units to tokens and back until none falls; every round is checkpointed.
     """
-    folder = units.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    pairs = units.select("ord", F.explode("psi").alias("token"))
+    pairs = cut(units.select("ord", F.explode("psi").alias("token")))
     label = units.select("ord", F.col("ord").alias("shard"))
-    for i in range(rounds):
+    for _ in range(rounds):
         low = pairs.join(label, "ord").groupBy("token").agg(F.min("shard").alias("low"))
         new = pairs.join(low, "token").groupBy("ord").agg(F.min("low").alias("shard"))
         jumped = new.join(label.select(F.col("ord").alias("shard"), F.col("shard").alias("up")), "shard").select("ord", F.least("shard", "up").alias("shard"))
-        jumped = jumped.checkpoint() if folder and i % 4 == 3 else jumped.cache()
+        jumped = cut(jumped)
         same = jumped.join(label.withColumnRenamed("shard", "old"), "ord").where("shard <> old").isEmpty()
         label = jumped
         if same:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .lineage import cut
 
 NO_CUT = 1e9
 
@@ -95,7 +96,7 @@ def khop(adj: DataFrame, sources: DataFrame, k: int, keys: list[str], extra: lis
     frontier, steps = found, adj.where("src <> dst").select(*keys, F.col("src").alias("node_id"), F.col("dst").alias("next"))
     for d in range(1, k + 1):
         new = frontier.join(steps, [*keys, "node_id"]).select(*own, F.col("next").alias("node_id")).distinct()
-        frontier = new.join(found.select(*own, "node_id"), [*own, "node_id"], "left_anti").withColumn("dist", F.lit(d))
+        frontier = cut(new.join(found.select(*own, "node_id"), [*own, "node_id"], "left_anti").withColumn("dist", F.lit(d)))
         found = found.union(frontier)
     return found
 
@@ -136,8 +137,8 @@ def anchor_links(adj: DataFrame, nodes: DataFrame, vectors: DataFrame, keys: lis
     sens = nodes.where("is_sensitive = 1").select(*keys, "node_id")
     near = khop(adj, sens.withColumn("from", F.col("node_id")), hops, keys, ["from"]).where("dist > 0").join(sens, [*keys, "node_id"], "left_semi")
     h = vectors.select(*keys, "node_id", "h")
-    pairs = near.join(h, [*keys, "node_id"]).join(h.withColumnsRenamed({"node_id": "from", "h": "g"}), [*keys, "from"])
-    return pairs.select(*keys, F.col("from").alias("src"), F.col("node_id").alias("dst"), V.cosine(F.col("g"), F.col("h")).alias("sim")).where(F.col("sim") >= threshold)
+    pairs = near.join(h, [*keys, "node_id"]).join(h.withColumnsRenamed({"node_id": "from", "h": "_from_h"}), [*keys, "from"])
+    return pairs.select(*keys, F.col("from").alias("src"), F.col("node_id").alias("dst"), V.cosine(F.col("_from_h"), F.col("h")).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def anchor_groups(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,7 +151,7 @@ def anchor_groups(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFr
 def ppr(adj: DataFrame, seeds: DataFrame, keys: list[str], extra: list[str] = (), alpha: float = 0.15, iterations: int = 25, mask: DataFrame | None = None) -> DataFrame:
     """(keys, extra, node_id, ppr) after so many rounds from the distinct seeds; a node without neighbours in the mask loses its mass.
 
-    A round is one join and one sum. Each fifth round is checkpointed where the session names a folder for that.
+    A round is one join and one sum; each fifth round is checkpointed.
     """
     own = [*keys, *extra]
     seeds = seeds.select(*own, "node_id").distinct()
@@ -163,14 +164,12 @@ def ppr(adj: DataFrame, seeds: DataFrame, keys: list[str], extra: list[str] = ()
     steps = steps.withColumn("share", F.col("mult") / F.sum("mult").over(Window.partitionBy(*by, "node_id"))).drop("mult")
     p = start.select(*own, "node_id", F.col("s").alias("p"))
     base = start.select(*own, "node_id", (F.col("s") * alpha).alias("p"))
-    folder = seeds.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    if folder:
-        steps = steps.checkpoint()
+    steps, base = cut(steps), cut(base)
     for i in range(iterations):
         moved = p.join(steps, [*by, "node_id"]).select(*own, F.col("next").alias("node_id"), (F.col("p") * F.col("share") * (1 - alpha)).alias("p"))
         p = base.union(moved).groupBy(*own, "node_id").agg(F.sum("p").alias("p"))
-        if folder and i % 5 == 4:
-            p = p.checkpoint()
+        if i % 5 == 4:
+            p = cut(p)
     return p.withColumnRenamed("p", "ppr")
 
 
@@ -235,7 +234,7 @@ def sweep_cut(adj: DataFrame, candidates: DataFrame, anchors: DataFrame, keys: l
     own = [*keys, *extra]
     marks = anchors.select(*own, "node_id").distinct().withColumn("is_anchor", F.lit(1))
     rows = candidates.select(*own, "node_id", "score").join(marks, [*own, "node_id"], "left").na.fill(0, ["is_anchor"])
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("is_anchor"), F.when(F.col("is_anchor") == 0, F.col("score")).desc_nulls_first(), "node_id")))
+    ranked = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("is_anchor"), F.when(F.col("is_anchor") == 0, F.col("score")).desc_nulls_first(), "node_id"))))
     a = ranked.select(*own, F.col("node_id").alias("src"), F.col("r").alias("r"))
     b = ranked.select(*own, F.col("node_id").alias("dst"), F.col("r").alias("q"))
     inner = a.join(adj, [*keys, "src"]).join(b, [*own, "dst"])
@@ -247,9 +246,9 @@ def sweep_cut(adj: DataFrame, candidates: DataFrame, anchors: DataFrame, keys: l
     rows = rows.join(need, own, "left").withColumns({
         "boundary": F.sum(F.col("deg") - 2 * F.col("back")).over(upto), "vol": F.sum("deg").over(upto), "total": F.sum("deg").over(whole), "held": F.sum("is_anchor").over(upto),
     })
-    cut = F.col("boundary") / F.greatest(F.lit(1), F.least("vol", F.greatest(F.col("total") - F.col("vol"), F.lit(1))))
+    conductance = F.col("boundary") / F.greatest(F.lit(1), F.least("vol", F.greatest(F.col("total") - F.col("vol"), F.lit(1))))
     ok = (F.col("held") == F.coalesce("anchors", F.lit(0))) & F.col("r").between(min_nodes, max_nodes)
-    best = F.min(F.when(ok, F.struct(cut.alias("phi"), F.col("r").alias("k")))).over(whole)
+    best = F.min(F.when(ok, F.struct(conductance.alias("phi"), F.col("r").alias("k")))).over(whole)
     rows = rows.withColumn("best", best)
     fill = F.greatest(F.coalesce("anchors", F.lit(0)), F.lit(min_nodes))
     picked = rows.where(F.when(F.col("best").isNotNull(), F.col("r") <= F.col("best.k")).otherwise(F.col("r") <= fill))
@@ -281,20 +280,23 @@ def unit_edges(edges: DataFrame, members: DataFrame, keys: list[str], extra: lis
 def mine_units(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, keys: list[str], link_hops: int = 3, link_threshold: float = 0.55, hops: int = 4, alpha: float = 0.15, iterations: int = 25, weights: tuple[float, float, float] = (0.45, 0.25, 0.10), min_nodes: int = 8, max_nodes: int = 120, keep_external: bool = True, drop_external: bool = True, split: bool = True) -> DataFrame:
     """(keys, group_id, unit_id, node_id, score, phi, is_anchor): behaviour units around the groups of sensitive nodes.
 
+    Tables that several steps read are checkpointed.
+
     Per group: candidates within hops, ranks among them, scores, sweep cut, external pruning, components that hold an anchor and min_nodes
     nodes. unit_id counts units of a graph by group and smallest node. phi is that of the whole pick.
     """
-    adj = adjacency(edges, keys)
-    groups = anchor_groups(nodes, anchor_links(adj, nodes, vectors, keys, link_hops, link_threshold), keys)
+    adj = cut(adjacency(edges, keys))
+    groups = cut(anchor_groups(nodes, anchor_links(adj, nodes, vectors, keys, link_hops, link_threshold), keys))
     extra, own = ["group_id"], [*keys, "group_id"]
-    candidates = khop(adj, groups, hops, keys, extra)
+    candidates = cut(khop(adj, groups, hops, keys, extra))
     ranks = ppr_per_graph(adj, groups, keys, extra, alpha, iterations, candidates)
-    scored = node_scores(candidates, ranks, vectors, groups, keys, extra, weights)
+    scored = cut(node_scores(candidates, ranks, vectors, groups, keys, extra, weights))
     if not keep_external:
         scored = scored.join(nodes.where("is_external = 0").select(*keys, "node_id"), [*keys, "node_id"], "left_semi")
     picked = sweep_cut(adj, scored, groups, keys, extra, min_nodes, max_nodes)
     if keep_external and drop_external:
         picked = prune_external(picked, nodes, adj, groups, keys, extra)
+    picked = cut(picked)
     if split:
         member = picked.select(*own, F.col("node_id").cast("int").alias("node_id"))
         inside = unit_edges(adj, member, keys, extra).select(*own, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))

@@ -12,6 +12,7 @@ from ..functions import state as S
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import cluster, decide, graph, retrieve, units
+from ..operators.lineage import cut
 from ..sources import readers
 from . import bindings as B
 
@@ -139,9 +140,10 @@ def anti_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calls = B.calls(spark, sf_dir)
-    nodes = graph.build_nodes(B.methods(spark, sf_dir), calls, B.api_perms(spark, sf_dir), B.KEYS)
-    return nodes, graph.build_edges(nodes, calls, B.KEYS)
+    """Node and edge tables, checkpointed: what follows reads each several times."""
+    calls = cut(B.calls(spark, sf_dir).distinct())
+    nodes = cut(graph.build_nodes(B.methods(spark, sf_dir), calls, B.api_perms(spark, sf_dir), B.KEYS))
+    return nodes, cut(graph.build_edges(nodes, calls, B.KEYS))
 
 
 @query(f"WITH {B.NODES_SQL}, n AS (SELECT g, count(*) AS num_nodes, sum(1 - is_external) AS num_internal, sum(is_external) AS num_external, sum(is_sensitive) AS num_sensitive FROM nodes GROUP BY g), e AS (SELECT g, count(*) AS num_edges, count_if(is_fwd) AS num_edges_fwd FROM edges GROUP BY g) SELECT g, num_nodes, num_internal, num_external, num_sensitive, num_edges, num_edges_fwd FROM n JOIN e USING (g)")
@@ -206,10 +208,10 @@ _SWEEP = f"""{_HOPS}, deg AS (SELECT g, src AS node_id, sum(mult) AS d FROM adj
 
 def _picked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     nodes, edges = _graph(spark, sf_dir)
-    adj, anchors = graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1").select("g", "node_id")
+    adj, anchors = cut(graph.adjacency(edges, B.KEYS)), nodes.where("is_sensitive = 1").select("g", "node_id")
     near = graph.khop(adj, anchors, 2, B.KEYS)
     scored = near.join(graph.degrees(adj, B.KEYS), ["g", "node_id"], "left").select("g", "node_id", F.coalesce("deg", F.lit(0)).cast("double").alias("score"))
-    return nodes, adj, anchors, graph.sweep_cut(adj, scored, anchors, B.KEYS)
+    return nodes, adj, anchors, cut(graph.sweep_cut(adj, scored, anchors, B.KEYS))
 
 
 @query(f"{_SWEEP} SELECT g, count(*) AS n, sum(a) AS anchors, sum(node_id) AS ids, round(max(phi), 6) AS phi FROM picked GROUP BY g")

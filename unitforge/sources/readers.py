@@ -125,7 +125,8 @@ def permission_map(texts: DataFrame, column: str = "value") -> DataFrame:
 
     Only the text up to a line's first > is read, so constructors have no signature.
     """
-    lines = texts.select(F.monotonically_increasing_id().alias("doc"), F.posexplode(F.split(column, r"\r?\n")).alias("pos", "line"))
+    numbered = texts.withColumn("doc", F.monotonically_increasing_id())
+    lines = numbered.select("doc", F.posexplode(F.split(column, r"\r?\n")).alias("pos", "line"))
     lines = lines.withColumn("line", T.strip(F.col("line")))
     perm = F.when(F.col("line").startswith("Permission:"), T.strip(F.regexp_replace("line", r"\APermission:", "")))
     above = F.last(perm, ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
