@@ -103,7 +103,7 @@ def parse_smali(files: DataFrame, keys: list[str]) -> DataFrame:
     row. Lines are split, numbered and grouped as arrays within the file's row, so there is no shuffle.
     """
     lines = F.transform(F.split("body", r"\r?\n"), T.strip)
-    named = files.withColumn("_lines", lines).withColumn("_class", F.element_at(F.filter("_lines", lambda x: x.startswith(".class ")), 1))
+    named = files.withColumn("_lines", lines).withColumn("_class", F.get(F.filter("_lines", lambda x: x.startswith(".class ")), 0))
     cls = F.regexp_replace(F.element_at(F.split("_class", r"\s+"), -1), r"\AL|;\z", "")
     blocks = F.filter(F.transform(F.slice(F.split("body", r"(?m)^\s*\.method\s+"), 2, 1 << 30), lambda b: F.regexp_extract(b, r"(?s)\A(.*?)(?:\r?\n\s*\.end method|\z)", 1)), lambda b: F.trim(b) != "")
     rows = named.where("_class is not null").select(*keys, "file", cls.alias("class_name"), F.posexplode(blocks).alias("method_ord", "_block"))
