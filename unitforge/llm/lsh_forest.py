@@ -23,6 +23,9 @@ WIDTH = 5
 TREES, STEP, DEPTH = 16, 4, 8
 #: Least number of components that neighbours share from an order's start.
 LEAST = 2
+#: Lists of documents with candidates up to so many ids (8 bytes each) are broadcast, so that texts stay where they are; longer ones
+#: are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 COMPONENTS = TREES * STEP
 _random = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,7 +191,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     own = rows.where("same is not null and id is not null")
     sets = scratch.keep(own.groupBy("same").agg(F.min(F.struct("id", "n_shingles", "sign")).alias("x")).select("same", "x.*").dropDuplicates(["id"]), "sets")
     found = candidates(sets, scratch, partitions, reach, threshold)
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = scratch.keep(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    if ends.count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
     wanted = docs.join(ends, "id", "left_semi").dropDuplicates(["id"])
     full = scratch.keep(wanted.mapInPandas(_full_sets, "id long, s binary"), "full")
 
