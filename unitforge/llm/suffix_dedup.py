@@ -261,7 +261,7 @@ def _packed(least: int, buckets: int, common: np.ndarray):
             order = np.argsort(at.astype(np.uint16) if buckets <= 65536 else at, kind="stable")
             at, code, doc = at[order], code[order], doc[order]
             cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-            out = [(int(at[a]), code[a:b].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.diff(doc[a:b], prepend=0).astype("<i8")) for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True)]
+            out = [(int(at[a]), code[a:b].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.diff(doc[a:b], prepend=0).astype("<i8")) for a, b in zip(cuts, [*cuts[1:], len(at)][: len(cuts)], strict=True)]
             docs = [x.astype("<i4").tobytes() if len(x) == 0 or np.abs(x).max() < 1 << 31 else b"L" + x.tobytes() for _, _, x in out]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array(docs, pa.binary())], names=["bucket", "codes", "docs"])
 
