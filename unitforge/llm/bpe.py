@@ -63,7 +63,7 @@ class _Cache:
 class ChunkEncoder:
     """Encodes texts through word and chunk caches of bounded size."""
 
-    def __init__(self, path: str, mean_chars: int = 1024, words: int = 400_000, chunks: int = 10_000):
+    def __init__(self, path: str, mean_chars: int = 1024, words: int = 150_000, chunks: int = 4_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)

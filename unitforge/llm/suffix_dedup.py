@@ -25,7 +25,9 @@ GRAM = 20
 #: Alphabets of reduced strings up to this size are sorted by induction again, larger ones by doubling ranks: the loop
 #: over buckets runs in Python and would cost more than it sorts.
 MAX_BUCKETS = 1024
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
+#: Rows of a batch that are worked on at once.
+SLICE = 2048
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -232,6 +234,12 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _codes(least: int):
     """Distinct minimizers of each document, a row each: for the sample that finds very common ones."""
 
@@ -247,7 +255,7 @@ def _packed(least: int, buckets: int, common: np.ndarray):
     """(bucket, codes, documents): the batch's distinct minimizers as packed arrays, in the documents' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             codes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = _bytes(t)
@@ -298,7 +306,7 @@ def _fragments(least: int, common: np.ndarray):
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in _sliced(batches):
             for i, t, listed, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 if len(raw) < least:
