@@ -59,6 +59,13 @@ def _presence(column: str):
     return run
 
 
+def _normed(bits: pd.Series) -> np.ndarray:
+    """Rows of presence bits, unpacked and brought to length one: 128 KB each, so only some at a time."""
+    x = np.unpackbits(np.stack([np.frombuffer(b, dtype=np.uint8) for b in bits]), axis=1).astype(np.float64)
+    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+    return x
+
+
 class Model:
     """weights: DIM x languages; a text's scores are the sum of its buckets' rows over the root of their number."""
 
@@ -88,19 +95,17 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     got = sample.mapInPandas(_presence("text"), "lang string, order double, bits binary").orderBy("order", "bits").limit(2 * per_lang * len(sizes)).toPandas()
     if got.empty:
         return None
-    x = np.unpackbits(np.stack([np.frombuffer(b, dtype=np.uint8) for b in got["bits"]]), axis=1).astype(np.float64)
-    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
     langs = sorted(got["lang"].unique())
     y = np.where(got["lang"].to_numpy()[:, None] == np.array(langs, dtype=object)[None, :], 1.0, -1.0)
-    chosen = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
-    marks = x[chosen]
+    chosen = np.unique(np.linspace(0, len(got) - 1, min(landmarks, len(got))).astype(int))
+    marks = _normed(got["bits"].iloc[chosen])
     values, vectors = np.linalg.eigh(marks @ marks.T)
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # inverse root of the landmarks' kernel
-    phi = (x @ marks.T) @ root
+    phi = np.concatenate([_normed(got["bits"].iloc[a : a + 256]) @ marks.T for a in range(0, len(got), 256)]) @ root
     classes = (y > 0).sum(0)
-    weight = ((y > 0) / classes).sum(1)[:, None] * len(x) / len(langs)  # each language counts alike
-    w = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ (weight * y))
+    weight = ((y > 0) / classes).sum(1)[:, None] * len(got) / len(langs)  # each language counts alike
+    w = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(got) * np.eye(phi.shape[1]), phi.T @ (weight * y))
     return Model(langs, (marks.T @ (root @ w)).astype(np.float32))
 
 
