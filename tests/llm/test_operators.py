@@ -72,6 +72,26 @@ def test_lsh_forest(spark):
     assert lsh_forest.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("hubs", [1, 12])
+def test_lsh_forest_star(spark, hubs):
+    """Copies that link with their original and seldom with each other; twelve originals have one half in common."""
+    rng = random.Random(9)
+    shared, rows = [f"s{i}" for i in range(60)] if hubs > 1 else [], []
+    for h in range(hubs):
+        base = shared + [f"b{h}-{i}" for i in range(104 - len(shared))]
+        rows.append((len(rows) + 5000, " ".join(base)))
+        for _ in range(1000 // hubs):
+            own = list(base)
+            for at in (rng.randrange(4, 50), rng.randrange(55, 99), 103):
+                own[at] = f"e{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    sets = {i: set(lsh_forest.shingles(t).tolist()) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = union(pairs, sets)
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want, f"{sum(got[i] != want[i] for i in want)} of {len(want)} wrong"
+
+
 def removed(rows, least=50):
     rows = [(i, (t or "").encode()) for i, t in rows]
     first = {}

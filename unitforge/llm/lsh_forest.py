@@ -26,6 +26,8 @@ LEAST = 2
 #: Lists of documents with candidates up to so many ids (8 bytes each) are broadcast, so that texts stay where they are; longer ones
 #: are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Documents on either side of a block in which a long run is compared.
+BLOCK_ROWS = 256
 COMPONENTS = TREES * STEP
 _random = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,7 +150,7 @@ def candidates(sets: DataFrame, scratch: Scratch, partitions: int, reach: int, t
     rows = sets.select("id", "n_shingles", "sign").mapInPandas(_orders, "tree int, key binary, id long, n long")
     found = scratch.keep(rows.repartitionByRange(partitions, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInPandas(_neighbours(reach, threshold), PAIRS), "neighbours")
     edges = found.where("a is null").select("tree", "key", "id", "n")  # a few rows a partition; neighbours across borders are met here
-    met = edges.repartitionByRange(max(1, partitions // 16), "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInPandas(_neighbours(reach, threshold), PAIRS)
+    met = edges.repartition(1).sortWithinPartitions("tree", "key", "id").mapInPandas(_neighbours(reach, threshold), PAIRS)
     both = found.where("a is not null").select("a", "b").union(met.where("a is not null").select("a", "b"))
     out = scratch.keep(both.groupBy("a", "b").agg(F.count("*").alias("votes")), "candidates")
     scratch.drop(found)
@@ -173,6 +175,66 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t).tobytes() for t in pdf["text"]]})
 
 
+def _runs(sets: DataFrame, member: DataFrame, reach: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Runs of documents that share LEAST components from an order's start, if neighbours don't cover them and they are in several components.
+
+    Gives (tree, run, size, minors, main), minors being the documents outside the run's largest component `main`, and all rows
+    (tree, run, id, n, c, sign).
+    """
+    rows = sets.join(member.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("c"), "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.withColumn("run", F.expr(f"substring(sign, {4 * STEP} * tree + 1, {4 * LEAST})"))
+    parts = rows.groupBy("tree", "run", "c").agg(F.count("*").alias("k"))
+    runs = parts.groupBy("tree", "run").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).where(F.col("size") > F.greatest("top.k", F.lit(reach + 1)))
+    return scratch.keep(runs.select("tree", "run", "size", (F.col("size") - F.col("top.k")).alias("minors"), F.col("top.c").alias("main")), "runs"), rows
+
+
+def _blocks(threshold: float):
+    """Links between a block of a run's minor documents (side 0) and a block of all its documents (side 1), without those inside a component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree, ids, n, minor = int(pdf["tree"].iloc[0]), pdf["id"].to_numpy(), pdf["n"].to_numpy(), (pdf["c"] != pdf["main"]).to_numpy()
+        label = np.unique(pdf["c"].to_numpy(), return_inverse=True)[1]
+        own, others = (np.flatnonzero(pdf["side"].to_numpy() == k) for k in (0, 1))
+        if not len(own) or not len(others):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        sign = np.frombuffer(b"".join(pdf["sign"]), dtype=">u4").astype(np.uint32).reshape(len(pdf), TREES, STEP)[:, :, :LEAST]
+        code = np.unique(np.frombuffer(b"".join(pdf["s"]), dtype=np.uint64), return_inverse=True)[1]
+        at = np.concatenate(([0], np.cumsum(n)))
+        theirs = np.concatenate([code[at[x] : at[x + 1]] for x in others])
+        starts = np.concatenate(([0], np.cumsum(n[others])[:-1]))
+        mark, a, b = np.zeros(int(code.max()) + 1, dtype=bool), [], []
+        for m in own.tolist():
+            small, large = np.minimum(n[others], n[m]), np.maximum(n[others], n[m])
+            hope = (label[others] != label[m]) & (small >= threshold * large) & (~minor[others] | (ids[others] > ids[m]))
+            if not hope.any():
+                continue
+            hope[hope] = (sign[others[hope]] == sign[m]).all(axis=2).argmax(axis=1) == tree  # a pair counts in the first order that it shares
+            if not hope.any():
+                continue
+            mark[code[at[m] : at[m + 1]]] = True
+            both = np.add.reduceat(mark[theirs], starts, dtype=np.int64)
+            mark[code[at[m] : at[m + 1]]] = False
+            for x in others[hope & (both * 1_000_000 >= round(threshold * 1_000_000) * (n[others] + n[m] - both))].tolist():
+                if label[x] != label[m]:
+                    a.append(min(ids[m], ids[x]))
+                    b.append(max(ids[m], ids[x]))
+                    label[label == label[x]] = label[m]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def _block_links(runs: DataFrame, rows: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join all components of the runs: their minor documents are compared with every other one, block by block."""
+    last = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int") - 1
+    of = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), last(c) + 1).cast("int")
+    rows = rows.join(runs, ["tree", "run"])
+    columns = ["tree", "run", "id", "n", "c", "main", "sign"]
+    every = rows.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), last("minors"))).alias("i"), of("size", 1).alias("j"))
+    minor = rows.where("c <> main").select(*columns, F.lit(0).alias("side"), of("minors", 0).alias("i"), F.explode(F.sequence(F.lit(0), last("size"))).alias("j"))
+    return every.union(minor).join(full, "id").groupBy("tree", "run", "i", "j").applyInPandas(_blocks(threshold), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.75, reach: int = 3, first_picks: int = 3) -> DataFrame:
     """(key, n_shingles, component_id, kept): documents joined by links of at least `threshold` Jaccard similarity.
 
@@ -182,7 +244,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     and they are kept. An empty table gives an empty result; further columns are ignored.
 
     The first round settles each document's first_picks candidates with most votes, the second all other pairs that the first left in
-    different components; a pair within a component can join nothing.
+    different components; a pair within a component can join nothing. Neighbours leave out pairs of runs longer than reach + 1: there
+    each document meets the run's best linked one, and then all that are outside the run's largest component meet every other one.
     """
     scratch = Scratch(df.sparkSession, "forest")
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -191,27 +254,45 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     own = rows.where("same is not null and id is not null")
     sets = scratch.keep(own.groupBy("same").agg(F.min(F.struct("id", "n_shingles", "sign")).alias("x")).select("same", "x.*").dropDuplicates(["id"]), "sets")
     found = candidates(sets, scratch, partitions, reach, threshold)
-    ends = scratch.keep(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    if ends.count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    wanted = docs.join(ends, "id", "left_semi").dropDuplicates(["id"])
-    full = scratch.keep(wanted.mapInPandas(_full_sets, "id long, s binary"), "full")
 
-    def settle(pairs: DataFrame, tag: str) -> DataFrame:
+    def read_sets(ids: DataFrame, tag: str) -> DataFrame:
+        ends = scratch.keep(ids.distinct(), "ends")
+        if ends.count() <= BROADCAST_ROWS:
+            ends = F.broadcast(ends)
+        wanted = docs.join(ends, "id", "left_semi").dropDuplicates(["id"])
+        return scratch.keep(wanted.mapInPandas(_full_sets, "id long, s binary"), tag)
+
+    full = read_sets(found.select(F.explode(F.array("a", "b")).alias("id")), "full")
+
+    def settle(pairs: DataFrame, full: DataFrame, tag: str) -> DataFrame:
         both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return scratch.keep(both.select("a", "b", "sa", "sb").mapInPandas(_links(threshold), "a long, b long"), tag)
 
     sided = found.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("own"))
     best = sided.groupBy("own").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "a", "b"))), 1, first_picks).alias("p"))
-    first = settle(best.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct(), "links")
+    first = settle(best.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct(), full, "links")
     joined = scratch.keep(connected_components(first, scratch), "first")
     side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = found.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = first.union(settle(rest, "more"))
+    links = first.union(settle(rest, full, "more"))
     for done in (full, found, joined):
         scratch.drop(done)
     member = connected_components(links, scratch)
+    runs, members = _runs(sets, member, reach, scratch)
+    if runs.count():
+        full = read_sets(members.join(runs, ["tree", "run"]).select("id"), "run_sets")
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        inside = members.join(runs, ["tree", "run"]).select("tree", "run", "id", "n", "c")
+        hubs = inside.join(degree, "id", "left").groupBy("tree", "run").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("id")).alias("h"), "n", "c")).alias("hub"))
+        met = inside.join(hubs, ["tree", "run"]).where((F.col("c") != F.col("hub.c")) & (F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n")))
+        links = links.union(settle(met.select(F.least(F.col("id"), -F.col("hub.h")).alias("a"), F.greatest(F.col("id"), -F.col("hub.h")).alias("b")).distinct(), full, "hubs"))
+        member = connected_components(links, scratch)
+        runs, members = _runs(sets, member, reach, scratch)
+        if runs.count():
+            links = links.union(scratch.keep(_block_links(runs, members, full, threshold), "blocks"))
+            member = connected_components(links, scratch)
+        scratch.drop(full)
     nodes = sets.select("same", F.col("id").alias("node")).join(member, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     out = rows.join(nodes, "same", "left")
     component = F.coalesce("component", "id")
