@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitforge.operators import graph as G
+from unitforge.plans import queries
 
 K = ["g"]
 
@@ -85,6 +86,25 @@ def test_ppr(spark):
             assert sum(p.values()) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("name", ["ppr_ranks", "ppr_grouped_ranks"])
+def test_ppr_queries(spark, monkeypatch, name):
+    """Every reached node after 25 rounds, though with 300 seeds most ranks are under 0.004."""
+    rng = random.Random(6)
+    es = sorted({(rng.randrange(400), rng.randrange(400)) for _ in range(900)})
+    nodes = frame(spark, [(1, i, int(i < 300)) for i in range(400)], "g int, node_id int, is_sensitive int")
+    monkeypatch.setattr(queries, "_graph", lambda *_: (nodes, frame(spark, [(1, u, v) for u, v in es], "g int, src int, dst int")))
+    near, s = bag(es), {u: 1 / 300 for u in range(300)}
+    p = dict(s)
+    for _ in range(25):
+        new = defaultdict(float, {u: 0.15 * x for u, x in s.items()})
+        for u, x in p.items():
+            for v in near[u]:
+                new[v] += 0.85 * x / len(near[u])
+        p = new
+    got = {r["node_id"]: r["ppr"] for r in queries.QUERIES[name](spark, "").collect()}
+    assert got == pytest.approx({u: x for u, x in p.items() if x > 0})
+
+
 def test_build_and_mine(spark):
     methods = frame(spark, [(1, f"m{i}", i) for i in range(6)] + [(1, "m0", 9)], "g int, sig string, ord int")
     calls = frame(spark, [(1, "m0", "api"), (1, "m0", "m1"), (1, "m0", "m1"), (1, "m1", "m2"), (1, "m2", "log"), (1, "m3", "m3"), (1, "ghost", "m1")], "g int, caller string, callee string")

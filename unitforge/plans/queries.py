@@ -198,6 +198,20 @@ def ppr_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("ppr >= 0.004").select("g", "node_id", F.round("ppr", 9).alias("ppr"))
 
 
+@query()
+def ppr_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 whole: all 25 rounds and every ranked node, which `ppr` and its SQL cut at four rounds and 0.004."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.ppr(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS)
+
+
+@query()
+def ppr_grouped_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 whole with all rounds of a graph in one task."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.ppr_per_graph(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS)
+
+
 _SWEEP = f"""{_HOPS}, deg AS (SELECT g, src AS node_id, sum(mult) AS d FROM adj GROUP BY ALL), cand AS (SELECT n.g, n.node_id, CAST(coalesce(d, 0) AS DOUBLE) AS score, coalesce(s.is_sensitive, 0) AS a FROM near n LEFT JOIN deg USING (g, node_id) JOIN nodes s USING (g, node_id)),
  rk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a DESC, CASE WHEN a = 0 THEN score END DESC NULLS FIRST, node_id) AS r FROM cand),
  gain AS (SELECT x.g, x.node_id, sum(mult) AS deg, sum(CASE WHEN y.r <= x.r THEN mult ELSE 0 END) AS back FROM rk x JOIN adj e ON e.g = x.g AND e.src = x.node_id JOIN rk y ON y.g = x.g AND y.node_id = e.dst GROUP BY ALL),
