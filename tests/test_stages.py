@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -136,3 +137,21 @@ def test_stream_equals_batch(spark, tmp_path):
     want = R.rank_clusters(units, centers, index, tau=0.0, gamma=0.0)
     got = spark.read.parquet(f"{tmp_path}/out").select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_similar_sets(spark):
+    """Common tokens only, groups of equal sets, a hot token, empty sets; against brute force."""
+    rng = random.Random(3)
+    units = [(i, [f"t{k}" for k in rng.sample(range(14), rng.randrange(1, 9))]) for i in range(150)]
+    units += [(200 + i, ["p", "q", f"u{i}"]) for i in range(40)] + [(300 + i, ["x", "y"]) for i in range(20)] + [(400, []), (401, [])]
+    sets = {i: frozenset(x) for i, x in units}
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(s, i)
+    want = {("equal", first[s], i): 1.0 for i, s in sets.items() if first[s] != i}
+    for s, a in first.items():
+        for t, b in first.items():
+            if a < b and 2 * len(s & t) >= len(s | t):
+                want["near", a, b] = round(len(s & t) / len(s | t), 6)
+    rows = R.similar_sets(spark.createDataFrame(units, "unit_id long, psi array<string>"), 1, 2, salt_rows=8).collect()
+    assert {(r["kind"], r["a"], r["b"]): r["jac"] for r in rows} == want and len(rows) == len(want)

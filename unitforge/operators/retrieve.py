@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .lineage import cut
 
 
 def candidates(units: DataFrame, index: DataFrame) -> DataFrame:
@@ -65,3 +66,31 @@ def batches(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """Number of the batch of n consecutive rows that each falls into."""
     w = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / max(n, 1)).cast("int"))
+
+
+def similar_sets(units: DataFrame, num: int, den: int, salt_rows: int = 256) -> DataFrame:
+    """(kind, a, b, jac): 'near' pairs of sets with Jaccard similarity num / den or more, 'equal' rows for repeated sets.
+
+    Units of equal sets stand under their smallest id: an 'equal' row names it as a and another of them as b, a 'near' pair names two such ids.
+    Sets that agree so far share one of the size - ceil(size * num / den) + 1 tokens that are rarest in all distinct sets; the first one they
+    share leaves room for the overlap that is needed. Tokens that many prefixes hold are joined in salted blocks.
+    """
+    own = units.select("unit_id", F.array_sort(F.array_distinct("psi")).alias("psi"))
+    own = cut(own.withColumn("same", F.sha2(F.to_json(F.struct("psi")), 256)))
+    own = cut(own.join(own.groupBy("same").agg(F.min("unit_id").alias("rep")), "same"))
+    equal = own.where("unit_id <> rep").select(F.lit("equal").alias("kind"), F.col("rep").alias("a"), F.col("unit_id").alias("b"), F.lit(1.0).alias("jac"))
+    sets = own.where("unit_id = rep").select(F.col("rep").alias("id"), "psi").distinct()
+    tokens = sets.select("id", F.explode("psi").alias("t"))
+    ranked = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("c")), "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    ranked = ranked.withColumn("n", F.size("s").cast("long"))
+    prefix = cut(ranked.select("id", "n", F.posexplode(F.slice("s", 1, (F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + 1).cast("int"))).alias("i", "x")).select("id", "n", "i", F.col("x.t").alias("t")))
+    salts = prefix.groupBy("t").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("k"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rows = prefix.join(salts, "t")
+    left = rows.select("t", F.pmod(F.xxhash64("id"), "k").cast("int").alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    right = rows.select("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (num + den) >= (F.col("na") + F.col("nb")) * num)
+    pairs = left.join(right, ["t", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("psi").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("psi").alias("y")), "b")
+    both, union = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+    near = pairs.withColumns({"both": both, "all": union}).where(F.col("both") * den >= F.col("all") * num)
+    return equal.union(near.select(F.lit("near"), "a", "b", F.round(F.col("both") / F.col("all"), 6)))

@@ -335,6 +335,12 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("jac", X.jaccard(F.col("x"), F.col("y"))).where("jac >= 0.5").select("a", "b", F.round("jac", 6).alias("jac"))
 
 
+@query()
+def token_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5, C6, J12 whole: all documents whose token sets agree by half, however common their tokens (`token_jaccard` and its SQL ask for a rare one)."""
+    return retrieve.similar_sets(B.document_units(spark, sf_dir), 1, 2)
+
+
 _FREQ = f"WITH {B.UNITS_SQL}, t AS (SELECT cluster_id, unnest(psi) AS token FROM units), n AS (SELECT cluster_id, token, count(*) AS cnt FROM t GROUP BY ALL), s AS (SELECT cluster_id, count(*) AS size FROM units GROUP BY ALL), f AS (SELECT cluster_id, token, cnt, row_number() OVER (PARTITION BY cluster_id ORDER BY cnt DESC, token DESC) AS r FROM n JOIN s USING (cluster_id) WHERE cnt >= 0.5 * size), freq AS (SELECT * FROM f WHERE r <= 256)"
 
 
