@@ -24,9 +24,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id; of equal rows one."""
-    kept = lsh_forest.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id; of rows with equal doc_id and text one.
+
+    Texts that share a doc_id are told apart by their digests and numbered in its order. Rows without a doc_id are all kept.
+    """
+    docs, scratch = docs.select(*COLUMNS), Scratch(spark, "near")
+    rows = docs.where("doc_id is not null").withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    texts = scratch.keep(rows.select("doc_id", "digest").distinct(), "texts")
+    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("node", F.col("doc_id").cast("long"))
+    else:
+        order = texts.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+        nodes = scratch.keep(order.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        rows = scratch.keep(rows.join(nodes, ["doc_id", "digest"]), "numbered")
+    kept = lsh_forest.near_duplicates(rows.select("node", "text"), key="node").where("kept").select("node").distinct()
+    one = rows.join(kept, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars", "text")).alias("x"))
+    return one.select("x.*").select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +53,15 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Thins out domains that are over their target weight, as their fitted rates say; no domain is repeated.
 
     The budget is what the scarcest domain allows, but the good domain is kept whole: its rate is brought to one, so toxic and
-    poor texts are thinned relative to it and clean documents stay.
+    poor texts are thinned relative to it and clean documents stay. Rows without a doc_id can't be drawn by it and stay.
     """
     mixed = mixing.mix(docs.select("doc_id", "text"), label_domains(spark, sf_dir), DOMAIN_TARGETS)
     mixed = Scratch(spark, "pipeline").keep(mixed.select("doc_id", "domain", "rate"), "rates")
     clean = mixed.where("domain = 'good'").agg(F.avg("rate")).first()[0] or mixed.agg(F.max("rate")).first()[0] or 1.0
     chance = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 30)) / float(1 << 30)
     drawn = mixed.where((F.col("domain") == "good") | (F.col("rate") / F.lit(float(clean)) > chance)).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(drawn, "doc_id", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    return docs.join(drawn, "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

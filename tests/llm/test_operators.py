@@ -307,3 +307,26 @@ def test_pipeline(spark, tmp_path):
     out = P.run(spark, str(tmp_path)).collect()
     ids = [r["doc_id"] for r in out]
     assert out and len(ids) == len(set(ids)) and set(ids) <= set(kept) and all(r["n_tokens"] > 0 for r in out)
+
+
+def test_pipeline_null_and_repeated_keys(spark):
+    """Rows without a doc_id stay; different texts under one doc_id are decided each; equal rows and near texts go."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60, 5000) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (1, a), (1, b), (1, c), (1, c), (2, f"{c} end"), (3, d), (3, None), (4, d)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(None, a), (None, a), (None, b), (1, a), (1, b), (1, c), (3, d), (3, None)])
+    unique = docs.where("doc_id is null or doc_id > 3")
+    assert Counter((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, unique, "").collect()) == Counter([(None, a), (None, a), (None, b), (4, d)])
+
+
+def test_pipeline_mixing_null_keys(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(None, "x", "en", "web", 1), (1, "y", "en", "web", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(P, "label_domains", lambda *_: None)
+    monkeypatch.setattr(P.mixing, "mix", lambda rows, *_: rows.select("doc_id", F.lit("good").alias("domain"), F.lit(1.0).alias("rate")))
+    assert {r["doc_id"] for r in P.mix_to_targets(spark, docs, "").collect()} == {None, 1}
