@@ -190,6 +190,40 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
+def test_url_verdicts_of_a_link_graph(spark):
+    """A farm that links to blocked hosts, clean hosts with one bad link among many, and random hosts: verdicts against a dense solution."""
+    rng = random.Random(21)
+    names = [f"h{i}.com" for i in range(20)] + [f"bad{i}.net" for i in range(3)] + ["sub.example.org"]
+    links = [(f"farm{i}.com", f"bad{i % 3}.net") for i in range(6)] + [("news.com", f"h{i}.com") for i in range(20)] + [("news.com", "bad0.net"), ("sub.example.org", "news.com")]
+    links += [(rng.choice(names), rng.choice(names[:20])) for _ in range(60)]
+    pages = [(i, f"http://{a}/fr/{i}", f'<a href="http://{b}/x">') for i, (a, b) in enumerate(links)]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    weight = Counter((a, b) for a, b in links if a != b)
+    hosts = sorted({x for p in links for x in p})
+    at, n = {h: i for i, h in enumerate(hosts)}, len(hosts)
+    m = np.zeros((n, n))
+    for (a, b), k in weight.items():
+        m[at[a], at[b]] = k
+    own = {a for a, _ in links}
+
+    def rank(w, seed):
+        w = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+        return np.linalg.solve(np.eye(n) - 0.85 * w.T, 0.15 * seed)
+
+    trusted = np.array([float(h in own and h.endswith("org")) for h in hosts])
+    blocked = np.array([float(h in own and h.endswith("net")) for h in hosts])
+    t, d = rank(m, trusted), rank(m.T, blocked)
+    total = m.sum(1)
+    clean = np.where(total > 0, (m * (d <= 0)[None, :]).sum(1) / np.maximum(total, 1), 1.0)
+    mass = t + d + 0.15 * (1 - trusted - blocked) * clean
+    distrust = np.where(mass > 0, d / np.where(mass > 0, mass, 1), 0)
+    for i, (a, _) in enumerate(links):
+        assert got[i]["distrust"] == pytest.approx(distrust[at[a]], abs=1e-3)
+        assert got[i]["verdict"] == ("block" if a.endswith("net") or (not a.endswith("org") and distrust[at[a]] > 0.5) else "allow")
+    assert all(got[i]["verdict"] == "block" for i in range(6)) and got[6]["verdict"] == "allow"
+    assert sum(r["rule"] is None and r["verdict"] == "block" for r in got.values()) >= 6
+
+
 def test_page_rank(spark):
     rng = random.Random(1)
     links = sorted({(f"h{rng.randrange(8)}", f"h{rng.randrange(8)}") for _ in range(30)})

@@ -1,7 +1,7 @@
 """URL filter: address rules, and link-graph propagation of trust and distrust for the addresses that no rule fits.
 
 Personalised PageRank runs from trusted seeds along the host links, reversed PageRank from blocked seeds against them (whoever
-links to a blocked host is suspect); a host is blocked where its share of distrust reaches a threshold. DataFrame operations only.
+links to a blocked host is suspect); a host is blocked where its share of distrust is above a threshold. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -46,32 +46,43 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return pages.select(F.col(host).alias("src"), found.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, seed: str, damping: float, rounds: int, scratch: Scratch, every: int = 5) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, seed: str, damping: float, rounds: int | None, scratch: Scratch, every: int = 5, tolerance: float = 1e-4) -> DataFrame:
     """Personalised PageRank over weighted links (src, dst, n) from seeds (host, <seed> mass): (host, score).
 
-    Mass of hosts without links is lost, not handed back. Lineage is cut each few rounds.
+    Mass of hosts without links is lost, not handed back. `moving` is what the last round brought; each round passes it on, lessened by
+    the damping. rounds None: until what still moves is under tolerance of the seeds' mass, which damping makes sure of. Each few
+    rounds are written, which cuts the lineage.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     steps = scratch.keep(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "links")
     start = seeds.where(F.col(seed) > 0).select("host", (F.col(seed) * (1 - damping)).alias("score"))
     if steps.isEmpty():
         return start
-    score = start
-    for i in range(rounds):
-        moved = score.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
-        score = start.union(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % every == every - 1:
-            score = scratch.keep(score, "rank")
-    return score
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", key: str = "page_id", damping: float = 0.85, rounds: int = 15, threshold: float = 0.5) -> DataFrame:
+    total = lambda df: df.agg(F.sum("moving")).first()[0] or 0.0
+    state = kept = scratch.keep(start.withColumn("moving", F.col("score")), "rank")
+    least, done = tolerance * total(state), 0
+    while done < rounds if rounds is not None else total(kept) > least:
+        for _ in range(every if rounds is None else min(every, rounds - done)):
+            moved = state.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("moving") * F.col("w") * damping).alias("score"))
+            held = state.select("host", "score", F.lit(0.0).alias("moving"))
+            state = held.union(moved.withColumn("moving", F.col("score"))).groupBy("host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving"))
+            done += 1
+        before, kept = kept, scratch.keep(state, "rank")
+        state = kept
+        scratch.drop(before)
+    return state.select("host", "score")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", key: str = "page_id", damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
     """Host, path, rule and verdict (allow or block) of every page: (key, host, path, rule, verdict, distrust).
 
-    A host's seed masses are the shares of its pages that allowing and blocking rules fit; distrust is the blocked side's part of
-    the propagated mass, weighted with what no rule has said: d / (t + d + 0.15 * open share). Pages without a rule are blocked where
-    their host's distrust is above the threshold. Null addresses and such without :// have an empty host, no rule, and are allowed;
-    null markup has no links. Repeated rows are judged alike, an empty table gives an empty result, further columns are ignored.
+    A host's seed masses are the shares of its pages that allowing and blocking rules fit. With t and d the trust and distrust that
+    propagation brings it, its distrust is d / (t + d + open), where open = (1 - damping) * (share of its pages without a rule) *
+    (share of its links that lead to hosts without distrust; 1 without links): a host that links to nothing but blocked hosts and that
+    no trusted host links to has distrust 1, one blocked neighbour among many clean ones weighs little. Pages without a rule are blocked
+    where their host's distrust is above the threshold. Null addresses and such without :// have an empty host, no rule, and are allowed;
+    null and empty markup has no links. Repeated rows are judged alike, a null key is kept, an empty table gives an empty result, further
+    columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     pages = pages.select(F.col(key).alias("key"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(html).alias("html"))
@@ -79,13 +90,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html
     links = scratch.keep(host_links(pages, "host", "html"), "edges")
     share = lambda verdict: F.avg(F.when(F.col("hit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = scratch.keep(pages.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "seeds")
-    trust = propagate(links, seeds, "trusted", damping, rounds, scratch).withColumnRenamed("score", "t")
+    trust = propagate(links, seeds, "trusted", damping, None, scratch).withColumnRenamed("score", "t")
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, seeds, "blocked", damping, rounds, scratch).withColumnRenamed("score", "d")
-    t, d, rest = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0)), (1 - damping) * (1 - F.col("trusted") - F.col("blocked"))
-    mass = t + d + F.greatest(rest, F.lit(0.0))
-    hosts = seeds.join(trust, "host", "left").join(distrust, "host", "left").select("host", F.when(mass > 0, d / mass).otherwise(0.0).alias("distrust"))
-    hosts = scratch.keep(hosts, "hosts")
+    distrust = propagate(back, seeds, "blocked", damping, None, scratch).withColumnRenamed("score", "d")
+    reached = links.join(distrust.select(F.col("host").alias("dst"), "d"), "dst", "left")
+    clean = reached.groupBy(F.col("src").alias("host")).agg((F.sum(F.when(F.coalesce("d", F.lit(0.0)) > 0, 0).otherwise(F.col("n"))) / F.sum("n")).alias("clean"))
+    t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
+    unsaid = (1 - damping) * F.greatest(1 - F.col("trusted") - F.col("blocked"), F.lit(0.0)) * F.coalesce("clean", F.lit(1.0))
+    mass = t + d + unsaid
+    hosts = seeds.join(trust, "host", "left").join(distrust, "host", "left").join(clean, "host", "left")
+    hosts = scratch.keep(hosts.select("host", F.when(mass > 0, d / mass).otherwise(0.0).alias("distrust")), "hosts")
     if hosts.count() <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
     out = pages.drop("html").join(hosts, "host", "left")
