@@ -1,6 +1,7 @@
 """Operators on small tables, against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -153,6 +154,37 @@ def test_rp_forest(spark):
     assert rp_forest.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_rp_forest_repeated_and_null_keys(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((2, 8)).tolist()
+    rows = [(0, a), (5, [1.01 * x + 0.001 for x in a]), (5, b), (3, [0.99 * x - 0.001 for x in b]), (None, a), (7, a)]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rp_forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == Counter([(0, 2, 0, True), (7, 2, 0, False), (5, 2, 0, False), (5, 1, 3, False), (3, 1, 3, True), (None, 0, None, True)])
+
+
+def test_rp_forest_recall_with_production_parameters(spark):
+    """Pairs at cosine 0.9005, spread ones and a group of 2,500 near a common centre, among 9,000 vectors; brute force counts the links."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((5000, 64)))
+    other = rng.standard_normal((1500, 64))
+    other = unit(other - (other * x[:1500]).sum(1, keepdims=True) * x[:1500])
+    pairs = 0.9005 * x[:1500] + math.sqrt(1 - 0.9005**2) * other
+    center = unit(rng.standard_normal(64))
+    group = unit(center + math.sqrt(1 / 0.905 - 1) * unit(rng.standard_normal((2500, 64))))
+    every = np.concatenate([x, pairs, group]).astype(np.float32)
+    u = every.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in rp_forest.near_duplicates(df).collect()}
+    want = link.sum(1)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got[i] for i in range(5000)) >= 0.99 * want[:5000].sum() and sum(got.values()) >= 0.99 * want.sum()
+    assert sum(got[i] for i in range(6500, 9000)) >= 0.99 * want[6500:].sum()
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/\r\nx", "<p>" + "é" * 100), (2, None, "<p>" + "é" * 100), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "y" * 700_000), (7, "u", "y" * 700_000), (0, "u", "<p>" + "é" * 100)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
