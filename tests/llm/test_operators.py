@@ -73,6 +73,15 @@ def test_lsh_forest(spark):
     assert lsh_forest.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_lsh_forest_repeated_and_null_keys(spark):
+    """Texts under one key are one document: it joins what any of them links with."""
+    rng = random.Random(4)
+    x, z, u = (words(rng, 200, 5000) for _ in range(3))
+    rows = [(0, x), (5, x + " end"), (5, z + " end"), (3, z), (None, x), (5, None), (8, u), (8, u)]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"], r["n_shingles"] > 0) for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == Counter([(0, 0, True, True), (5, 0, False, True), (5, 0, False, True), (3, 0, False, True), (None, None, True, True), (5, 5, True, False), (8, 8, True, True), (8, 8, True, True)])
+
+
 @pytest.mark.parametrize("hubs", [1, 12])
 def test_lsh_forest_star(spark, hubs):
     """Copies that link with their original and seldom with each other; twelve originals have one half in common."""
@@ -332,6 +341,68 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, "doc_id long, domain string"), want).count() == 0
 
 
+def test_mixing_against_brute_force(spark):
+    """Posteriors by a plain naive Bayes over the same rule of choosing words, and rates by projected gradient to the end."""
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(300):
+        kind = rng.choice(["aa", "bb", "bb", "cc"])
+        rows.append((i, words(rng, rng.choice([20, 60]), 60) + "".join(f" {kind}{rng.randrange(3)}" for _ in range(rng.randrange(4)))))
+        if i % 3:
+            labels.append((i, kind))
+    want = {"aa": 0.5, "bb": 0.3, "cc": 0.1, "unlabelled": 0.1}
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, domain string"), want).collect()}
+    marks = {r["doc_id"]: (set(r["tokens"]), r["n_tokens"]) for r in mixing.add_tokens(spark.createDataFrame(rows, DOCS), "text").collect()}
+    known, domains = dict(labels), ["aa", "bb", "cc"]
+    n_of, n = Counter(known.values()), len(known)
+    held = {d: Counter(w for i, k in known.items() if k == d for w in marks[i][0]) for d in domains}
+    every = {w: c for w, c in sum(held.values(), Counter()).items() if c >= 5}
+    chosen = set()
+    for d in domains:
+        scored = []
+        for w, c in every.items():
+            a, na = held[d][w], n_of[d]
+            b, nb, p = c - a, n - na, c / n
+            cells = ((a, na * p), (b, nb * p), (na - a, na * (1 - p)), (nb - b, nb * (1 - p)))
+            g = 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)
+            if g > 25 and a * nb > 3 * b * na:
+                scored.append((-g, w))
+        chosen |= {w for _, w in sorted(scored)[:100]}
+    assert 3 <= len(chosen) <= 40
+    share = {d: {w: (held[d][w] + (every[w] + 1) / (n + 2)) / (n_of[d] + 1) for w in chosen} for d in domains}
+    for i, (own, n_tokens) in marks.items():
+        logs = [math.log((n_of[d] + 1) / (n + 3)) + sum(math.log(share[d][w] if w in own else 1 - share[d][w]) for w in chosen) for d in domains]
+        weights = [math.exp(x - max(logs)) for x in logs]
+        assert got[i]["posterior"] == pytest.approx([x / sum(weights) for x in weights], abs=1e-9) and got[i]["n_tokens"] == n_tokens
+    p = np.array([got[i]["posterior"] for i in got]) * np.array([got[i]["n_tokens"] for i in got])[:, None]
+    aim = np.array([want[d] for d in domains]) / 0.9 * sum(r["n_tokens"] for r in got.values())
+    rates = np.array([got[i]["rate"] for i in got])
+    best, step = np.ones(len(p)), 1 / np.linalg.norm(p, 2) ** 2
+    for _ in range(20_000):
+        best = np.maximum(best - step * p @ (p.T @ best - aim), 0)
+    assert rates.min() >= 0 and np.abs(p.T @ rates - aim).max() <= np.abs(p.T @ best - aim).max() + 0.01 * aim.sum()
+    assert {round(r["residual"], 2) for r in got.values()} == {0.1}  # the unlabelled domain's share can't be met
+
+
+def test_whole_tables_against_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces = token_counts.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op8_unigram_counts"](spark, sf_dir).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    bpe_file = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    bpe_file.no_truncation()
+    bpe_file.no_padding()
+    for r in QUERIES["op7_bpe_codec"](spark, sf_dir).collect():
+        ids = bpe_file.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        back = bpe_file.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
 def test_language(spark):
     rng = random.Random(7)
     parts = {"aa": "the ing and er on", "bb": "der und ich ein sch", "cc": "que los ción as el"}
@@ -342,6 +413,11 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902))
     assert got[903]["lang_pred"] == "aa" and sum(got[i]["lang_pred"] == k for i, _, k in rows[200:]) >= 95
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    odd = langid.predict(spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "Ⅷ 12"), (4, "ª")], DOCS), model).collect()
+    assert [r["lang_pred"] == "und" for r in odd] == [True, True, True, False]
+    assert {r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "the ing"), (1, "the ing")], DOCS), model).collect()} == {"aa"}
+    many = langid.fit(spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} ab", f"l{i}") for i in range(90)], f"{DOCS}, lang string"))
+    assert len(many.langs) == 90
     assert langid.fit(spark.createDataFrame([(1, "a", None)], f"{DOCS}, lang string")) is None
     assert langid.predict(spark.createDataFrame([(1, "abc")], DOCS), None).first()["lang_pred"] == "und"
 
@@ -375,6 +451,46 @@ def test_pipeline(spark, tmp_path):
     assert out and len(ids) == len(set(ids)) and set(ids) <= set(kept) and all(r["n_tokens"] > 0 for r in out)
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i, t in [*corpus(seed=15), *[(1000 + i, f"{words(rng, 30, 3000)} {rng.choice(['nice kind', '!!!! ####', 'scum idiot'])}") for i in range(200)]]:
+        rows.append((i, t, "en", "s", len(t or "")))
+        if i >= 1000 and i % 2:
+            kind = "good" if "nice" in t else "low" if "!!" in t else "toxic"
+            labels.append((i, int(kind == "good"), int(kind == "toxic")))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    texts = {r[0]: r[1] for r in rows}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    group = union(pairs, sets)
+    near = {r["doc_id"]: r["text"] for r in P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert near == {i: texts[i] for i in texts if group[i] == i}
+    cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.remove_repeated_passages(spark, docs, str(tmp_path)).collect()}
+    lost = removed([(i, t) for i, t in texts.items()])
+    for i, t in texts.items():
+        if i in cut:
+            assert hashlib.sha256((cut[i][0] or "").encode()).hexdigest() == lost[i][3] and cut[i][1] in (len(cut[i][0]), None)
+        else:
+            assert lost[i][1] > 0
+    rates = {r["doc_id"]: r for r in P.mixing.mix(docs.select("doc_id", "text"), P.label_domains(spark, str(tmp_path)), P.DOMAIN_TARGETS).withColumn("chance", F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 30)) / float(1 << 30)).collect()}
+    good = [r["rate"] for r in rates.values() if r["domain"] == "good"]
+    clean = sum(good) / len(good)
+    mixed = {r["doc_id"] for r in P.mix_to_targets(spark, docs, str(tmp_path)).collect()}
+    assert mixed == {i for i, r in rates.items() if r["domain"] == "good" or r["rate"] / clean > r["chance"]} and len(mixed) < len(texts)
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for r in P.encode(spark, docs, str(tmp_path)).collect():
+        assert bytes(r["token_ids"]) == np.array(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_pipeline_null_and_repeated_keys(spark):
     """Rows without a doc_id stay; different texts under one doc_id are decided each; equal rows and near texts go."""
     import corpus_pipeline as P

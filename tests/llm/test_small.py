@@ -71,17 +71,24 @@ def test_unigram_production():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=0, max_size=120), st.sampled_from([1, 1024]))
-def test_suffix_array(values, buckets):
+@given(st.lists(st.integers(1, 4), min_size=0, max_size=120), st.sampled_from([2, 3, 256]))
+def test_suffix_array(values, digits):
     s = np.array([*values, 0])
-    old, suffix_dedup.MAX_BUCKETS = suffix_dedup.MAX_BUCKETS, buckets
+    old, suffix_dedup.DIGITS = suffix_dedup.DIGITS, digits
     try:
         order = suffix_dedup.suffix_array(s, 6)
     finally:
-        suffix_dedup.MAX_BUCKETS = old
+        suffix_dedup.DIGITS = old
     assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_array_of_a_large_alphabet():
+    """Names of reduced strings are many here: the recursion is on digits, whatever their number."""
+    rng = np.random.default_rng(3)
+    s = np.append(np.tile(rng.integers(1, 20_000, 3000), 2), 0)
+    assert suffix_dedup.suffix_array(s, 20_001).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=10, max_size=40), min_size=1, max_size=8))
 def test_smallest_holders(texts):

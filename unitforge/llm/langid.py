@@ -7,19 +7,19 @@ kernel ridge regression gives a score a language, and texts are scored in batche
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Buckets that n-grams are hashed to.
 DIM = 1 << 14
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: ASCII other than letters counts as one blank; letters are lower-cased.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -80,15 +80,20 @@ class Model:
         return rows @ self.weights
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600, landmarks: int = 256, max_langs: int = 64, ridge: float = 1e-3) -> Model | None:
-    """Fit on a bounded sample of the labelled rows: about per_lang texts of each of the max_langs commonest languages.
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600, landmarks: int = 256, sample_rows: int = 20_000, ridge: float = 1e-3) -> Model | None:
+    """Fit on a bounded sample of the labelled rows: about per_lang texts of each language, fewer where that would pass sample_rows.
 
-    The bound is in rows; the driver gets 2 KB a row. Rows without text or language teach nothing; None if none is left.
+    The bound is in rows, of which the driver gets 2 KB each; every language is learned, and more languages than sample_rows are
+    refused. Rows without text, letter or language teach nothing, and rows with a null key are drawn together; None if no row is left,
+    as of an empty table. Repeated rows count each, further columns are ignored.
     """
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_langs).collect()
+    sizes = rows.groupBy(lang).count().limit(sample_rows + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > sample_rows:
+        raise ValueError(f"more than {sample_rows} languages: raise sample_rows")
+    per_lang = max(1, min(per_lang, sample_rows // len(sizes)))
     at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, 1.2 * per_lang / r[1]))])
     sample = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), at.alias("order")).where(F.col("order") < share[F.col("lang")])
@@ -110,10 +115,11 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Append lang_pred and score (0 to 1) to df; columns of these names are replaced.
+    """Append lang_pred and score (0 to 1) to df; columns of these names are replaced, others stay.
 
-    A null text, an empty one and one without any letter give und with score 0, as does every text where the model is None.
-    Whole texts are read whatever their length; rows are independent, so repeated rows and ties get equal results.
+    A null text, an empty one and one without any letter (Unicode's category L) give und with score 0, as does every text where the
+    model is None. Of languages with equal scores the first by name stands. Whole texts are read whatever their length; rows are
+    independent, so repeated rows get equal results. An empty table gives an empty one.
     """
     new = ("lang_pred", "score")
     df = df.select([F.col(f"`{c}`") for c in df.columns if c == text or c.lower() not in new])

@@ -172,7 +172,8 @@ def _links(threshold: float):
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t).tobytes() for t in pdf["text"]]})
+        sets = [shingles(t).tobytes() for t in pdf["text"]]
+        yield pd.DataFrame({"id": pdf["id"], "same": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "s": sets})
 
 
 def _runs(sets: DataFrame, member: DataFrame, reach: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -239,9 +240,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     """(key, n_shingles, component_id, kept): documents joined by links of at least `threshold` Jaccard similarity.
 
     A null text, an empty one and one without words has no shingle and links with nothing. Rows with equal sets collapse to the one
-    with the smallest key before the search, whatever their number. Rows that repeat a key are one node if their texts agree (and
-    have the same class if not, as a node's class is its key's). Rows with a null key take part in nothing: their component is null
-    and they are kept. An empty table gives an empty result; further columns are ignored.
+    with the smallest key before the search, whatever their number. Rows that repeat a key are one document: what any of their texts
+    links with belongs to the key's class. Rows with a null key take part in nothing: their component is null and they are kept. Very
+    long texts are read whole. An empty table gives an empty result; further columns are ignored.
 
     The first round settles each document's first_picks candidates with most votes, the second all other pairs that the first left in
     different components; a pair within a component can join nothing. Neighbours leave out pairs of runs longer than reach + 1: there
@@ -252,15 +253,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = scratch.keep(docs.mapInArrow(_signatures, "id long, n_shingles long, same binary, sign binary"), "signatures")
     own = rows.where("same is not null and id is not null")
-    sets = scratch.keep(own.groupBy("same").agg(F.min(F.struct("id", "n_shingles", "sign")).alias("x")).select("same", "x.*").dropDuplicates(["id"]), "sets")
+    sets = scratch.keep(own.groupBy("same").agg(F.min(F.struct("id", "n_shingles", "sign")).alias("x")).select("same", "x.*"), "sets")
+    several = not sets.groupBy("id").count().where("count > 1").isEmpty()
+    if several:  # different sets under one key: nodes are numbered in the order of keys, and those of a key are joined
+        order = sets.repartitionByRange("id", "same").sortWithinPartitions("id", "same")
+        named = scratch.keep(order.select(F.col("id").alias("key"), "same", F.monotonically_increasing_id().alias("id"), "n_shingles", "sign"), "numbered")
+        least = named.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
+        joins = named.join(least, "key").where("id > a").select("a", F.col("id").alias("b"))
+    else:
+        named = sets.select(F.col("id").alias("key"), "same", "id", "n_shingles", "sign")
+    sets = named.drop("key")
     found = candidates(sets, scratch, partitions, reach, threshold)
 
     def read_sets(ids: DataFrame, tag: str) -> DataFrame:
         ends = scratch.keep(ids.distinct(), "ends")
         if ends.count() <= BROADCAST_ROWS:
             ends = F.broadcast(ends)
-        wanted = docs.join(ends, "id", "left_semi").dropDuplicates(["id"])
-        return scratch.keep(wanted.mapInPandas(_full_sets, "id long, s binary"), tag)
+        if not several:
+            texts = docs.join(ends, "id", "left_semi").dropDuplicates(["id"])
+            return scratch.keep(texts.mapInPandas(_full_sets, "id long, same binary, s binary").drop("same"), tag)
+        wanted = named.join(ends, "id", "left_semi").select("key", "same", "id")
+        texts = docs.join(wanted.select(F.col("key").alias("id")).distinct(), "id", "left_semi").mapInPandas(_full_sets, "id long, same binary, s binary")
+        return scratch.keep(texts.withColumnRenamed("id", "key").join(wanted, ["key", "same"]).select("id", "s").dropDuplicates(["id"]), tag)
 
     full = read_sets(found.select(F.explode(F.array("a", "b")).alias("id")), "full")
 
@@ -271,6 +285,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     sided = found.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("own"))
     best = sided.groupBy("own").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "a", "b"))), 1, first_picks).alias("p"))
     first = settle(best.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct(), full, "links")
+    if several:
+        first = first.union(joins)
     joined = scratch.keep(connected_components(first, scratch), "first")
     side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = found.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
@@ -293,7 +309,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
             links = links.union(scratch.keep(_block_links(runs, members, full, threshold), "blocks"))
             member = connected_components(links, scratch)
         scratch.drop(full)
-    nodes = sets.select("same", F.col("id").alias("node")).join(member, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    nodes = named.select("same", "key", F.col("id").alias("node")).join(member, "node", "left").select("same", "key", F.coalesce("component", "node").alias("component"))
+    if several:
+        nodes = nodes.drop("key").join(named.select(F.col("id").alias("component"), "key"), "component").select("same", F.col("key").alias("component"))
     out = rows.join(nodes, "same", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

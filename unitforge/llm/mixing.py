@@ -63,11 +63,12 @@ class Classifier:
         return df.withColumn(out, F.array(*[F.col(name) / whole for name in names])).drop("_slots", *names)
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", rows: int = 20_000, features: int = 100, least: float = 25.0, lift: float = 3.0, max_domains: int = 16) -> Classifier:
+def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", rows: int = 20_000, features: int = 100, least: float = 25.0, lift: float = 3.0) -> Classifier:
     """Fit on the labelled rows, a hash sample of about `rows` of them at most (a bound in rows, documented here).
 
-    labelled: (key, domain); null keys and domains teach nothing, a key labelled twice counts with each label. features words
-    at most for each domain are kept, those with a G-statistic over `least` that are `lift` times as common there as elsewhere. Without labelled rows there is one domain, named "".
+    labelled: (key, domain); null keys and domains teach nothing, a key labelled twice counts with each label, and every domain of the
+    sample is learned. At most `features` words of each domain are kept, those with a G-statistic over `least` that are `lift` times as
+    common there as elsewhere. Without labelled rows, as with an empty table, there is one domain, named "".
     """
     labelled = labelled.select(F.col(key).alias("key"), F.col(domain).alias("domain")).where("key is not null and domain is not null")
     total = labelled.count()
@@ -77,11 +78,12 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", te
         labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
     known = labelled.join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
     own = add_tokens(known, "text").select("domain", "tokens")
-    counts = {r[0]: r[1] for r in own.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(max_domains).collect()}
+    counts = {r[0]: r[1] for r in own.groupBy("domain").count().collect()}
     if not counts:
         return Classifier([""], [0.0], {})
     domains, n = sorted(counts), sum(counts.values())
-    seen = own.where(F.col("domain").isin(domains)).select("domain", F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("all"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)]).where("all >= 5")
+    seen = own.select("domain", F.explode("tokens").alias("w")).groupBy("w")
+    seen = seen.agg(F.count("*").alias("all"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)]).where("all >= 5")
     seen = Scratch(docs.sparkSession, "mix").keep(seen, "words")
     table: dict[str, tuple[int, list[float]]] = {}
     taken: dict[int, float] = {}
@@ -99,8 +101,10 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", te
     return Classifier(domains, start, {w: (slot, [math.log(q) - math.log1p(-q) for q in odds]) for w, (slot, odds) in table.items()})
 
 
-def fit_rates(docs: DataFrame, targets: list[float], scratch: Scratch, tokens: str = "n_tokens", posterior: str = "posterior", budget: float | None = None, rounds: int = 20, tolerance: float = 1e-5, gain: float = 0.01) -> DataFrame:
-    """Append rate: nonnegative, so that the sum of n * p_k * rate over documents comes to targets_k * budget, by projected gradient.
+def fit_rates(docs: DataFrame, targets: list[float], scratch: Scratch, tokens: str = "n_tokens", posterior: str = "posterior", budget: float | None = None, rounds: int = 20, tolerance: float = 1e-5, gain: float = 0.01) -> tuple[DataFrame, list[float]]:
+    """Append rate, and give the expected tokens of each domain as shares of the budget.
+
+    The rate is nonnegative, so that the sum of n * p_k * rate over documents comes to targets_k * budget, by projected gradient.
 
     A document's rate starts at one and moves against the gradient n * p . residual of the squared residual, then is cut at zero.
     Scaled by 1/n (so that a rate depends on what a text is, not on how long it is) and whitened by the domains' Gram matrix, a
@@ -118,8 +122,8 @@ def fit_rates(docs: DataFrame, targets: list[float], scratch: Scratch, tokens: s
         budget = min((h / g for h, g in zip(have, goal, strict=True) if g > 0), default=0.0)
     want = goal * (have.sum() if budget is None else budget)
     docs = docs.withColumn("rate", F.lit(1.0))
-    if have.sum() == 0:
-        return docs
+    if have.sum() == 0 or want.sum() == 0:
+        return docs, [0.0] * k
     inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(k))
     before = math.inf
     for i in range(rounds):
@@ -135,15 +139,17 @@ def fit_rates(docs: DataFrame, targets: list[float], scratch: Scratch, tokens: s
         if i % 5 == 4:
             docs = scratch.keep(docs, "rates")
         have = np.array([x or 0.0 for x in docs.agg(*[F.sum(n * x * F.col("rate")) for x in p]).first()])
-    return docs
+    return docs, (have / want.sum()).tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", budget: float | None = None, seed: int = 0) -> DataFrame:
-    """(key, n_tokens, domain, posterior, rate, copies) of every row of docs.
+    """(key, n_tokens, domain, posterior, rate, copies, residual) of every row of docs.
 
     domain has the largest posterior (the first of equal ones by name). copies is the rate rounded up or down at random by a hash of
-    the key, so that its expectation is the rate. Domains without a target weigh nothing. A null or empty text has no
-    tokens and the posteriors of its marks; repeated keys stay and get equal results for equal texts; an empty table gives none.
+    the key, so that its expectation is the rate. residual, the same in all rows, is by how much the expected share of any domain is off
+    its target at most; the target of a domain without a labelled row can't be met, and counts in it whole. Domains without a target
+    weigh nothing. A null or empty text has no tokens and the posteriors of its marks; very long texts are read whole; repeated and null
+    keys stay and get equal results for equal texts; an empty table gives none; further columns are ignored.
     """
     model = fit_classifier(docs, labelled, key, text)
     slim = add_tokens(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text")
@@ -151,7 +157,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
     scratch = Scratch(docs.sparkSession, "mix")
     slim = scratch.keep(slim.select("key", "n_tokens", "posterior"), "posteriors")
     weights = [targets.get(d, 0.0) for d in model.domains]
-    out = fit_rates(slim, weights if sum(weights) else [1.0] * len(weights), scratch, budget=budget)
+    out, shares = fit_rates(slim, weights if sum(weights) else [1.0] * len(weights), scratch, budget=budget)
+    got, aim = dict(zip(model.domains, shares, strict=True)), max(sum(targets.values()), 1e-300)
+    residual = max((abs(got.get(d, 0.0) - targets.get(d, 0.0) / aim) for d in {*got, *targets}), default=0.0)
     chance = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     best = F.get(F.array(*[F.lit(d) for d in model.domains]), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    return out.select(F.col("key").alias(key), "n_tokens", best.alias("domain"), "posterior", "rate", F.floor(F.col("rate") + chance).cast("long").alias("copies"))
+    return out.select(F.col("key").alias(key), "n_tokens", best.alias("domain"), "posterior", "rate", F.floor(F.col("rate") + chance).cast("long").alias("copies"), F.lit(residual).alias("residual"))

@@ -22,12 +22,13 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 GRAM = 20
-#: Alphabets of reduced strings up to this size are sorted by induction again, larger ones by doubling ranks: the loop
-#: over buckets runs in Python and would cost more than it sorts.
-MAX_BUCKETS = 1024
-SHARD_BYTES = 1 << 19
-#: Rows of a batch that are worked on at once.
-SLICE = 2048
+#: Names of reduced strings are written as digits to this base, so that every level of the recursion has few buckets.
+DIGITS = 256
+SHARD_BYTES = 1 << 20
+#: Texts and bytes that are worked on at once; a longer text goes alone.
+SLICE, CHUNK = 2048, 1 << 18
+#: Set in a code that very many documents hold.
+HOT = 1 << 60
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,26 +98,25 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> tupl
     return large, small
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of a string's suffixes by their first `depth` characters at least, ranks doubling their reach each round."""
-    rank, reach, n = names.astype(np.int64), 1, len(names)
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        reach *= 2
-        if reach >= depth or new[-1] == n - 1:
-            return order
-
-
-def suffix_array(s: np.ndarray, k: int, depth: int | None = None) -> np.ndarray:
-    """Suffix array of s over 0..k-1, whose last character is its only 0. With depth, suffixes that agree in so many
-    characters may stand in any order."""
-    n, depth = len(s), depth or len(s)
+def _spelled(names: np.ndarray, kinds: int) -> tuple[np.ndarray, int]:
+    """Names as equally many digits each, the largest digit first, and a smaller sentinel at the end; how many digits."""
+    width = 1
+    while DIGITS**width < kinds:
+        width += 1
+    out = np.empty(len(names) * width + 1, dtype=np.int64)
+    for j in range(width):
+        out[j : len(names) * width : width] = names // DIGITS ** (width - 1 - j) % DIGITS + 1
+    out[-1] = 0
+    return out, width
+
+
+def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
+    """Suffix array of s over 0..k-1, whose last character is its only 0.
+
+    Leftmost-smaller substrings are named, and the string of names is sorted by recursion, whatever its alphabet: names are spelled in
+    DIGITS, and of the spelled string's suffixes those that begin a name give the order.
+    """
+    n = len(s)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
     s = s.astype(np.uint16 if k <= 65536 else np.int64)
@@ -144,10 +144,11 @@ def suffix_array(s: np.ndarray, k: int, depth: int | None = None) -> np.ndarray:
     if kinds == len(lms):
         ranked = np.empty(len(lms), dtype=np.int64)
         ranked[names] = np.arange(len(lms))
-    elif kinds <= MAX_BUCKETS:
-        ranked = suffix_array(names, kinds, depth)
     else:
-        ranked = _doubled(names, depth)
+        spelled, width = _spelled(names, kinds)
+        ranked = suffix_array(spelled, DIGITS + 1)[1:]
+        if width > 1:
+            ranked = ranked[ranked % width == 0] // width
     large, small = _induce(s, smaller, lms[ranked], k)
     count_l, count_s = np.bincount(s[~smaller], minlength=k), np.bincount(s[smaller], minlength=k)
     shift_l, shift_s = np.cumsum(count_s) - count_s, np.cumsum(count_l)
@@ -184,7 +185,7 @@ def smallest_holders(fragments: list[bytes], lowest: np.ndarray, least: int) ->
     s = raw.astype(np.uint16) + 2
     s[starts + sizes] = 1
     s = np.append(s, 0)
-    order = suffix_array(s, 258, least)[1:]
+    order = suffix_array(s, 258)[1:]
     inside = np.zeros(len(raw), dtype=bool)
     for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
         inside[start : start + size - least + 1] = True
@@ -202,8 +203,8 @@ def smallest_holders(fragments: list[bytes], lowest: np.ndarray, least: int) ->
 # --- minimizers and fragments ----------------------------------------------------------------------------------------
 
 
-def minimizers(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, first window, last window + 1) of each run of windows with the same minimizer, for a text of `least` bytes or more."""
+def _hashes(raw: np.ndarray, least: int) -> np.ndarray:
+    """The smallest hash of GRAM bytes in each window of `least` bytes; raw holds `least` bytes or more."""
     h, span = _BYTE[raw], 1
     parts, done = None, 0
     for bit in (1, 2, 4, 8, 16):  # the hash of GRAM bytes, from those of powers of two
@@ -225,19 +226,43 @@ def minimizers(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
         m = np.minimum(m[:-span], m[span:])
         span *= 2
     windows = len(raw) - least + 1
-    m = np.minimum(m[:windows], m[width - span : width - span + windows])
-    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-    return (m[first] & np.uint64((1 << 48) - 1)).astype(np.int64), first, np.append(first[1:], windows)
+    return np.minimum(m[:windows], m[width - span : width - span + windows])
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def minimizers(raw: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, text, first window, last window + 1) of each run of windows with the same minimizer, for texts that end at `ends` of raw.
 
-
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, max(1, batch.num_rows), SLICE):
-            yield batch.slice(at, SLICE)
+    Windows lie within a text; positions are those of raw.
+    """
+    if len(raw) < least:
+        return (np.zeros(0, np.int64),) * 4
+    m = _hashes(raw, least)
+    inside = np.repeat(ends, np.diff(ends, prepend=0))[: len(m)] >= np.arange(least, len(m) + least)
+    new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (inside[1:] != inside[:-1]))))
+    last = np.append(new[1:], len(m))
+    own = inside[new]
+    first = new[own]
+    code = (m[first] & np.uint64((1 << 48) - 1)).astype(np.int64)
+    return code, np.searchsorted(ends, first, side="right"), first, last[own]
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column's texts one after the other, and where each begins, the end included."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, starts with the end) of parts of a column with about CHUNK bytes each; a text is never cut."""
+    raw, at = _bytes_of(column)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, min(row + SLICE, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1))
+        yield row, to, raw[at[row] : at[to]], at[row : to + 1] - at[row]
+        row = to
 
 
 def _codes(least: int):
@@ -245,81 +270,101 @@ def _codes(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(minimizers(raw, least)[0]) for t in batch.column(0).to_pylist() if len(raw := _bytes(t)) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["code"])
+            for _, _, raw, at in _chunks(batch.column(0)):
+                code, row, _, _ = minimizers(raw, at[1:], least)
+                own = np.unique(row << 48 | code) & ((1 << 48) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(own)], names=["code"])
 
     return run
 
 
 def _packed(least: int, buckets: int, common: np.ndarray):
-    """(bucket, codes, documents): the batch's distinct minimizers as packed arrays, in the documents' order."""
+    """(bucket, codes, documents): a chunk's distinct minimizers as packed arrays, in the documents' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            codes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = _bytes(t)
-                if len(raw) >= least:
-                    codes.append(c := np.unique(minimizers(raw, least)[0]))
-                    ids.append(np.full(len(c), i, dtype=np.int64))
-            code, doc = np.concatenate(codes), np.concatenate(ids)
-            keep = ~np.isin(code, common)
-            code, doc = code[keep], doc[keep]
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            parts = []
+            for a, _, raw, at in _chunks(batch.column(1)):
+                code, row, _, _ = minimizers(raw, at[1:], least)
+                own = np.unique(row << 48 | code)
+                code = own & ((1 << 48) - 1)
+                keep = ~np.isin(code, common)
+                parts.append((code[keep], ids[a + (own >> 48)[keep]]))
+            if not parts:
+                continue
+            code, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
             at = (code % buckets).astype(np.int32)
             order = np.argsort(at.astype(np.uint16) if buckets <= 65536 else at, kind="stable")
             at, code, doc = at[order], code[order], doc[order]
             cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-            out = [(int(at[a]), code[a:b].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.diff(doc[a:b], prepend=0).astype("<i8")) for a, b in zip(cuts, [*cuts[1:], len(at)][: len(cuts)], strict=True)]
-            docs = [x.astype("<i4").tobytes() if len(x) == 0 or np.abs(x).max() < 1 << 31 else b"L" + x.tobytes() for _, _, x in out]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array(docs, pa.binary())], names=["bucket", "codes", "docs"])
+            six = code.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+            codes, docs = [], []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=False):
+                codes.append(six[a:b].tobytes())
+                step = np.diff(doc[a:b], prepend=0)
+                docs.append(step.astype("<i4").tobytes() if np.abs(step).max() < 1 << 31 else b"L" + step.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(at[cuts]), pa.array(codes, pa.binary()), pa.array(docs, pa.binary())], names=["bucket", "codes", "docs"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, code) of the minimizers that more than one row of the partition's buckets holds."""
-    codes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        for c, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            wide = np.zeros((len(c) // 6, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(c, dtype=np.uint8).reshape(-1, 6)
-            codes.append(wide.reshape(-1).view("<i8"))
-            docs.append(np.cumsum(np.frombuffer(d[1:], "<i8") if len(d) % 4 else np.frombuffer(d, "<i4").astype(np.int64)))
-    code, doc = np.concatenate(codes), np.concatenate(docs)
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    again = code[1:] == code[:-1]
-    more = np.concatenate((again, [False])) | np.concatenate(([False], again)) if len(code) else again
-    for a in range(0, int(more.sum()), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[order][more][a : a + (1 << 16)]), pa.array(code[more][a : a + (1 << 16)])], names=["id", "code"])
+def _shared(crowd: int):
+    """(id, code) of the minimizers that more than one row of the partition's buckets holds; HOT is set in those of over `crowd` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for c, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wide = np.zeros((len(c) // 6, 8), dtype=np.uint8)
+                wide[:, :6] = np.frombuffer(c, dtype=np.uint8).reshape(-1, 6)
+                codes.append(wide.reshape(-1).view("<i8"))
+                docs.append(np.cumsum(np.frombuffer(d[1:], "<i8") if len(d) % 4 else np.frombuffer(d, "<i4").astype(np.int64)))
+        code, doc = np.concatenate(codes), np.concatenate(docs)
+        order = np.argsort(code, kind="stable")
+        code, doc = code[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(code)))
+        many = np.repeat(size, size)
+        code, doc = np.where(many > crowd, code | HOT, code)[many > 1], doc[many > 1]
+        for a in range(0, len(code), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + (1 << 16)]), pa.array(code[a : a + (1 << 16)])], names=["id", "code"])
+
+    return run
+
+
+def _slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """raw[start : start + size] of each as binary values."""
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    data = raw[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def _fragments(least: int, common: np.ndarray):
     """(hot, code, fragment, id, v, at): the windows around a document's shared minimizers; hot marks those around common ones."""
     names = ["hot", "code", "fragment", "id", "v", "at"]
-    kinds = [pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-        for batch in _sliced(batches):
-            for i, t, listed, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                if len(raw) < least:
-                    continue
-                code, first, end = minimizers(np.frombuffer(raw, dtype=np.uint8), least)
+        for batch in batches:
+            ids, kinds = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            listed = batch.column(2)
+            known = listed.flatten().to_numpy()
+            lists = np.concatenate(([0], np.cumsum(listed.value_lengths().to_numpy())))
+            for a, b, raw, at in _chunks(batch.column(1)):
+                code, row, first, last = minimizers(raw, at[1:], least)
+                own = known[lists[a] : lists[b]]
+                key = np.repeat(np.arange(b - a), np.diff(lists[a : b + 1])) << 48 | (own & ~HOT)
+                order = np.argsort(key)
+                key, own = key[order], own[order]
                 hot = np.isin(code, common)
-                some = np.flatnonzero(np.isin(code, np.array(listed, dtype=np.int64)) | hot)
-                for h, c, a, b in zip(hot[some].tolist(), code[some].tolist(), first[some].tolist(), end[some].tolist(), strict=True):
-                    rows.append((h, c, raw[a : b - 1 + least], i, v, a))
-                if len(rows) > 50_000:
-                    yield out()
-                    rows = []
-        yield out()
+                some = hot
+                if len(key):
+                    place = np.minimum(np.searchsorted(key, row << 48 | code), len(key) - 1)
+                    found = key[place] == (row << 48 | code)
+                    some, hot = hot | found, hot | (found & (own[place] & HOT > 0))
+                code, row, first, last, hot = code[some], row[some], first[some], last[some], hot[some]
+                columns = [pa.array(hot), pa.array(code), _slices(raw, first, last - 1 + least - first), pa.array(ids[a + row]), pa.array(kinds[a + row]), pa.array(first - at[row])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -392,11 +437,11 @@ def _shard(least: int):
             if size >= SHARD_BYTES:
                 settle()
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "v", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "v", "spans"])
                 out = []
         settle()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "v", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "v", "spans"])
 
     return run
 
@@ -468,7 +513,7 @@ def _spans(least: int):
                     pairs = edge.reshape(-1, 2) + at
                     pairs[:, 1] += least - 1
                     out.append((i, v, pairs.astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["id", "v", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["id", "v", "spans"])
 
     return run
 
@@ -510,7 +555,7 @@ def _cut(least: int, kept_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, often: int = 2, crowd: int = 50_000) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, often: int = 2, crowd: int = 50_000, hot: int = 1024) -> DataFrame:
     """df's rows without text, with n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text.
 
     Every byte is removed that a string of `least` bytes covers which also starts in a document with a smaller key. A null text counts as
@@ -519,18 +564,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     empty table gives an empty result. df's other columns stay, but for those named like the new ones. kept_text drops the rest of a
     UTF-8 character that a removed run cuts.
 
-    A sample of documents only finds common minimizers: those that `often` of its documents hold. Their fragments are
-    aggregated before they are dealt out, so that a fragment of very many documents is one row; if more than `crowd` different
-    fragments of a minimizer are left, as around a passage of very many documents, they are compared window by window through an aggregation.
-    Results depend on none of the three. Other minimizers' occurrences meet in one task each.
+    Minimizers that `often` documents of a sample hold are left out of the count that finds shared ones; of the others, that count
+    tells which more than `hot` documents hold. The fragments of both are aggregated before they are dealt out, so that a fragment of
+    very many documents is one row; if more than `crowd` different fragments of a minimizer are left, as around a passage of very many
+    documents, they are compared window by window through an aggregation. Results depend on none of the four. Other minimizers'
+    occurrences meet in one task each. least under GRAM + 8 is refused.
     """
+    if least < GRAM + 8:
+        raise ValueError(f"least is {least}; minimizers need {GRAM + 8} bytes or more")
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "suffix")
-    least = max(least, GRAM + 8)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     value = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("id"), value.alias("text")).where("id is not null")
-    slim = scratch.keep(docs.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.hash("text").alias("v"), F.octet_length("text").alias("n")), "digests")
-    firsts = slim.where(F.col("n") >= least).groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    slim = scratch.keep(docs.select("id", digest.alias("digest"), F.xxhash64("text").alias("v"), F.octet_length("text").alias("n")), "digests")
+    firsts = slim.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.max("v").alias("v"), F.count("*").alias("rows"))
     total = slim.agg(F.count("*").alias("docs"), F.sum("n").alias("bytes")).first()
     if not total["docs"]:
         common = np.zeros(0, dtype=np.int64)
@@ -540,23 +588,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
         common = np.array([r["code"] for r in found.collect()], dtype=np.int64)  # bounded by the sample
     buckets = 4 * max(partitions, (total["bytes"] or 0) // 16_000_000)
     packed = docs.mapInArrow(_packed(least, buckets, common), "bucket int, codes binary, docs binary")
-    shared = scratch.keep(packed.repartition(max(1, buckets // 4), "bucket").mapInArrow(_shared, "id long, code long"), "shared")
+    shared = scratch.keep(packed.repartition(max(1, buckets // 4), "bucket").mapInArrow(_shared(hot), "id long, code long"), "shared")
     # One row holds each text: the first of equal ones.
-    chosen = firsts.select(F.col("first").alias("id"), "h1").distinct()
+    chosen = firsts.select(F.col("first").alias("id"), "v")
     lists = shared.groupBy("id").agg(F.collect_set("code").alias("codes"))
-    listed = chosen.join(lists, "id", "left").select("id", "h1", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
+    listed = chosen.join(lists, "id", "left").select("id", "v", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
     if not len(common):
         listed = listed.where(F.size("codes") > 0)
-    texts = docs.withColumn("h1", F.xxhash64("text")).join(listed, ["id", "h1"])
-    pieces = texts.select("id", "text", "codes", F.hash("text").alias("v")).mapInArrow(_fragments(least, common), "hot boolean, code long, fragment binary, id long, v int, at long")
+    texts = docs.withColumn("v", F.xxhash64("text")).join(listed, ["id", "v"])
+    pieces = texts.select("id", "text", "codes", "v").mapInArrow(_fragments(least, common), "hot boolean, code long, fragment binary, id long, v long, at long")
     pieces = scratch.keep(pieces, "fragments")
     scratch.drop(shared)
     shards = max(partitions, (total["bytes"] or 0) // 16_000_000)
-    spans = pieces.where("not hot").drop("hot").repartition(shards, "code").mapInArrow(_shard(least), "id long, v int, spans binary")
-    if len(common):
-        hot = pieces.where("hot").withColumn("mark", F.unhex(F.md5("fragment")))
-        distinct = hot.groupBy("code", "mark").agg(F.first("fragment").alias("fragment"), F.min("id").alias("low"), F.max("id").alias("high"))
-        distinct = scratch.keep(distinct, "distinct")
+    spans = pieces.where("not hot").drop("hot").repartition(shards, "code").mapInArrow(_shard(least), "id long, v long, spans binary")
+    many = pieces.where("hot")
+    if not many.isEmpty():
+        distinct = many.groupBy("code", "fragment").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        distinct = scratch.keep(distinct.withColumn("mark", F.unhex(F.md5("fragment"))), "distinct")
         crowded = scratch.keep(distinct.groupBy("code").count().where(F.col("count") > crowd).select("code"), "crowded")
         held = distinct.join(crowded, "code", "left_anti").repartition(shards, "code").mapInArrow(_holders(least), "mark binary, holders binary")
         if not crowded.isEmpty():
@@ -564,15 +612,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
             lowest = windows.groupBy("window").agg(F.min("low").alias("holder"))
             lists = windows.join(lowest, "window").groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("at", "holder"))).alias("h"))
             held = held.union(lists.select("mark", F.transform("h", lambda x: x["holder"]).alias("h")).mapInArrow(_pack, "mark binary, holders binary"))
-        places = hot.select("id", "v", "at", (F.length("fragment") - least + 1).cast("long").alias("windows"), "mark").join(held, "mark")
-        spans = spans.union(places.select("id", "v", "at", "windows", "holders").mapInArrow(_spans(least), "id long, v int, spans binary"))
+        places = many.select("id", "v", "at", (F.length("fragment") - least + 1).cast("long").alias("windows"), F.unhex(F.md5("fragment")).alias("mark")).join(held, "mark")
+        spans = spans.union(places.select("id", "v", "at", "windows", "holders").mapInArrow(_spans(least), "id long, v long, spans binary"))
     spans = scratch.keep(spans.groupBy("id", "v").agg(F.collect_list("spans").alias("_spans")), "spans")
     scratch.drop(pieces)
-    copies = slim.join(firsts.where("rows > 1"), ["h1", "h2", "n"]).where("id > first").select("id", "v").distinct().withColumn("_copy", F.lit(True))
+    copies = slim.select("id", "digest", F.col("v").alias("own")).join(firsts.where("rows > 1"), "digest").where("id > first").select("id", F.col("own").alias("v")).distinct().withColumn("_copy", F.lit(True))
     facts = spans.join(copies, ["id", "v"], "full").withColumnsRenamed({"id": "_id", "v": "_v"})
     names = {"n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if kept_text else [])}
     columns = [c for c in df.columns if c != text and c.lower() not in names]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(key).cast("long").alias("_id"), value.alias("_text")).withColumn("_v", F.hash("_text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(key).cast("long").alias("_id"), value.alias("_text")).withColumn("_v", F.xxhash64("_text"))
     rows = rows.join(facts, ["_id", "_v"], "left").select(*[F.col(f"`{c}`") for c in columns], "_text", "_spans", "_copy")
     new = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + ([T.StructField("kept_text", T.StringType())] if kept_text else [])
     schema = T.StructType([f for f in rows.schema.fields if f.name in columns] + new)
