@@ -70,23 +70,26 @@ def test_unigram_production():
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=0, max_size=120), st.sampled_from([2, 3, 256]))
-def test_suffix_array(values, digits):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=0, max_size=120) | st.lists(st.integers(1, 40), max_size=150), st.sampled_from([(300, 16), (0, 1), (0, 2), (0, 5)]))
+def test_suffix_array(values, blocks):
     s = np.array([*values, 0])
-    old, suffix_dedup.DIGITS = suffix_dedup.DIGITS, digits
+    old = suffix_dedup.FEW, suffix_dedup.BLOCKS
+    suffix_dedup.FEW, suffix_dedup.BLOCKS = blocks
     try:
-        order = suffix_dedup.suffix_array(s, 6)
+        order = suffix_dedup.suffix_array(s, int(s.max()) + 1)
     finally:
-        suffix_dedup.DIGITS = old
+        suffix_dedup.FEW, suffix_dedup.BLOCKS = old
     assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_suffix_array_of_a_large_alphabet():
-    """Names of reduced strings are many here: the recursion is on digits, whatever their number."""
+@pytest.mark.parametrize("kinds", [700, 20_000])
+def test_suffix_array_of_a_large_alphabet(kinds):
+    """Names of reduced strings are many here, and long passages repeat: every level sorts by induction."""
     rng = np.random.default_rng(3)
-    s = np.append(np.tile(rng.integers(1, 20_000, 3000), 2), 0)
-    assert suffix_dedup.suffix_array(s, 20_001).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    part = rng.integers(1, kinds, 2000)
+    s = np.concatenate([part, part, np.full(300, 5), part[500:900], np.tile([7, 9], 200), part[::-1], [0]])
+    assert suffix_dedup.suffix_array(s, kinds).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
 @settings(max_examples=60, deadline=None)
@@ -94,12 +97,29 @@ def test_suffix_array_of_a_large_alphabet():
 def test_smallest_holders(texts):
     parts = [t.encode() for t in texts]
     low = np.arange(len(parts))[::-1].copy()
-    got = suffix_dedup.smallest_holders(parts, low, 10)
+    got = suffix_dedup.smallest_holders(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), low, 10)
     for part, own in zip(parts, got, strict=True):
         for p, h in enumerate(own.tolist()):
             assert h == min(low[i] for i, other in enumerate(parts) if part[p : p + 10] in other)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abc", min_size=60, max_size=140), min_size=2, max_size=6), st.randoms())
+def test_fragments_that_may_share(texts, rng):
+    """A fragment that shares a window with another one of its minimizer is never left out."""
+    texts = [*texts, texts[0][10:100] + texts[-1], texts[0]]
+    raws = [t.encode() for t in texts]
+    raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    code, _, first, last = suffix_dedup.minimizers(raw, np.cumsum([len(r) for r in raws]), 50)
+    parts = list(dict.fromkeys((int(c), raw[a : b + 49].tobytes()) for c, a, b in zip(code, first, last, strict=True)))
+    rng.shuffle(parts)
+    may = suffix_dedup.may_share(np.frombuffer(b"".join(f for _, f in parts), np.uint8), np.array([len(f) for _, f in parts]), np.array([c for c, _ in parts]), 50)
+    for i, (c, f) in enumerate(parts):
+        windows = {f[p : p + 50] for p in range(len(f) - 49)}
+        if any(d == c and j != i and any(w in g for w in windows) for j, (d, g) in enumerate(parts)):
+            assert may[i]
+
+
 def test_shingles():
     assert len(lsh_forest.shingles(None)) == len(lsh_forest.shingles("")) == len(lsh_forest.shingles(" \n\t")) == 0
     assert len(lsh_forest.shingles("a b")) == 1

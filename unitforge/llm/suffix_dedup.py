@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +23,13 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 GRAM = 20
-#: Names of reduced strings are written as digits to this base, so that every level of the recursion has few buckets.
-DIGITS = 256
-SHARD_BYTES = 1 << 20
+#: Buckets of alphabets beyond FEW are induced in about so many blocks of neighbouring buckets, each in rounds of whole slices.
+FEW, BLOCKS = 300, 16
+SHARD_BYTES = 1 << 21
 #: Texts and bytes that are worked on at once; a longer text goes alone.
 SLICE, CHUNK = 2048, 1 << 18
-#: Set in a code that very many documents hold.
-HOT = 1 << 60
+#: Bits of a minimizer's code, and what is set in one that very many documents hold.
+CODE, HOT = (1 << 48) - 1, 1 << 60
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,6 +57,50 @@ def _deal(to: np.ndarray, chars: np.ndarray, values: np.ndarray, ends: np.ndarra
     ends[c[new]] += way * size
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _blocks_of(s: np.ndarray, k: int) -> list[int]:
+    """Borders of blocks of buckets with about equally many suffixes; a character of long runs has a block of its own.
+
+    A block takes as many rounds as its longest chain of suffixes that induce each other, which such runs would make long.
+    """
+    if k <= FEW:
+        return list(range(k + 1))
+    mass = np.cumsum(np.bincount(s, minlength=k))
+    run = s[:-1] == s[1:]
+    for step in (1, 2, 4):  # eight in a row
+        run = run[:-step] & run[step:]
+    again = np.unique(s[: len(run)][run]).astype(np.int64)
+    borders = np.flatnonzero(np.diff(mass * BLOCKS // (len(s) + 1))) + 1
+    return np.unique(np.concatenate(([0, 1, k], borders, again, again + 1))).tolist()
+
+
+def _rounds(scanned: np.ndarray, keys: np.ndarray, given: np.ndarray, order: np.ndarray, s: np.ndarray, takes: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that belong into a block in the order of the scan, and those before them that belong into later blocks.
+
+    given, in order of their keys `order`, came from earlier blocks; scanned, with their keys, are read too but don't belong to the
+    buckets that are filled. takes tells which suffixes are induced; key gives the place of a character's bucket within the block, and
+    a negative number outside of it. Rounds go on until no suffix of the block moves any more.
+    """
+    own, at = given, order
+    while True:
+        every, place = np.concatenate((own, scanned)), np.concatenate((2 * at, 2 * keys + 1))
+        every = every[np.argsort(place, kind="stable")]
+        before = every[every > 0] - 1
+        before = before[takes[before]]
+        to = key(s[before])
+        inside = to >= 0
+        new, place = np.concatenate((given, before[inside])), np.concatenate((order, to[inside]))
+        by = np.argsort(place, kind="stable")
+        new, place = new[by], place[by]
+        if len(new) == len(own) and (new == own).all():
+            return own, before[~inside]
+        own, at = new, place
+
+
 def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order induced from the given order of LMS suffixes: the L-type and the S-type suffixes, each by bucket."""
     chars = s[lms]
@@ -66,55 +111,72 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> tupl
     large, small = np.empty(end_l[-1], dtype=np.int64), np.empty(end_s[-1], dtype=np.int64)
     head = end_l - count_l
     start = head.copy()
-    for c in range(k):
-        at = start[c]
-        while at < head[c]:  # a round more for each repetition of the character
-            own, at = large[at : head[c]], head[c]
-            before = own[own > 0] - 1
-            before = before[~smaller[before]]
+    borders, larger = _blocks_of(s, k), ~smaller
+    for c, to in zip(borders, borders[1:], strict=False):
+        own = lms[lms_end[c - 1] if c else 0 : lms_end[to - 1]]
+        if to - c > 1:
+            came = head[c:to] - start[c:to]
+            given, order = large[_ranges(start[c:to], came)], np.repeat(np.arange(to - c), came)
+            filled, before = _rounds(own, s[own].astype(np.int64) - c, given, order, s, larger, lambda x, c=c, to=to: np.where(x < to, x.astype(np.int64) - c, -1))
+            large[_ranges(start[c:to], count_l[c:to])] = filled
+            head[c:to] = end_l[c:to]
             if len(before):
                 _deal(large, s[before], before, head, 1)
-        own = lms[lms_end[c - 1] if c else 0 : lms_end[c]]
-        before = own[own > 0] - 1
+            continue
+        at, to, out = int(start[c]), int(head[c]), []
+        while at < to:  # a round more for each repetition of the character
+            run, at = large[at:to], to
+            before = run[run > 0] - 1
+            before = before[larger[before]]
+            same = s[before] == c
+            again = before[same]
+            large[to : to + len(again)] = again
+            to += len(again)
+            out.append(before[~same])
+        head[c] = to
+        out.append(own[own > 0] - 1)
+        before = np.concatenate(out)
         if len(before):
             _deal(large, s[before], before, head, 1)
     tail = end_s - 1
-    for c in range(k - 1, -1, -1):
-        at = end_s[c] - 1
+    for c, to in zip(borders[-2::-1], borders[:0:-1], strict=True):
         if not c:
-            small[tail[0]] = len(s) - 1  # the sentinel
+            small[tail[0]] = len(s) - 1  # the sentinel, alone in its block
             tail[0] -= 1
-        while at > tail[c]:
-            own, at = small[tail[c] + 1 : at + 1][::-1], tail[c]
-            before = own[own > 0] - 1
-            before = before[smaller[before]]
+        if to - c > 1:
+            came, down = (end_s[c:to] - 1 - tail[c:to])[::-1], slice(c, to)
+            given, order = small[-_ranges(-(end_s[down][::-1] - 1), came)], np.repeat(np.arange(to - c), came)
+            own = large[start[c] : end_l[to - 1]][::-1]
+            filled, before = _rounds(own, to - 1 - s[own].astype(np.int64), given, order, s, smaller, lambda x, c=c, to=to: np.where(x >= c, to - 1 - x.astype(np.int64), -1))
+            small[-_ranges(-(end_s[down][::-1] - 1), count_s[down][::-1])] = filled
+            tail[down] = end_s[down] - count_s[down] - 1
             if len(before):
                 _deal(small, s[before], before, tail, -1)
+            continue
+        at, to, out = int(end_s[c]) - 1, int(tail[c]), []
+        while at > to:
+            run, at = small[to + 1 : at + 1][::-1], to
+            before = run[run > 0] - 1
+            before = before[smaller[before]]
+            same = s[before] == c
+            again = before[same]
+            small[to + 1 - len(again) : to + 1] = again[::-1]
+            to -= len(again)
+            out.append(before[~same])
+        tail[c] = to
         own = large[start[c] : end_l[c]][::-1]
         before = own[own > 0] - 1
-        before = before[smaller[before]]
+        out.append(before[smaller[before]])
+        before = np.concatenate(out)
         if len(before):
             _deal(small, s[before], before, tail, -1)
     return large, small
 
 
-def _spelled(names: np.ndarray, kinds: int) -> tuple[np.ndarray, int]:
-    """Names as equally many digits each, the largest digit first, and a smaller sentinel at the end; how many digits."""
-    width = 1
-    while DIGITS**width < kinds:
-        width += 1
-    out = np.empty(len(names) * width + 1, dtype=np.int64)
-    for j in range(width):
-        out[j : len(names) * width : width] = names // DIGITS ** (width - 1 - j) % DIGITS + 1
-    out[-1] = 0
-    return out, width
-
-
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of s over 0..k-1, whose last character is its only 0.
 
-    Leftmost-smaller substrings are named, and the string of names is sorted by recursion, whatever its alphabet: names are spelled in
-    DIGITS, and of the spelled string's suffixes those that begin a name give the order.
+    Leftmost-smaller substrings are named, and the string of names is sorted by the same way again, whatever its alphabet.
     """
     n = len(s)
     if n == 1:
@@ -145,10 +207,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         ranked = np.empty(len(lms), dtype=np.int64)
         ranked[names] = np.arange(len(lms))
     else:
-        spelled, width = _spelled(names, kinds)
-        ranked = suffix_array(spelled, DIGITS + 1)[1:]
-        if width > 1:
-            ranked = ranked[ranked % width == 0] // width
+        ranked = suffix_array(names, kinds)
     large, small = _induce(s, smaller, lms[ranked], k)
     count_l, count_s = np.bincount(s[~smaller], minlength=k), np.bincount(s[smaller], minlength=k)
     shift_l, shift_s = np.cumsum(count_s) - count_s, np.cumsum(count_l)
@@ -159,69 +218,74 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def long_prefixes(raw: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """In text order: has each suffix a common prefix of at least `least` bytes with the one before it in the suffix array?
+    """In text order: has each suffix a common prefix of at least `least` characters with the one before it in the suffix array?
 
-    The permuted common prefixes, cut at least: compared in text order, eight bytes a step, while they agree. least is 8 or more.
+    The permuted common prefixes, cut at least: compared in text order, four characters (of 16 bits) a step, while they agree. least is
+    4 or more.
     """
     n = len(raw)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    eight = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        eight[: n - j] |= raw[j:].astype(np.uint64) << np.uint64(8 * j)
+    four = np.zeros(n, dtype=np.uint64)
+    for j in range(4):
+        four[: n - j] |= raw[j:].astype(np.uint64) << np.uint64(16 * j)
     at = np.flatnonzero((before >= 0) & (np.arange(n) + least <= n) & (before + least <= n))
-    for j in [*range(0, least - 8, 8), least - 8]:
-        at = at[eight[at + j] == eight[before[at] + j]]
+    for j in [*range(0, least - 4, 4), least - 4]:
+        at = at[four[at + j] == four[before[at] + j]]
     out = np.zeros(n, dtype=bool)
     out[at] = True
     return out
 
 
-def smallest_holders(fragments: list[bytes], lowest: np.ndarray, least: int) -> list[np.ndarray]:
-    """For every window of `least` bytes of each fragment: the smallest document among the fragments that hold it."""
-    sizes = np.array([len(x) for x in fragments])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    raw = np.frombuffer(b"\0".join(fragments) + b"\0", dtype=np.uint8)
-    s = raw.astype(np.uint16) + 2
-    s[starts + sizes] = 1
-    s = np.append(s, 0)
+def smallest_holders(raw: np.ndarray, sizes: np.ndarray, lowest: np.ndarray, least: int) -> list[np.ndarray]:
+    """For every window of `least` bytes of each fragment: the smallest document among the fragments that hold it.
+
+    raw: the fragments' bytes one after the other; lowest: each one's smallest document.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    s = np.full(ends[-1] + 1, 1, dtype=np.uint16)
+    s[np.arange(len(raw)) + owner] = raw.astype(np.uint16) + 2
+    s[-1] = 0
     order = suffix_array(s, 258)[1:]
-    inside = np.zeros(len(raw), dtype=bool)
-    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        inside[start : start + size - least + 1] = True
-    owner = np.repeat(np.arange(len(fragments)), sizes + 1)
+    inside = np.zeros(len(s) - 1, dtype=bool)
+    inside[_ranges(starts, sizes - least + 1)] = True
     order = order[inside[order]]
-    fresh = ~long_prefixes(raw, order, least)[order]
+    fresh = ~long_prefixes(s[:-1], order, least)[order]
     fresh[:1] = True
     group = np.flatnonzero(fresh)
-    low = np.minimum.reduceat(lowest[owner[order]], group)
-    holder = np.empty(len(raw), dtype=np.int64)
+    low = np.minimum.reduceat(lowest[np.searchsorted(ends, order, side="right")], group)
+    holder = np.empty(len(s) - 1, dtype=np.int64)
     holder[order] = np.repeat(low, np.diff(np.append(group, len(order))))
-    return [holder[a : a + n - least + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [holder[a : a + n] for a, n in zip(starts.tolist(), (sizes - least + 1).tolist(), strict=True)]
 
 
 # --- minimizers and fragments ----------------------------------------------------------------------------------------
 
 
-def _hashes(raw: np.ndarray, least: int) -> np.ndarray:
-    """The smallest hash of GRAM bytes in each window of `least` bytes; raw holds `least` bytes or more."""
-    h, span = _BYTE[raw], 1
-    parts, done = None, 0
-    for bit in (1, 2, 4, 8, 16):  # the hash of GRAM bytes, from those of powers of two
-        if GRAM & bit:
+def _grams(raw: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each string of `width` bytes, put together from those of powers of two."""
+    h, span, parts, done = _BYTE[raw], 1, None, 0
+    while span <= width:
+        if width & span:
             piece = h[done:] if done else h
             if parts is None:
                 parts = piece
             else:
                 m = min(len(parts), len(piece))
-                parts = parts[:m] * np.uint64(pow(_BASE, bit, 1 << 64)) + piece[:m]
-            done += bit
+                parts = parts[:m] * np.uint64(pow(_BASE, span, 1 << 64)) + piece[:m]
+            done += span
         h = h[:-span] * np.uint64(pow(_BASE, span, 1 << 64)) + h[span:]
         span *= 2
-    g = parts[: len(raw) - GRAM + 1]
+    g = parts[: len(raw) - width + 1]
     g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    g ^= g >> np.uint64(29)
-    width, m, span = least - GRAM + 1, g, 1
+    return g ^ (g >> np.uint64(29))
+
+
+def _hashes(raw: np.ndarray, least: int) -> np.ndarray:
+    """The smallest hash of GRAM bytes in each window of `least` bytes; raw holds `least` bytes or more."""
+    width, m, span = least - GRAM + 1, _grams(raw, GRAM), 1
     while span * 2 <= width:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
@@ -229,6 +293,38 @@ def _hashes(raw: np.ndarray, least: int) -> np.ndarray:
     return np.minimum(m[:windows], m[width - span : width - span + windows])
 
 
+def may_share(raw: np.ndarray, sizes: np.ndarray, codes: np.ndarray, least: int) -> np.ndarray:
+    """Which fragments can have a window in common with another one; raw: their bytes one after the other; codes: their minimizers'.
+
+    Every window around a minimizer reaches half of what is not minimizer to its left or to its right at least. A fragment whose
+    strings of that reach, to either side, are no other fragment's has no window in common with any. Fragments that hold their
+    minimizer more than once count as such that can.
+    """
+    side = (least - GRAM + 1) // 2
+    ends = np.cumsum(sizes)
+    grams = (_grams(raw, GRAM) & np.uint64(CODE)).astype(np.int64)
+    at = np.flatnonzero(grams == np.repeat(codes, sizes)[: len(grams)])
+    own = np.searchsorted(ends, at, side="right")
+    inside = at + GRAM <= ends[own]
+    at, own = at[inside], own[inside]
+    out = np.bincount(own, minlength=len(sizes)) != 1
+    once = ~out[own]
+    at, own = at[once], own[once]
+    wide = _grams(raw, GRAM + side) if len(raw) >= GRAM + side else np.zeros(0, np.uint64)
+    left, right = at - side >= (ends - sizes)[own], at + GRAM + side <= ends[own]
+    values = np.concatenate((wide[at[left] - side], ~wide[at[right]]))
+    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    out[np.concatenate((own[left], own[right]))[count[inverse] > 1]] = True
+    return out
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(codes), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
 def minimizers(raw: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(code, text, first window, last window + 1) of each run of windows with the same minimizer, for texts that end at `ends` of raw.
 
@@ -242,7 +338,7 @@ def minimizers(raw: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarra
     last = np.append(new[1:], len(m))
     own = inside[new]
     first = new[own]
-    code = (m[first] & np.uint64((1 << 48) - 1)).astype(np.int64)
+    code = (m[first] & np.uint64(CODE)).astype(np.int64)
     return code, np.searchsorted(ends, first, side="right"), first, last[own]
 
 
@@ -272,7 +368,7 @@ def _codes(least: int):
         for batch in batches:
             for _, _, raw, at in _chunks(batch.column(0)):
                 code, row, _, _ = minimizers(raw, at[1:], least)
-                own = np.unique(row << 48 | code) & ((1 << 48) - 1)
+                own = np.unique(row << 48 | code) & CODE
                 yield pa.RecordBatch.from_arrays([pa.array(own)], names=["code"])
 
     return run
@@ -288,8 +384,8 @@ def _packed(least: int, buckets: int, common: np.ndarray):
             for a, _, raw, at in _chunks(batch.column(1)):
                 code, row, _, _ = minimizers(raw, at[1:], least)
                 own = np.unique(row << 48 | code)
-                code = own & ((1 << 48) - 1)
-                keep = ~np.isin(code, common)
+                code = own & CODE
+                keep = ~_among(code, common)
                 parts.append((code[keep], ids[a + (own >> 48)[keep]]))
             if not parts:
                 continue
@@ -335,8 +431,7 @@ def _shared(crowd: int):
 
 def _slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """raw[start : start + size] of each as binary values."""
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    data = raw[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+    offsets, data = np.concatenate(([0], np.cumsum(size))), raw[_ranges(start, size)]
     return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
@@ -356,7 +451,7 @@ def _fragments(least: int, common: np.ndarray):
                 key = np.repeat(np.arange(b - a), np.diff(lists[a : b + 1])) << 48 | (own & ~HOT)
                 order = np.argsort(key)
                 key, own = key[order], own[order]
-                hot = np.isin(code, common)
+                hot = _among(code, common)
                 some = hot
                 if len(key):
                     place = np.minimum(np.searchsorted(key, row << 48 | code), len(key) - 1)
@@ -369,79 +464,75 @@ def _fragments(least: int, common: np.ndarray):
     return run
 
 
+def _windows_of(code: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The smallest document of all windows of each distinct fragment, and of each window of those whose windows differ in it.
+
+    Fragments are in the order of their codes. A code's only fragment needs no sorting; of the others those that can have a window in
+    common are sorted by suffix arrays of SHARD_BYTES at least, the codes of one together.
+    """
+    low, held = low.copy(), {}
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    size = np.diff(np.append(first, len(code)))
+    several = np.repeat(size, size) > 1
+    place = np.cumsum(np.add.reduceat(np.where(several, sizes, 0), first)) // SHARD_BYTES
+    todo = np.flatnonzero(several)
+    part_of = np.repeat(place, size)[todo]
+    for part in np.split(todo, np.flatnonzero(np.diff(part_of)) + 1) if len(todo) else []:
+        part = part[may_share(raw[_ranges(starts[part], sizes[part])], sizes[part], code[part], least)]
+        if not len(part):
+            continue
+        for f, h in zip(part.tolist(), smallest_holders(raw[_ranges(starts[part], sizes[part])], sizes[part], low[part], least), strict=True):
+            if (h == h[0]).all():
+                low[f] = h[0]
+            else:
+                held[f] = h
+    return low, held
+
+
+def _whole(batches: Iterator[pa.RecordBatch], order: list[str]) -> pa.Table | None:
+    """All rows of the partition, which holds one shard, in order."""
+    parts = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in order]).combine_chunks() if parts else None
+
+
+def _spans_batch(ids: np.ndarray, v: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(16)
+    spans = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs.astype("<i8")))])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v), spans], names=["id", "v", "spans"])
+
+
 def _shard(least: int):
     """(id, v, spans) of a partition's fragments: the removed runs of each occurrence, as packed pairs of start and end.
 
-    Occurrences of one code are together; codes are taken in rising order and sorted by suffix arrays of SHARD_BYTES at least.
-    Codes with one distinct fragment need no sorting: all its windows have the same smallest document.
+    Occurrences of one code are together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not parts:
+        if (table := _whole(batches, ["code", "fragment"])) is None:
             return
-        table = pa.concat_tables(parts).combine_chunks().sort_by("code")
-        code = table.column("code").to_numpy()
-        doc, kind, at = (table.column(c).to_numpy() for c in ("id", "v", "at"))
-        texts = table.column("fragment")
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))), len(code)).tolist()
-        out: list[tuple] = []
-        distinct: list[bytes] = []
-        low: list[int] = []
-        where: list[tuple[int, int]] = []  # row, fragment
-        size = 0
-
-        def emit(row: int, windows: int, h) -> None:
-            """h: the smallest document of every window, or one for all."""
-            i, start = int(doc[row]), int(at[row])
-            if np.ndim(h) == 0:
-                if h < i:
-                    out.append((i, int(kind[row]), np.array([start, start + windows - 1 + least], dtype="<i8").tobytes()))
-                return
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], h < i, [False])).view(np.int8)))
-            if len(edge):
-                pairs = edge.reshape(-1, 2) + start
-                pairs[:, 1] += least - 1
-                out.append((i, int(kind[row]), pairs.astype("<i8").tobytes()))
-
-        def settle() -> None:
-            nonlocal distinct, low, where, size
-            if distinct:
-                held = smallest_holders(distinct, np.array(low, dtype=np.int64), least)
-                same = [int(h[0]) if (h == h[0]).all() else None for h in held]
-                for row, f in where:
-                    emit(row, len(held[f]), held[f] if same[f] is None else same[f])
-            distinct, low, where, size = [], [], [], 0
-
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a == 1:
-                continue  # one occurrence: nobody else holds it
-            own = texts.slice(a, b - a).to_pylist()
-            index: dict[bytes, int] = {}
-            lowest: list[int] = []
-            for text, i in zip(own, doc[a:b].tolist(), strict=True):
-                if (f := index.get(text)) is None:
-                    index[text] = len(lowest)
-                    lowest.append(i)
-                elif i < lowest[f]:
-                    lowest[f] = i
-            if len(index) == 1:
-                for row in range(a, b):
-                    emit(row, len(own[0]) - least + 1, lowest[0])
-                continue
-            base = len(distinct)
-            distinct += index
-            low += lowest
-            where += [(a + k, base + index[text]) for k, text in enumerate(own)]
-            size += sum(map(len, index))
-            if size >= SHARD_BYTES:
-                settle()
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "v", "spans"])
-                out = []
-        settle()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "v", "spans"])
+        code, doc, v, at = (table.column(c).to_numpy() for c in ("code", "id", "v", "at"))
+        texts = table.column("fragment").chunk(0)
+        raw, bounds = _bytes_of(texts)
+        sizes = np.diff(bounds)
+        again = pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False) & (code[1:] == code[:-1])
+        fresh = np.concatenate(([True], ~again))
+        first, kind = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        low, held = _windows_of(code[first], raw, bounds[first], sizes[first], np.minimum.reduceat(doc, first), least)
+        parted = np.zeros(len(first), dtype=bool)
+        parted[list(held)] = True
+        rows = np.flatnonzero(~parted[kind] & (low[kind] < doc))
+        for a in range(0, len(rows), 1 << 16):
+            part = rows[a : a + (1 << 16)]
+            yield _spans_batch(doc[part], v[part], np.stack([at[part], at[part] + sizes[part]], axis=1))
+        ids, kinds, pairs = [], [], []
+        for row, f in zip(*(x.tolist() for x in (np.flatnonzero(parted[kind]), kind[parted[kind]])), strict=True):
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], held[f] < doc[row], [False])).view(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                ids.append(doc[row])
+                kinds.append(v[row])
+                pairs.append((at[row] + a, at[row] + b + least - 1))
+        if ids:
+            yield _spans_batch(np.array(ids), np.array(kinds), np.array(pairs))
 
     return run
 
@@ -458,26 +549,18 @@ def _holders(least: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not parts:
+        if (table := _whole(batches, ["code"])) is None:
             return
-        table = pa.concat_tables(parts).combine_chunks().sort_by("code")
         code, low, high = (table.column(c).to_numpy() for c in ("code", "low", "high"))
-        fresh = np.concatenate(([True], code[1:] != code[:-1]))
-        alone = fresh & np.append(fresh[1:], True)
-        marks, texts = table.column("mark"), table.column("fragment")
-        for rows in (np.flatnonzero(alone & (low < high)), np.flatnonzero(~alone)):
-            a = 0
-            while a < len(rows):
-                b, size = a, 0
-                while b < len(rows) and (size < SHARD_BYTES or not fresh[rows[b]]):
-                    size += len(texts[int(rows[b])].as_py())
-                    b += 1
-                part = rows[a:b]
-                own = [texts[int(k)].as_py() for k in part]
-                held = [low[k : k + 1] for k in part] if alone[part[0]] else smallest_holders(own, low[part], least)
-                yield _settled([(marks[int(k)].as_py(), h) for k, h in zip(part, held, strict=True) if h.min() < high[k]])
-                a = b
+        raw, bounds = _bytes_of(table.column("fragment").chunk(0))
+        low, held = _windows_of(code, raw, bounds[:-1], np.diff(bounds), low, least)
+        marks = table.column("mark")
+        parted = np.zeros(len(code), dtype=bool)
+        parted[list(held)] = True
+        rows = np.flatnonzero(~parted & (low < high))
+        yield _settled([(m, low[k : k + 1]) for m, k in zip(marks.take(pa.array(rows)).to_pylist(), rows.tolist(), strict=True)])
+        rows = [k for k, h in held.items() if h.min() < high[k]]
+        yield _settled([(m, held[k]) for m, k in zip(marks.take(pa.array(rows, pa.int64())).to_pylist(), rows, strict=True)])
 
     return run
 
@@ -585,7 +668,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     else:
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total["docs"]))).select("text").distinct()
         found = part.mapInArrow(_codes(least), "code long").groupBy("code").count().where(F.col("count") >= often)
-        common = np.array([r["code"] for r in found.collect()], dtype=np.int64)  # bounded by the sample
+        common = np.sort(np.array([r["code"] for r in found.collect()], dtype=np.int64))  # bounded by the sample
     buckets = 4 * max(partitions, (total["bytes"] or 0) // 16_000_000)
     packed = docs.mapInArrow(_packed(least, buckets, common), "bucket int, codes binary, docs binary")
     shared = scratch.keep(packed.repartition(max(1, buckets // 4), "bucket").mapInArrow(_shared(hot), "id long, code long"), "shared")
