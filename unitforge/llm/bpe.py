@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WINDOW = 8
 #: str.split() also cuts at these four, the tokenizer's \s does not; texts that hold them are encoded as a whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words beyond so many characters, and chunks beyond so many mean lengths, are encoded each time: caches are bounded in bytes too.
+LONG_WORD, LONG_CHUNK = 512, 4
 #: A run of Latin-1 letters and the punctuation after it.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&|)]*)")
 _MULTIPLIERS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(WINDOW)], dtype=np.uint32)
@@ -110,6 +112,8 @@ class ChunkEncoder:
             known[w] = raw
 
     def _encode_words(self, words: list[str]) -> bytes:
+        if len(max(words, key=len, default="")) > LONG_WORD:
+            return b"".join([self.whole(w) if len(w) > LONG_WORD else self._encode_words([w]) for w in words])
         try:
             return b"".join(map(self.ids.__getitem__, words))
         except KeyError:
@@ -132,7 +136,8 @@ class ChunkEncoder:
             head = "" if text[:1].isspace() else words.pop(0)
             tail = "" if text[-1:].isspace() else words.pop()
             value = (head, self._encode_words(words), tail)
-            self.chunks.put(text, value)
+            if len(text) <= LONG_CHUNK * self.mean_chars:
+                self.chunks.put(text, value)
         return value
 
     def encode(self, text: str) -> bytes:

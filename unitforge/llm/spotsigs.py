@@ -7,6 +7,7 @@ the signatures that are rarest in the corpus, and are settled by Jaccard similar
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,16 +36,17 @@ def _chain(p: Column, after: int, parts: Column, i: Column) -> Column:
 
 
 def add_signatures(df: DataFrame, text: str, out: str, chain: int = 2) -> DataFrame:
-    """Append the sorted distinct signatures of a text column (array of longs under 2**32).
+    """Append the sorted distinct signatures of a text column (array of 64-bit longs).
 
     A text without any spot has one signature, of all its words; so has the null text, which counts as empty. Equal texts have equal
-    sets. At the end of a text, chains are shorter.
+    sets. At the end of a text, chains are shorter. Very long texts are read whole, rows are independent, an empty table gives an empty
+    one, and a column named `out` is replaced.
     """
     value, parts = F.coalesce(F.col(text), F.lit("")), F.col(f"{out}_parts")
     df = df.withColumn(f"{out}_parts", pieces(value))
-    spot = lambda p, i: F.when(p.contains(" "), F.xxhash64(p, *[_chain(p, k, parts, i) for k in range(1, chain)]).bitwiseAND(F.lit(0xFFFFFFFF)))
+    spot = lambda p, i: F.when(p.contains(" "), F.xxhash64(p, *[_chain(p, k, parts, i) for k in range(1, chain)]))
     df = df.withColumn(out, F.array_sort(F.array_distinct(F.filter(F.transform(parts, spot), lambda x: x.isNotNull()))))
-    whole = F.array(F.xxhash64(F.array_join(parts, "\n"), value).bitwiseAND(F.lit(0xFFFFFFFF)))
+    whole = F.array(F.xxhash64(F.array_join(parts, "\n"), value))
     return df.withColumn(out, F.when(F.size(out) == 0, whole).otherwise(F.col(out))).drop(f"{out}_parts")
 
 
@@ -59,22 +61,33 @@ def likeness(a: Column, b: Column) -> Column:
     return (both / (F.size(a) + F.size(b) - both)).cast("double")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_bucket: int = 500, max_buckets: int = 1024) -> DataFrame:
+def _table(values: list, kind: str) -> Column:
+    """A small list as one constant."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_bucket: int = 500, most_buckets: int = 1 << 16) -> DataFrame:
     """Append next_<column>: values of the row after this one by descending key; the last row's next is the first.
 
-    Rows are dealt into key ranges by the key's quantiles; each range also gets the first row of the range after it, so no task
-    sorts more than one range. Equal keys are ordered by tie, rows that also agree in it are alike; null keys come last.
+    Rows are dealt into key ranges by the key's quantiles, which grow in number with the table up to most_buckets; beyond, ranges get
+    longer, and a range is sorted by a task that may spill. Each range also gets the first row of the range after it. A key's range is
+    found in two steps, each over about the root of their number. Equal keys are ordered by tie, rows that also agree in it are alike;
+    null keys come last. An empty table gives an empty one; columns named like the new ones are refused by Spark as ambiguous.
     """
     total = df.count()
-    n = max(1, min(max_buckets, math.ceil(total / rows_per_bucket)))
-    cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))), reverse=True) if n > 1 else []
-    bounds = F.array(*[F.lit(int(x)) for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda b: b > F.col(key))))
+    n = max(1, min(most_buckets, math.ceil(total / rows_per_bucket)))
+    cuts = sorted({int(x) for x in df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))}, reverse=True) if n > 1 else []
+    width = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[a : a + width] for a in range(0, len(cuts), width)]
+    over = lambda bounds: F.size(F.filter(bounds, lambda b: b > F.col(key)))
+    group = over(_table([g[-1] for g in groups], "bigint"))  # groups whose bounds are all above the key
+    inside = F.coalesce(over(F.get(_table(groups, "array<bigint>"), group)), F.lit(0))
+    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(group * width + F.greatest(inside, F.lit(0)))
     df = df.withColumns({"_bucket": bucket, "_tie": tie})
     heads = {r["_bucket"]: r["h"] for r in df.groupBy("_bucket").agg(F.min(F.struct(-F.col(key), "_tie")).alias("h")).collect()}
     order = sorted(heads)
     goes_to = {b: order[i - 1] for i, b in enumerate(order)}
-    at = lambda f, kind: F.get(F.array(*[F.lit(f(b) if b in heads else None).cast(kind) for b in range(len(cuts) + 2)]), F.col("_bucket"))
+    at = lambda f, kind: F.get(_table([f(b) if b in heads else None for b in range(len(cuts) + 2)], kind), F.col("_bucket"))
     first = (-F.col(key)).eqNullSafe(at(lambda b: heads[b][0], "bigint")) & F.col("_tie").eqNullSafe(at(lambda b: heads[b][1], "bigint"))
     places = F.when(first, F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra")), F.struct(at(lambda b: goes_to[b], "int").alias("b"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra"))))
     dealt = df.withColumn("_place", F.explode(places)).drop("_bucket").select("*", "_place.b", "_place.extra").drop("_place")

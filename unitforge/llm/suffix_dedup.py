@@ -638,7 +638,7 @@ def _cut(least: int, kept_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, often: int = 2, crowd: int = 50_000, hot: int = 1024) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50, kept_text: bool = False, sample: int = 4096, often: int = 2, crowd: int = 4_096, hot: int = 1024) -> DataFrame:
     """df's rows without text, with n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text.
 
     Every byte is removed that a string of `least` bytes covers which also starts in a document with a smaller key. A null text counts as
