@@ -15,21 +15,29 @@ STRONG = (
 )
 MIN_CONFIDENCE, MIN_STRONG, MIN_BEHAVIORS = 70.0, 1, 1
 NOTE_CHARS, SUMMARY_CHARS = 2000, 1200
+GATE_NOTE = "verdict_gate: weaken malicious->%s (conf=%.1f, strong_hits=%d, behaviors=%d)"
 # --- end of fixed values ---
 
 
 def reply_text(raw: Column) -> Column:
     """the text of a model's reply given as JSON: chat message (whole or in parts), output text, output parts, text or content.
 
-    A reply that isn't a JSON object is its own text.
+    Only strings count as texts, in parts too; of parts those with a text. A reply that has none of these is its own text.
     """
-    at = lambda path: F.get_json_object(raw, path)
-    parts = lambda schema, path: F.array_join(F.transform(F.filter(F.from_json(at(path), schema), lambda x: x["text"].isNotNull()), lambda x: x["text"]), "\n")
-    content = at("$.choices[0].message.content")
-    listed = F.when(content.startswith("["), F.nullif(parts("array<struct<text:string>>", "$.choices[0].message.content"), F.lit("")))
-    outputs = F.transform(F.from_json(at("$.output"), "array<struct<content:array<struct<text:string>>>>"), lambda o: F.array_join(F.transform(F.filter(o["content"], lambda x: x["text"].isNotNull()), lambda x: x["text"]), "\n"))
-    joined = F.nullif(F.array_join(F.filter(outputs, lambda x: x != ""), "\n"), F.lit(""))
-    return F.coalesce(listed, content, at("$.output_text"), joined, at("$.text"), at("$.content"), raw, F.lit(""))
+    doc = F.try_parse_json(raw)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    at = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(doc, path, "string"))
+    content = "$.choices[0].message.content"
+    listed = F.when(kind(content).startswith("ARRAY"), _parts(F.from_json(F.get_json_object(raw, content), "array<struct<text:string>>")))
+    outputs = F.from_json(F.get_json_object(raw, "$.output"), "array<struct<content:array<struct<text:string>>>>")
+    joined = F.array_join(F.filter(F.transform(outputs, lambda o: _parts(o["content"])), lambda x: x.isNotNull()), "\n")
+    return F.coalesce(listed, at(content), at("$.output_text"), F.nullif(joined, F.lit("")), at("$.text"), at("$.content"), raw, F.lit(""))
+
+
+def _parts(items: Column) -> Column:
+    """Texts of parts, a line each; null where no part has any."""
+    texts = F.filter(F.transform(items, lambda x: x["text"]), lambda t: t.isNotNull() & (t != ""))
+    return F.nullif(F.array_join(texts, "\n"), F.lit(""))
 
 
 def safe_json(text: Column) -> Column:
@@ -73,7 +81,7 @@ def gate(verdict: Column, conf: Column, family: Column, behaviors: Column, claim
     weak_to = weak_to.strip().lower() if weak_to.strip().lower() in ("unknown", "benign") else "unknown"
     weak = (v == "malicious") & ((c < min_confidence) | (hits < (min_strong or 1)) | (n < (min_behaviors or 1)))
     old = strip(note)
-    said = F.concat(F.lit(f"verdict_gate: weaken malicious->{weak_to} (conf="), F.format_string("%.1f", c), F.lit(", strong_hits="), hits, F.lit(", behaviors="), n, F.lit(")"))
+    said = F.format_string(GATE_NOTE, F.lit(weak_to), c, hits, n)
     return F.struct(
         F.when(weak, F.lit(weak_to)).otherwise(v).alias("verdict"), c.alias("confidence"), F.when(weak | (v != "malicious"), "unknown").otherwise(F.coalesce(family, F.lit("unknown"))).alias("family"),
         F.when(weak, F.when(old == "", said).otherwise(F.concat(old, F.lit(" | "), said))).otherwise(F.coalesce(note, F.lit(""))).alias("note"), hits.alias("strong_hits"),

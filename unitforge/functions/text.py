@@ -168,10 +168,14 @@ def extract(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def extract_where(c: Column, pattern: str, *marks: str) -> Column:
+    """extract(), run only on texts that hold one of the marks, without which the pattern can't match."""
+    return F.when(contains_any(c, marks), extract(c, pattern)).otherwise(F.array().cast("array<string>"))
+
+
 def domains(c: Column) -> Column:
-    """domain names, without those of the android namespace and such that are a whole URL."""
-    urls = extract(c, URL)
-    return F.filter(extract(c, DOMAIN), lambda d: ~d.startswith("android.") & ~F.array_contains(urls, d))
+    """domain names, without those of the android namespace; a domain is never a whole URL, as it has no colon."""
+    return F.filter(extract_where(c, DOMAIN, "."), lambda d: ~d.startswith("android."))
 
 
 def audit_literals(strings: Column, lines: Column, limit: int = 16) -> Column:
@@ -295,6 +299,29 @@ def chunked(tokens: Column, width: int) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i * width + 1, F.lit(width)))
 
 
+def truncated(tokens: Column, width: int) -> Column:
+    """V13 in truncate mode: the first window alone; token_len_raw is the length after the cut."""
+    first = F.slice(tokens, 1, width)
+    return F.struct(F.array(first).alias("chunks"), F.size(first).alias("token_len_raw"))
+
+
+def hashed_vector(tokens: Column, width: int = 64) -> Column:
+    """Embedding by feature hashing: each token adds one, up or down, at a place that its digest tells; brought to unit length."""
+    code = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+    zero = F.array_repeat(F.lit(0.0), width)
+    sign = lambda c: F.when(F.floor(c / width) % 2 == 0, 1.0).otherwise(-1.0)
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda v: F.transform(v, lambda x: x / F.when(length(v) == 0, F.lit(1.0)).otherwise(length(v)))
+    return F.aggregate(code, zero, lambda v, c: F.transform(v, lambda x, i: F.when(i == c % width, x + sign(c)).otherwise(x)), unit)
+
+
+def external_vector(sig: Column, perms: Column, mode: str = "zero", width: int = 64) -> Column:
+    """Vector of an external method: zeros, or that of its signature text's tokens; other modes are refused."""
+    if mode not in ("zero", "signature"):
+        raise ValueError(f"unknown mode for external methods: {mode}")
+    return F.array_repeat(F.lit(0.0), width) if mode == "zero" else hashed_vector(F.split(signature_text(sig, perms), r"\s+"), width)
+
+
 def method_text(name: Column, lines: Column, invoke_only: bool = False) -> Column:
     """What an embedder reads of a method: its name and its instructions, or what these call."""
     body = F.transform(F.filter(lines, lambda x: x.startswith("invoke-")), callee) if invoke_only else lines

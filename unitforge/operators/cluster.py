@@ -135,8 +135,8 @@ def token_shards(units: DataFrame, rounds: int = 30) -> DataFrame:
         same = jumped.join(label.withColumnRenamed("shard", "old"), "ord").where("shard <> old").isEmpty()
         label = jumped
         if same:
-            break
-    return units.join(label, "ord")
+            return units.join(label, "ord")
+    raise RuntimeError(f"units' shards did not settle in {rounds} rounds: raise rounds")
 
 
 def leader_clusters(units: DataFrame, params: Params = Params(), weights: dict[str, float] = VIEWS, shards: bool = True) -> DataFrame:  # noqa: B008
@@ -242,3 +242,25 @@ def audit_lists(units: DataFrame, assigned: DataFrame, column: str, cap: int = 3
 def build_summary(assigned: DataFrame) -> DataFrame:
     """Applications, units, clusters made, merges."""
     return assigned.agg(F.countDistinct("apk_id").alias("apks"), F.count("*").alias("bus"), F.count_if(F.col("action") == "create").alias("created"), F.count_if(F.col("action") == "merge").alias("merged"))
+
+
+def prototype_store(units: DataFrame, assigned: DataFrame, labels: DataFrame, audit: list[str] = (), params: Params = Params()) -> dict[str, DataFrame]:  # noqa: B008
+    """The tables of a prototype store: clusters with members, exemplars, labels, roles and audit lists; the inverted index of
+    their frequent tokens; the summary of the build.
+
+    units: (unit_id, psi, q, role_count, <audit lists>); assigned: (ord, unit_id, apk_id, cluster_id, action, semantic_sim).
+    """
+    sizes = cluster_sizes(assigned)
+    index = frequent_psi(psi_counts(units, assigned, params.top_psi), sizes, params.eta, params.cap)
+    listed = lambda df, name, *cols: df.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    families, behaviors = label_counts(assigned, labels)
+    parts = [
+        listed(top_members(assigned, units, params.members), "members", "rank", "unit_id", "sim", "q"),
+        listed(exemplars(assigned, units, params.exemplar_sim, params.exemplars), "exemplars", "rank", "unit_id", "sim", "q"),
+        listed(families, "families", "family", "cnt"), listed(behaviors, "behaviors", "behavior", "cnt"), listed(role_counts(units, assigned), "roles", "role", "cnt"),
+        *[audit_lists(units, assigned, c) for c in audit],
+    ]
+    clusters = sizes
+    for part in parts:
+        clusters = clusters.join(part, "cluster_id", "left")
+    return {"clusters": clusters, "inverted_index": index.select("token", "cluster_id", "cnt"), "build_summary": build_summary(assigned)}

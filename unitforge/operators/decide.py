@@ -146,10 +146,23 @@ def gate_state(state: dict, min_confidence: float = S.MIN_CONFIDENCE, min_strong
     hits = sum(k in text for k in S.STRONG)
     if state["confidence"] >= min_confidence and hits >= (min_strong or 1) and len(behaviors) >= (min_behaviors or 1):
         return state
-    said = f"verdict_gate: weaken malicious->{weak_to} (conf={state['confidence']:.1f}, strong_hits={hits}, behaviors={len(behaviors)})"
+    said = S.GATE_NOTE % (weak_to, state["confidence"], hits, len(behaviors))
     return state | {"verdict": weak_to, "family": "unknown", "note": f"{state['note'].strip()} | {said}" if state["note"].strip() else said}
 
 
+def fold_units(state: dict, rows: pd.DataFrame, llm: LlmFn, batch_size: int) -> tuple[dict, int]:
+    """The state after rows (bu_id, summary) in their order, a batch a call, and the number of calls; the gate runs after each."""
+    calls = 0
+    for a in range(0, len(rows), max(batch_size, 1)):
+        part = rows.iloc[a : a + max(batch_size, 1)]
+        units = [{"bu_id": b, "summary": s} for b, s in zip(part["bu_id"], part["summary"], strict=True)]
+        reply = _json_object(llm(state_prompt(state, units)))
+        done = [*state["processed_bu_ids"], *part["bu_id"]]
+        state = gate_state(normalize_state(reply, state) | {"processed_bu_ids": done})
+        calls += 1
+    return state, calls
+
+
 FOLD_SCHEMA = "apk_id string, verdict string, confidence double, family string, behaviors array<string>, processed array<string>, calls int, note string"
 
 
@@ -161,14 +174,7 @@ def fold_states(summaries: DataFrame, llm: LlmFn = stub_llm, batch_size: int = 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, "bu_id"])
-        state, calls = new_state(pdf["apk_id"].iloc[0]), 0
-        for a in range(0, len(pdf), max(batch_size, 1)):
-            part = pdf.iloc[a : a + max(batch_size, 1)]
-            units = [{"bu_id": b, "summary": s} for b, s in zip(part["bu_id"], part["summary"], strict=True)]
-            reply = _json_object(llm(state_prompt(state, units)))
-            done = [*state["processed_bu_ids"], *part["bu_id"]]
-            state = gate_state(normalize_state(reply, state) | {"processed_bu_ids": done})
-            calls += 1
+        state, calls = fold_units(new_state(pdf["apk_id"].iloc[0]), pdf, llm, batch_size)
         if reconcile:
             state = gate_state(normalize_state(_json_object(llm(reconcile_prompt(state))), state))
             calls += 1

@@ -10,7 +10,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -340,8 +340,10 @@ def attach_text(members: DataFrame, methods: DataFrame, keys: list[str], max_lin
     return members.join(text, [*keys, "sig"], "left")
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, keys: list[str], layers: int = 2, width: int = 32, seed: int = 7) -> DataFrame:
-    """(keys, node_id, h): mean-neighbour encoder with fixed seeded weights in place of trained ones.
+def propagate(nodes: DataFrame, edges: DataFrame, keys: list[str], layers: int = 2, width: int = 32, seed: int = 7, weights: list | None = None) -> DataFrame:
+    """(keys, node_id, h): mean-neighbour encoder with the given weights, else fixed seeded ones in place of trained ones.
+
+    weights: for each layer two matrices, (inputs x outputs), for a node's own vector and its neighbours' mean.
 
     A layer averages the vectors of incoming neighbours and adds a second projection of the node's own; ReLU stands between layers.
     nodes: (keys, node_id, x). Averages are joins and sums; the products run in Arrow batches.
@@ -350,6 +352,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, keys: list[str], layers: int =
 
     rows = nodes.select(*keys, "node_id", F.col("x").cast("array<double>").alias("h"))
     back = edges.select(*keys, F.col("src").alias("node_id"), F.col("dst").alias("to"))
+    given = None if weights is None else [tuple(np.array(m, dtype=float) for m in pair) for pair in weights]
+    layers = layers if given is None else len(given)
     for layer in range(layers):
         parts = rows.join(back, [*keys, "node_id"]).select(*keys, F.col("to").alias("node_id"), F.posexplode("h").alias("i", "v")).groupBy(*keys, "node_id", "i").agg(F.avg("v").alias("v"))
         mean = parts.groupBy(*keys, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("m"))
@@ -362,7 +366,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, keys: list[str], layers: int =
                 if pdf.empty:
                     continue
                 h = np.stack([np.array(x, dtype=float) for x in pdf["h"]])
-                if h.shape[1] not in weights:
+                if given is not None:
+                    weights[h.shape[1]] = given[layer]
+                elif h.shape[1] not in weights:
                     rng = np.random.Generator(np.random.PCG64([seed, layer]))
                     weights[h.shape[1]] = tuple(rng.standard_normal((h.shape[1], width)) / math.sqrt(h.shape[1]) for _ in range(2))
                 m = np.stack([np.zeros(h.shape[1]) if x is None else np.array(x, dtype=float) for x in pdf["m"]])
@@ -386,3 +392,16 @@ def edge_scores(edges: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFr
     h = vectors.select(*keys, "node_id", "h")
     out = edges.join(h.withColumnsRenamed({"node_id": "src", "h": "hs"}), [*keys, "src"]).join(h.withColumnsRenamed({"node_id": "dst", "h": "hd"}), [*keys, "dst"])
     return out.select(*edges.columns, V.dot(F.col("hs"), F.col("hd")).alias("score"))
+
+
+def load_weights(spark: SparkSession, path: str) -> list[list[list[list[float]]]]:
+    """An encoder's weights out of a JSON file {"layers": [{"own": [[...]], "neighbours": [[...]]}]}; small by nature."""
+    row = spark.read.schema("layers array<struct<own:array<array<double>>,neighbours:array<array<double>>>>").json(path, multiLine=True).first()
+    return [[x["own"], x["neighbours"]] for x in row["layers"]]
+
+
+def encoder_weights(spark: SparkSession, path: str, make, rebuild: bool = False) -> list:
+    """The stored weights, unless they are to be made anew or aren't there: then make()'s."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return load_weights(spark, path) if stored and not rebuild else make()

@@ -43,7 +43,7 @@ def list_apks(spark: SparkSession, root: str, years=None, single: str | None = N
 
     single selects one archive by its file stem or path suffix; limit > 0 takes the first rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.apk").option("recursiveFileLookup", "true").load(root).select("path")
+    files = spark.read.format("binaryFile").load(f"{root}/*/*.apk").select("path")
     apks = files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("year"), T.sha_from_path(F.col("path")).alias("apk_sha256"), F.col("path").alias("apk_path"))
     if single:
         apks = apks.where((F.col("apk_sha256") == single.upper()) | F.col("apk_path").endswith(single))
@@ -70,7 +70,7 @@ def _dex_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def list_dex(spark: SparkSession, root: str) -> DataFrame:
     """S3, K5: (apk_path, dex, ord, error) of each archive's classes files, to be ordered by ord; unreadable archives give an error row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.apk").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").load(f"{root}/*/*.apk")
     return files.select("path", "content").mapInPandas(_dex_members, "apk_path string, dex string, ord int, error string")
 
 
@@ -121,7 +121,8 @@ def read_permission_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def permission_map(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Each `<signature>` line belongs to the permission last named above it; lines before any permission are dropped.
+    """Each `<signature>` line belongs to the permission last named above it; lines without one are dropped, as are those
+    under a permission line that names none.
 
     Only the text up to a line's first > is read, so constructors have no signature.
     """
@@ -130,7 +131,7 @@ def permission_map(texts: DataFrame, column: str = "value") -> DataFrame:
     lines = lines.withColumn("line", T.strip(F.col("line")))
     perm = F.when(F.col("line").startswith("Permission:"), T.strip(F.regexp_replace("line", r"\APermission:", "")))
     above = F.last(perm, ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    sigs = lines.withColumn("perm", above).where("perm is not null and line like '<%>%'")
+    sigs = lines.withColumn("perm", above).where("perm <> '' and line like '<%>%'")
     sig = T.smali_signature(F.regexp_extract("line", r"\A(<[^>]*>)", 1))
     return sigs.select(sig.alias("api_sig"), "perm").where("api_sig is not null").groupBy("api_sig").agg(F.array_sort(F.collect_set("perm")).alias("perms"))
 
@@ -155,9 +156,20 @@ def component_roles(manifest: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(apk_id, family, behaviors); key apk_id, else sha; of repeated keys the last line holds; broken lines are skipped."""
+    """(apk_id, family, behaviors); key apk_id, else sha; of repeated keys the last line holds; broken lines are skipped.
+
+    A .json file is one object of such objects by apk_id. A missing file gives an empty table.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return labels(spark.createDataFrame([], f"{schemas.LABELS}, _line long"))
+    if path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<family:string,behaviors:array<string>>>")).alias("apk_id", "x"))
+        return labels(whole.select("apk_id", F.lit(None).cast("string").alias("sha"), "x.family", "x.behaviors", F.lit(0).alias("_line")))
     raw = spark.read.schema(f"{schemas.LABELS}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return labels(raw.withColumn("_line", F.monotonically_increasing_id()))
+    # Within a split of a file the ids rise with the lines; splits are ordered by their file and start.
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+    return labels(raw.withColumn("_line", at))
 
 
 def labels(raw: DataFrame, order: str = "_line") -> DataFrame:
@@ -211,3 +223,13 @@ def pair_units(kb: DataFrame, raw: DataFrame) -> DataFrame:
 def valid_json(df: DataFrame, column: str, schema: str, out: str = "parsed") -> DataFrame:
     """Parse a column; rows that are no JSON of the schema give null."""
     return df.withColumn(out, F.from_json(column, schema))
+
+
+def unit_id(given: Column, path: Column) -> Column:
+    """A unit's id: the given one if it isn't blank, else the stem of its file."""
+    return F.coalesce(F.nullif(T.strip(given), F.lit("")), F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]*)?$", 1))
+
+
+def smali_text(text: Column, lines: Column, content: Column, content_lines: Column, *others: Column) -> Column:
+    """a node's method text: one string, or lines, or an object's content (a string or lines), or the first of its other texts."""
+    return F.coalesce(text, F.array_join(lines, "\n"), content, F.array_join(content_lines, "\n"), *others, F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,45 @@ def unit_markdown(unit_id: Column, phi: Column, internal: Column, external: Colu
     nodes = lambda xs, n: F.array_join(F.transform(F.slice(xs, 1, n), lambda x: F.concat(F.lit("- `"), x["sig"], F.lit("` score="), F.format_string("%.4f", x["score"]))), "\n")
     links = F.array_join(F.transform(F.slice(edges, 1, 300), lambda e: F.concat(F.lit("- `"), e["src_sig"], F.lit("` -> `"), e["dst_sig"], F.lit("`"))), "\n")
     return F.concat(F.lit("# Unit "), unit_id, F.lit("\n\nphi="), F.format_string("%.6f", phi), F.lit("\n\n## Internal\n"), nodes(internal, 60), F.lit("\n\n## External\n"), nodes(external, 40), F.lit("\n\n## Edges\n"), links, F.lit("\n"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_new(df: DataFrame, path: str) -> bool:
+    """K6: write a table unless it is there already; was it written?"""
+    if exists(df.sparkSession, f"{path}/_SUCCESS"):
+        return False
+    write_table(df, path)
+    return True
+
+
+def run_tallies(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many items a run had, how many failed (a row with an error) and how many were skipped."""
+    one = rows.groupBy(*keys).agg(F.max(F.col("error").isNotNull().cast("int")).alias("failed"), F.max(F.col("skipped").cast("int")).alias("skipped"))
+    return one.agg(F.count("*").alias("total"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"))
+
+
+def under_out(path: str, out: str = "out") -> str:
+    """a relative path below the output folder, which is not put in front twice; absolute paths stay."""
+    if path.startswith("/"):
+        return path
+    rest = path.replace("\\", "/").lstrip("./")
+    return rest if rest == out or rest.startswith(f"{out}/") else f"{out}/{path}"
+
+
+#: Tables of a prototype store.
+STORE = ("clusters", "inverted_index", "build_summary")
+
+
+def write_prototypes(store: dict[str, DataFrame], path: str) -> None:
+    """K9: the tables of a prototype store, each a folder below path."""
+    for name in STORE:
+        write_table(store[name], f"{path}/{name}")
+
+
+def read_prototypes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a prototype store; a missing index is an error, as its folder is not found."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in STORE}

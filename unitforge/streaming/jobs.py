@@ -38,18 +38,19 @@ STATE_SCHEMA = "state string"
 OUT_SCHEMA = "apk_id string, verdict string, confidence double, processed array<string>"
 
 
-def fold_stream(summaries: DataFrame, llm: decide.LlmFn = decide.stub_llm) -> DataFrame:
-    """L8 on a stream of (apk_id, bu_id, summary): an application's state is kept between batches and updated with what arrives."""
+def fold_stream(summaries: DataFrame, llm: decide.LlmFn = decide.stub_llm, batch_size: int = 2) -> DataFrame:
+    """L8 on a stream of (apk_id, bu_id, rank, summary): an application's state is kept between batches and updated with what arrives.
+
+    What arrives together is folded by rank and bu_id as decide.fold_states does, in batches of its own; a stream has no end at which
+    the state could be reconciled.
+    """
     import json
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else decide.new_state(key[0])
-        rows = pd.concat(list(parts)).sort_values("bu_id")
-        units = [{"bu_id": b, "summary": s} for b, s in zip(rows["bu_id"], rows["summary"], strict=True)]
-        reply = decide._json_object(llm(decide.state_prompt(state, units)))
-        done = [*state["processed_bu_ids"], *rows["bu_id"]]
-        state = decide.gate_state(decide.normalize_state(reply, state) | {"processed_bu_ids": done})
+        rows = pd.concat(list(parts)).sort_values(["rank", "bu_id"])
+        state, _ = decide.fold_units(state, rows, llm, batch_size)
         held.update((json.dumps(state),))
-        yield pd.DataFrame([(key[0], state["verdict"], state["confidence"], done)], columns=["apk_id", "verdict", "confidence", "processed"])
+        yield pd.DataFrame([(key[0], state["verdict"], state["confidence"], state["processed_bu_ids"])], columns=["apk_id", "verdict", "confidence", "processed"])
 
     return summaries.groupBy("apk_id").applyInPandasWithState(update, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
