@@ -313,7 +313,7 @@ def frequent_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cluster_id", F.array_join(F.transform("psi", lambda x: F.concat(x["psi"], F.lit("="), x["count"], F.lit("/"), F.format_string("%.4f", x["support"]))), ",").alias("psi"))
 
 
-@query(f"{_FREQUENT}, x AS (SELECT cluster_id, array_to_string(list(unit_id ORDER BY rank), ',') AS exemplars FROM (SELECT cluster_id, unit_id, row_number() OVER (PARTITION BY cluster_id ORDER BY sim DESC, q DESC, ord) AS rank FROM a) WHERE rank <= 2 GROUP BY cluster_id), m AS (SELECT cluster_id, count(*) AS n_tokens FROM f WHERE i <= 256 GROUP BY cluster_id) SELECT s.cluster_id, s.size, coalesce(least(n_tokens, 12), 0) AS shown, exemplars FROM s LEFT JOIN m USING (cluster_id) JOIN x USING (cluster_id)")
+@query(f"{_FREQUENT}, x AS (SELECT cluster_id, array_to_string(list(unit_id ORDER BY rank), ',') AS exemplars FROM (SELECT cluster_id, unit_id, row_number() OVER (PARTITION BY cluster_id ORDER BY sim DESC, q DESC, ord) AS rank FROM a WHERE sim >= 0.85) WHERE rank <= 2 GROUP BY cluster_id), m AS (SELECT cluster_id, count(*) AS n_tokens FROM f WHERE i <= 256 GROUP BY cluster_id) SELECT s.cluster_id, s.size, least(coalesce(n_tokens, 0), 12) AS shown, exemplars FROM s LEFT JOIN m USING (cluster_id) LEFT JOIN x USING (cluster_id)")
 def prototype_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a prompt shows of a prototype: its size, frequent tokens and two exemplars."""
     u, a, labels = _assigned(spark, sf_dir)
@@ -362,7 +362,7 @@ def pack_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rank_packs(packs, ["o_custkey"]).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{_UNIT}, t AS (SELECT g, list(DISTINCT callee) FILTER (WHERE perms IS NOT NULL) AS s FROM m GROUP BY g) SELECT g, 'u' || g AS bu_id, coalesce(array_to_string(list_sort(s)[1:1], ','), '') AS sapi, CAST(coalesce(least(len(s), 1), 0) AS INT) AS n, 2 AS nodes FROM t")
+@query(f"{_UNIT}, t AS (SELECT g, list(DISTINCT callee) FILTER (WHERE perms IS NOT NULL) AS s FROM m GROUP BY g) SELECT g, 'u' || g AS bu_id, coalesce(array_to_string(list_sort(s)[1:1], ','), '') AS sapi, CAST(least(coalesce(len(s), 0), 1) AS INT) AS n, 2 AS nodes FROM t")
 def unit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs of units with at most one item a list and two nodes."""
     u = _units(spark, sf_dir).withColumn("unit_id", F.concat(F.lit("u"), "g"))
