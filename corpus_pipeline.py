@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and such without any letter."""
+    """Drops documents without a language: null texts and such without any letter.
+
+    Repeated rows and rows without a doc_id are judged by their texts like all others; an empty table gives an empty one.
+    """
     model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     rows = langid.predict(docs.select(*COLUMNS), model)
     return rows.where((F.col("lang_pred") != langid.UNKNOWN) if model else F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -26,7 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest doc_id; of rows with equal doc_id and text one.
 
-    Texts that share a doc_id are told apart by their digests and numbered in its order. Rows without a doc_id are all kept.
+    Texts that share a doc_id are told apart by their digests and numbered in its order. Rows without a doc_id are all kept, as are
+    null texts and such without words, once for each doc_id. An empty table gives an empty one.
     """
     docs, scratch = docs.select(*COLUMNS), Scratch(spark, "near")
     rows = docs.where("doc_id is not null").withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
@@ -43,7 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document with a smaller doc_id has; a document of which nothing but white space is left goes."""
+    """Cuts passages that a document with a smaller doc_id has; a document of which nothing but white space is left goes.
+
+    Null texts stay as they are, and so do rows without a doc_id; rows that repeat a doc_id take nothing from each other. An empty table
+    gives an empty one.
+    """
     cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), kept_text=True)
     cut = cut.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
@@ -53,7 +61,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Thins out domains that are over their target weight, as their fitted rates say; no domain is repeated.
 
     The budget is what the scarcest domain allows, but the good domain is kept whole: its rate is brought to one, so toxic and
-    poor texts are thinned relative to it and clean documents stay. Rows without a doc_id can't be drawn by it and stay.
+    poor texts are thinned relative to it and clean documents stay. Rows without a doc_id can't be drawn by it and stay. Rows that
+    repeat a doc_id stay if any of them is drawn. An empty table gives an empty one.
     """
     mixed = mixing.mix(docs.select("doc_id", "text"), label_domains(spark, sf_dir), DOMAIN_TARGETS)
     mixed = Scratch(spark, "pipeline").keep(mixed.select("doc_id", "domain", "rate"), "rates")
@@ -65,7 +74,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) of every text, with counts and digests."""
+    """Token ids (little-endian unsigned 32-bit integers) of every text, with counts and digests; a null text has none."""
     out = bpe.encode_column(docs.select(*COLUMNS), tokenizer_path("word_bpe_49k.json"))
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 

@@ -19,12 +19,14 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page: rules first, else link-graph propagation. Null addresses have an empty host and are allowed; an empty table gives none."""
     from .url_filter import judge
 
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), URL_RULES)
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited form and the next document's. Null texts count as empty; equal doc_ids are ordered by a hash of their texts."""
     from . import spotsigs as S
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -41,12 +43,14 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document; see lsh_forest.near_duplicates for null and repeated keys and texts without words."""
     from .lsh_forest import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of every text's ids and of what they decode to. Null texts count as empty; repeated rows stay."""
     from .bpe import encode_column
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -55,6 +59,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and words of every text. Null texts have none of either; repeated rows stay."""
     from .token_counts import count_column
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -62,6 +67,7 @@ def op8_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned without the rows whose crc32(doc_id) mod 4 is 2. Null texts and such without a letter give und."""
     from . import langid
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -82,6 +88,7 @@ def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors and fitted rates of every document. Null texts have no tokens; documents without a label weigh like others."""
     from .mixing import mix
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -89,12 +96,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector; see rp_forest.near_duplicates for null, zero and non-finite vectors and repeated keys."""
     from .rp_forest import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page into seekable bundles and reads all records back. Null markup is an empty payload."""
     from . import warc
     from .common import Scratch
 
@@ -106,6 +115,7 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses to ones with a smaller doc_id. Null texts count as empty, rows with a null key lose nothing."""
     from .suffix_dedup import remove_repeats
 
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
