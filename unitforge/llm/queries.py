@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +124,50 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op11_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 finite components after five rounds from 40 hashed centroids; other vectors give no row. See kd_means.cluster."""
+    from .kd_means import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op12_quotient_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document. Null texts count as empty; see quotient_filter.exact_duplicates for null and repeated keys."""
+    from .quotient_filter import exact_duplicates
+
+    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def tiled_tail(text: str, g: int) -> str:
+    """Words of a text, joined by spaces, with those from number g % n on repeating with the period that the contract of op13 sets."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return ""
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+
+
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, after one in ten was given a repeating tail. Null texts have none; a null doc_id gets no tail; repeated rows stay."""
+    from .periodic_runs import periodic_runs
+
+    @F.pandas_udf("string")
+    def tiled(text: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else tiled_tail(t, int(k)) for t, k in zip(text, g, strict=True)], dtype=object)
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tail = tiled(F.when(h % 10 == 0, F.col("text")), F.coalesce(F.floor(h / 10), F.lit(0).cast("long")))
+    out = periodic_runs(docs.select("doc_id", F.coalesce(tail, "text").alias("text")))
+    best = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda a, x: F.when(a.isNull() | (x.length * a.period > a.length * x.period), x).otherwise(a))
+    lines = F.transform("runs", lambda x: F.concat(x.start.cast("string"), F.lit(","), x.length.cast("string"), F.lit(","), x.period.cast("string"), F.lit("\n")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_rp_forest": op2_rp_forest,
@@ -132,9 +179,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_unigram_counts": op8_unigram_counts,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_kd_means": op11_kd_means,
+    "op12_quotient_filter": op12_quotient_filter,
+    "op13_harmonic_runs": op13_harmonic_runs,
 }
 
+
+
+def _means_sql(k: int = 40, rounds: int = 5) -> str:
+    """The clustering in SQL, one pair of tables a round."""
+    nearest = """SELECT vec_id, v, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+          SELECT p.vec_id, p.v, m.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - m.v[i]) * (p.v[i] - m.v[i]))) AS BIGINT) AS d FROM p CROSS JOIN m{n} m
+        ) GROUP BY vec_id, v"""
+    steps = [f"""p AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), m0 AS (
+          SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v FROM p
+          ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) LIMIT {k}
+        )"""]
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED (
+        {nearest.format(n=n)}
+        ), s{n} AS (
+          SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY c, i
+        ), m{n + 1} AS MATERIALIZED (
+          SELECT m.c, coalesce(u.v, m.v) AS v FROM m{n} m LEFT JOIN (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{n} GROUP BY c
+          ) u ON m.c = u.c
+        )""")
+    steps.append(f"r AS (\n        {nearest.format(n=rounds)}\n        )")
+    return "WITH " + ", ".join(steps) + f"""
+        SELECT r.vec_id, CAST(r.c AS INTEGER) AS cluster, r.d AS distance, CAST(sum(r.d) OVER (PARTITION BY r.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(r.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+        FROM r JOIN m{rounds} m ON r.c = m.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_kd_means": _means_sql(),
+    "op12_quotient_filter": f"""
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(normal) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS normal FROM documents)
+        WINDOW w AS (PARTITION BY normal)""",
     "op3_warc_bundles": """
         WITH p AS (
           SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
