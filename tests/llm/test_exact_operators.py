@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from unitforge.llm import kd_means, periodic_runs, quotient_filter
+from unitforge.llm import kd_means, langid, lsh_forest, periodic_runs, quotient_filter
 from unitforge.llm.queries import op11_kd_means, op12_quotient_filter, op13_harmonic_runs, tiled_tail
 
 # --- counting quotient filters ---------------------------------------------------------------------------------------
@@ -255,3 +255,65 @@ def test_runs_operator_columns(spark):
 def test_tiled_tail():
     assert tiled_tail(" ", 5) == ""
     assert tiled_tail("a b\tc d e f g h", 8) == "a b c d e f g h".replace("d e f g h", "a b c a b")  # from word 0, period 1 + 8 // 3
+
+
+# --- repeated keys of earlier operators --------------------------------------------------------------------------------
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def key_classes(rows):
+    """Brute force: a key's texts and all that link with one of them are one class, named by its smallest key."""
+    sets = {}
+    for k, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        if w and k is not None:
+            sets.setdefault(k, set()).add(frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))))
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_lsh_forest_texts_of_one_key(spark, seed):
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(2, None), (2, a), (2, " "), (1, a + " x"), (3, b), (5, b), (5, c), (7, c + " y"), (9, d), (9, d), (8, None), (4, d + " z"), (None, b), (6, b + " end"), (10, c), (10, a)]
+    for some in (rows[:4], rows[4:8], rows):
+        some = random.Random(seed).sample(some, len(some))
+        out = lsh_forest.near_duplicates(spark.createDataFrame(some, "doc_id long, text string").coalesce(1)).collect()
+        want = key_classes(some)
+        assert len(out) == len(some)
+        for r in out:
+            alone = r.doc_id is None or not r.n_shingles
+            assert r.component_id == (r.doc_id if alone else want[r.doc_id]), r
+            assert r.kept == (r.doc_id == r.component_id)
+
+
+def test_language_sample_with_one_frequent_key(spark):
+    rng = random.Random(12)
+    parts = {"aa": "the ing and er on", "bb": "der und ich ein sch", "cc": "que los ción as el"}
+
+    def text(k):
+        return " ".join("".join(rng.choice(parts[k].split()) for _ in range(3)) for _ in range(20))
+
+    rows = [(i, text(k), k) for k in parts for i in range({"aa": 300, "bb": 40, "cc": 3}[k])]
+    for key, other in ((40777, None), (None, None), (40777, "same und ich"), (1, None)):
+        many = rows + [(key, other or text("bb"), "bb") for _ in range(4 * len(rows))]
+        rng.shuffle(many)
+        model = langid.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), per_lang=50)
+        assert model.langs == ["aa", "bb", "cc"]
+        got = langid.predict(spark.createDataFrame([(k, text(k)) for k in parts for _ in range(5)], "doc_id string, text string"), model).collect()
+        assert sum(r.lang_pred == r.doc_id for r in got) >= 14

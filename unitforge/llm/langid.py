@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,23 +81,29 @@ class Model:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600, landmarks: int = 256, sample_rows: int = 20_000, ridge: float = 1e-3) -> Model | None:
-    """Fit on a bounded sample of the labelled rows: about per_lang texts of each language, fewer where that would pass sample_rows.
+    """Fit on a bounded sample of the labelled rows: per_lang texts of each language at most, fewer where that would pass sample_rows.
 
     The bound is in rows, of which the driver gets 2 KB each; every language is learned, and more languages than sample_rows are
-    refused. Rows without text, letter or language teach nothing, and rows with a null key are drawn together; None if no row is left,
-    as of an empty table. Repeated rows count each, further columns are ignored.
+    refused. Texts are drawn by a hash of key and text, so one key that many rows repeat crowds nothing out; rows that repeat both count
+    once. Rows without text, letter or language teach nothing, those with a null key are drawn by their texts; None if no row is left,
+    as of an empty table. Further columns are ignored.
     """
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = rows.groupBy(lang).count().limit(sample_rows + 1).collect()
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), text).alias("hash"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min("hash").alias("first")).limit(sample_rows + 1).collect()
     if not sizes:
         return None
     if len(sizes) > sample_rows:
         raise ValueError(f"more than {sample_rows} languages: raise sample_rows")
     per_lang = max(1, min(per_lang, sample_rows // len(sizes)))
-    at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, 1.2 * per_lang / r[1]))])
-    sample = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), at.alias("order")).where(F.col("order") < share[F.col("lang")])
-    got = sample.mapInPandas(_presence("text"), "lang string, order double, bits binary").orderBy("order", "bits").limit(2 * per_lang * len(sizes)).toPandas()
+    at = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, 1.2 * per_lang / r.n))])
+    first = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, r.first)])
+    drawn = rows.where((at < share[F.col("lang")]) | (F.col("hash") == first[F.col("lang")]))
+    once = drawn.groupBy("lang", "hash").agg(F.min("text").alias("text")).withColumn("order", at)
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "hash")))
+    sample = ranked.where(F.col("rank") <= per_lang).select("lang", "text", "order")
+    got = sample.mapInPandas(_presence("text"), "lang string, order double, bits binary").orderBy("order", "bits").toPandas()
     if got.empty:
         return None
     langs = sorted(got["lang"].unique())

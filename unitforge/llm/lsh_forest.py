@@ -240,8 +240,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     """(key, n_shingles, component_id, kept): documents joined by links of at least `threshold` Jaccard similarity.
 
     A null text, an empty one and one without words has no shingle and links with nothing. Rows with equal sets collapse to the one
-    with the smallest key before the search, whatever their number. Rows that repeat a key are one document: what any of their texts
-    links with belongs to the key's class. Rows with a null key take part in nothing: their component is null and they are kept. Very
+    with the smallest key before the search, whatever their number. Rows that repeat a key are one document: all their texts, and what any of
+    them links with or equals, belong to the key's class, in whatever order the rows come; those without words stay alone. Rows with a null key take part in nothing: their component is null and they are kept. Very
     long texts are read whole. An empty table gives an empty result; further columns are ignored.
 
     The first round settles each document's first_picks candidates with most votes, the second all other pairs that the first left in
@@ -250,20 +250,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     """
     scratch = Scratch(df.sparkSession, "forest")
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_signatures, "id long, n_shingles long, same binary, sign binary"), "signatures")
     own = rows.where("same is not null and id is not null")
     sets = scratch.keep(own.groupBy("same").agg(F.min(F.struct("id", "n_shingles", "sign")).alias("x")).select("same", "x.*"), "sets")
-    several = not sets.groupBy("id").count().where("count > 1").isEmpty()
-    if several:  # different sets under one key: nodes are numbered in the order of keys, and those of a key are joined
+    holds = own.select(F.col("id").alias("key"), "same").distinct()
+    several = not holds.groupBy("key").count().where("count > 1").isEmpty()
+    if several:  # different sets under one key: nodes are numbered in the order of keys, and all sets of a key are joined
         order = sets.repartitionByRange("id", "same").sortWithinPartitions("id", "same")
         named = scratch.keep(order.select(F.col("id").alias("key"), "same", F.monotonically_increasing_id().alias("id"), "n_shingles", "sign"), "numbered")
-        least = named.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
-        joins = named.join(least, "key").where("id > a").select("a", F.col("id").alias("b"))
+        held = scratch.keep(holds.join(named.select("same", "id"), "same").select("key", "id"), "held")
+        least = held.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
+        joins = held.join(least, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
     else:
         named = sets.select(F.col("id").alias("key"), "same", "id", "n_shingles", "sign")
     sets = named.drop("key")
     found = candidates(sets, scratch, partitions, reach, threshold)
+    docs = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # a key's rows without a word stand for none of its sets
 
     def read_sets(ids: DataFrame, tag: str) -> DataFrame:
         ends = scratch.keep(ids.distinct(), "ends")
