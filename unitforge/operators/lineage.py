@@ -1,8 +1,9 @@
-"""Cutting the lineage of tables that iterations build on."""
+"""Cutting the lineage of tables that iterations build on: columnar tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder and read back: a lost executor costs a scan, and what follows reads only the columns that it needs."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Kept:
+    """Tables in the shared folder that go when the block ends, but for the one that last() gives."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return self._write(df, f"{self.root}/{self.n:03d}")
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """The result, kept outside of what the block removes."""
+        return self._write(df, f"{self.root}-result")
