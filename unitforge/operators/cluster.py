@@ -7,7 +7,8 @@ others, can never meet; so the fold runs apart for every connected component of
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,9 +35,12 @@ class Params:
     fallback_step: float = 0.02
     min_weight: float = 0.5
     max_weight: float = 3.0
+    audit: int = 32
 
 
-SCHEMA = """shard long, ord long, unit_id string, cluster_ord long, action string, semantic_sim double, symbolic_jaccard double"""
+ASSIGNED = "shard long, ord long, unit_id string, cluster_ord long, action string, semantic_sim double, symbolic_jaccard double"
+_LISTED = "array<struct<unit_id:string,q:double,sim:double>>"
+STATE = f"struct<size:long,n_eff:double,centers:map<string,array<double>>,psi:array<struct<token:string,cnt:long>>,members:{_LISTED},exemplars:{_LISTED},audit:map<string,array<string>>>"
 
 
 def _unit(v: list[float]) -> list[float]:
@@ -45,13 +49,17 @@ def _unit(v: list[float]) -> list[float]:
 
 
 class _Cluster:
-    """A prototype while it grows: size, views' centers and token counts, and the tokens frequent just now."""
+    """A prototype while it grows. All that it holds is bounded by the parameters and by the vectors' width."""
 
-    def __init__(self, ord_: int, views: dict[str, list[float]], psi: list[str], p: Params):
-        self.ord, self.size, self.mass, self.centers = ord_, 1, 1.0, dict(views)
-        self.counts = Counter(psi)
+    def __init__(self, size: int, mass: float, centers: dict[str, list[float]], counts: dict[str, int], members: list, exemplars: list, audit: dict[str, list[str]], p: Params):
+        self.size, self.mass, self.centers, self.counts, self.members, self.exemplars, self.audit = size, mass, centers, Counter(counts), members, exemplars, audit
         self.refresh(p)
 
+    @classmethod
+    def first(cls, unit_id: str, views: dict[str, list[float]], psi: list[str], q: float, lists: dict[str, list[str]], p: Params) -> _Cluster:
+        own = [[unit_id, q, 1.0]]
+        return cls(1, 1.0, {k: list(v) for k, v in views.items()}, dict.fromkeys(psi, 1), own[: p.members], own[: p.exemplars], {k: [str(x) for x in v][: p.audit] for k, v in lists.items()}, p)
+
     def refresh(self, p: Params) -> None:
         least = p.eta * self.size
         ranked = sorted(((n, t) for t, n in self.counts.items() if n >= least), reverse=True)
@@ -62,7 +70,7 @@ class _Cluster:
         total = sum(w for w, _, _ in both)
         return sum(w * math.fsum(x * y for x, y in zip(a, b, strict=True)) for w, a, b in both) / total if total > 0 else -1.0
 
-    def take_in(self, views: dict[str, list[float]], psi: list[str], q: float, p: Params) -> None:
+    def take_in(self, unit_id: str, views: dict[str, list[float]], psi: list[str], q: float, sim: float, lists: dict[str, list[str]], p: Params) -> None:
         self.size += 1
         weight = min(max(math.log1p(max(q, 0.0)), p.min_weight), p.max_weight)
         step = min(max(weight / (self.mass + weight) if self.mass > 0 else p.fallback_step, 1e-6), p.max_step)
@@ -74,52 +82,117 @@ class _Cluster:
         if len(self.counts) > p.top_psi:  # ties by token, so that the outcome is the same each time
             self.counts = Counter(dict(sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[: p.top_psi]))
         self.refresh(p)
+        for k, items in lists.items():
+            own = self.audit.setdefault(k, [])
+            for x in (str(i).strip() for i in items):
+                if len(own) < p.audit and x and x not in own:
+                    own.append(x)
+        best = lambda xs: sorted(xs, key=lambda x: (-x[2], -x[1]))  # noqa: E731  stable: of equals the one that came first
+        self.members = best([*self.members, [unit_id, q, sim]])[: p.members]
+        if sim >= p.exemplar_sim:
+            seen: dict[str, list] = {}
+            for x in best([*self.exemplars, [unit_id, q, sim]]):
+                seen.setdefault(x[0], x)
+            self.exemplars = list(seen.values())[: p.exemplars]
+
+    def state(self) -> tuple:
+        """The fields of STATE; psi by falling count."""
+        psi = sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))
+        return (self.size, self.mass, self.centers, psi, self.members, self.exemplars, self.audit)
+
+
+class Pass:
+    """The clusters while units pass in order: of candidates with equal scores the one made first wins.
+
+    clusters and holding (token -> numbers of the clusters that hold it often) may be any mappings; changed and moved tell which
+    of their entries the units since the last reset changed.
+    """
 
-
-def _fold(p: Params, weights: dict[str, float], views: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: dict[int, _Cluster] = {}
-        holding: dict[str, set[int]] = {}
-        out = []
-        for row in pdf.sort_values("ord").itertuples(index=False):
-            own = {}
-            for v in views:
-                x = getattr(row, v)
-                if x is not None and len(x) and not any(y is None or y != y for y in x):
-                    own[v] = [float(y) for y in x]
-            psi, best = set(row.psi), None
-            for c in sorted(set().union(*[holding.get(t, ()) for t in psi])):
-                sem = clusters[c].likeness(own, weights)
-                if sem < p.tau:
-                    continue
-                freq = clusters[c].frequent
-                jac = len(psi & freq) / len(psi | freq) if psi | freq else 1.0
-                if jac < p.gamma:
-                    continue
-                score = SEMANTIC * sem + SYMBOLIC * jac
-                if score > -1.0 and (best is None or score > best[0]):  # ties: the cluster made first
-                    best = (score, sem, jac, c)
-            if best is None:
-                own = {k: list(x) for k, x in own.items()}
-                c = int(row.ord)
-                clusters[c] = _Cluster(c, own, sorted(psi), p)
-                gone, come = set(), clusters[c].frequent
-                out.append((row.shard, row.ord, row.unit_id, c, "create", 1.0, 1.0))
-            else:
-                _, sem, jac, c = best
-                before = clusters[c].frequent
-                clusters[c].take_in(own, sorted(psi), float(row.q), p)
-                gone, come = before - clusters[c].frequent, clusters[c].frequent - before
-                out.append((row.shard, row.ord, row.unit_id, c, "merge", round(sem, 6), round(jac, 6)))
-            for t in gone:
-                holding[t].discard(c)
-            for t in come:
-                holding.setdefault(t, set()).add(c)
-        return pd.DataFrame(out, columns=["shard", "ord", "unit_id", "cluster_ord", "action", "semantic_sim", "symbolic_jaccard"])
+    def __init__(self, p: Params, weights: dict[str, float], clusters: dict[int, _Cluster] | None = None, holding: dict[str, set[int]] | None = None):
+        self.p, self.weights = p, weights
+        self.clusters = {} if clusters is None else clusters
+        self.holding = defaultdict(set) if holding is None else holding
+        self.changed: set[int] = set()
+        self.moved: set[str] = set()
+
+    def take(self, number: int, unit_id: str, psi: set[str], q: float, views: dict[str, list[float]], lists: dict[str, list[str]]) -> tuple[int, str, float, float]:
+        """(cluster, action, semantic_sim, symbolic_jaccard); number is that of the cluster which the unit makes if none takes it in."""
+        p, best = self.p, None
+        for c in sorted(set().union(*[self.holding[t] for t in psi])):
+            sem = self.clusters[c].likeness(views, self.weights)
+            if sem < p.tau:
+                continue
+            freq = self.clusters[c].frequent
+            jac = len(psi & freq) / len(psi | freq) if psi | freq else 1.0
+            if jac < p.gamma:
+                continue
+            score = SEMANTIC * sem + SYMBOLIC * jac
+            if score > -1.0 and (best is None or score > best[0]):
+                best = (score, sem, jac, c)
+        if best is None:
+            c, sem, jac, action, before = number, 1.0, 1.0, "create", set()
+            self.clusters[c] = _Cluster.first(unit_id, views, sorted(psi), q, lists, p)
+        else:
+            _, sem, jac, c = best
+            action, before = "merge", self.clusters[c].frequent
+            self.clusters[c].take_in(unit_id, views, sorted(psi), q, sem, lists, p)
+        after = self.clusters[c].frequent
+        for t in before - after:
+            self.holding[t].discard(c)
+        for t in after - before:
+            self.holding[t].add(c)
+        self.changed.add(c)
+        self.moved |= before ^ after
+        return c, action, round(sem, 6), round(jac, 6)
+
+
+def unit_views(row, views: list[str]) -> dict[str, list[float]]:
+    """The row's vectors that are there and without nulls and NaN."""
+    own = {}
+    for v in views:
+        x = getattr(row, v)
+        if x is not None and len(x) and not any(y is None or y != y for y in x):
+            own[v] = [float(y) for y in x]
+    return own
+
+
+def _fold(p: Params, weights: dict[str, float], views: list[str], audit: list[str], states: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, now = None, None
+        columns = [f.split()[0] for f in ASSIGNED.split(", ")] + ["state"]
+
+        def ended() -> Iterator[pd.DataFrame]:
+            made = sorted(now.clusters) if now and states else []
+            for at in range(0, len(made), 256):
+                part = made[at : at + 256]
+                rows = [(shard, None, None, c, None, None, None, _as_dict(now.clusters[c].state())) for c in part]
+                yield pd.DataFrame(rows, columns=columns)
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.shard != shard:
+                    if out:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                    yield from ended()
+                    shard, now = row.shard, Pass(p, weights)
+                lists = {c: [x for x in v] for c in audit if (v := getattr(row, c)) is not None}
+                c, *rest = now.take(int(row.ord), row.unit_id, set(row.psi), float(row.q), unit_views(row, views), lists)
+                out.append((shard, row.ord, row.unit_id, c, *rest, None))
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        yield from ended()
 
     return run
 
 
+def _as_dict(state: tuple) -> dict:
+    size, mass, centers, psi, members, exemplars, audit = state
+    listed = lambda xs: [{"unit_id": u, "q": q, "sim": s} for u, q, s in xs]
+    return {"size": size, "n_eff": mass, "centers": centers, "psi": [{"token": t, "cnt": n} for t, n in psi], "members": listed(members), "exemplars": listed(exemplars), "audit": audit}
+
+
 def token_shards(units: DataFrame, rounds: int = 30) -> DataFrame:
     """units with shard: the smallest ord of the component of units and tokens that a unit belongs to.
 
@@ -139,20 +212,45 @@ def token_shards(units: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"units' shards did not settle in {rounds} rounds: raise rounds")
 
 
-def leader_clusters(units: DataFrame, params: Params = Params(), weights: dict[str, float] = VIEWS, shards: bool = True) -> DataFrame:  # noqa: B008
-    """(ord, unit_id, cluster_id, action, semantic_sim, symbolic_jaccard), one row a unit with tokens.
+def _folded(units: DataFrame, params: Params, weights: dict[str, float], shards: bool, audit: list[str], states: bool) -> DataFrame:
+    """ASSIGNED rows in which each unit has one, and each cluster one with its state where these are wanted.
 
-    units: (ord, unit_id, psi, q, views...), ord being the order of the pass. Cluster ids p_%06d count creations in that order. Of candidates
-    with equal scores the one made first wins. P9: units without tokens are left out.
+    A shard's units stream through one task sorted by ord, batch by batch: it holds the clusters, never the units.
     """
     views = [v for v in weights if v in units.columns]
     live = units.where(F.size("psi") > 0).withColumn("ord", F.col("ord").cast("long"))
     live = token_shards(live) if shards else live.withColumn("shard", F.lit(0).cast("long"))
-    done = live.select("shard", "ord", "unit_id", "psi", "q", *views).groupBy("shard").applyInPandas(_fold(params, weights, views), SCHEMA)
+    rows = live.select("shard", "ord", "unit_id", "psi", F.col("q").cast("double").alias("q"), *views, *audit)
+    return rows.repartition("shard").sortWithinPartitions("shard", "ord").mapInPandas(_fold(params, weights, views, list(audit), states), f"{ASSIGNED}, state {STATE}")
+
+
+def _numbered(done: DataFrame) -> DataFrame:
+    """(cluster_ord, cluster_id): creations numbered by ord: ranks within ranges of ord, plus the counts of the ranges before."""
     made = done.where("action = 'create'").select("cluster_ord", "ord")
-    # Creations are numbered by ord: ranks within ranges of ord, plus the counts of the ranges before.
-    number = rank_in_ranges(made, "ord", 10_000).select("cluster_ord", F.format_string("p_%06d", "rank").alias("cluster_id"))
-    return done.join(number, "cluster_ord").select("ord", "unit_id", "cluster_id", "action", "semantic_sim", "symbolic_jaccard")
+    return rank_in_ranges(made, "ord", 10_000).select("cluster_ord", F.format_string("p_%06d", "rank").alias("cluster_id"))
+
+
+def leader_clusters(units: DataFrame, params: Params = Params(), weights: dict[str, float] = VIEWS, shards: bool = True) -> DataFrame:  # noqa: B008
+    """(ord, unit_id, cluster_id, action, semantic_sim, symbolic_jaccard), one row a unit with tokens.
+
+    units: (ord, unit_id, psi, q, views...), ord being the order of the pass. Cluster ids p_%06d count creations in that order. Of candidates
+    with equal scores the one made first wins. P9: units without tokens are left out.
+    """
+    done = cut(_folded(units, params, weights, shards, [], False).drop("state"))
+    return done.join(_numbered(done), "cluster_ord").select("ord", "unit_id", "cluster_id", "action", "semantic_sim", "symbolic_jaccard")
+
+
+def leader_prototypes(units: DataFrame, params: Params = Params(), weights: dict[str, float] = VIEWS, shards: bool = True, audit: list[str] = ()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """What leader_clusters gives, and (cluster_id, size, n_eff, centers, psi, members, exemplars, audit) as the pass left them.
+
+    The best members, exemplars, audit lists and centers are kept while units pass, as bounded parts of a cluster's state; members and
+    exemplars of equal likeness and quality stand in the order of their coming. audit names columns of units with lists of texts: those
+    of a cluster's first unit are taken as they are, later ones stripped and once each, up to params.audit.
+    """
+    done = cut(_folded(units, params, weights, shards, audit, True))
+    ids = cut(_numbered(done))
+    assigned = done.where("unit_id is not null").join(ids, "cluster_ord").select("ord", "unit_id", "cluster_id", "action", "semantic_sim", "symbolic_jaccard")
+    return assigned, done.where("state is not null").select("cluster_ord", "state.*").join(ids, "cluster_ord").drop("cluster_ord")
 
 
 def rank_in_ranges(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -183,22 +281,41 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
 
 
 def centers(units: DataFrame, assigned: DataFrame, params: Params = Params(), view: str = "unit_emb") -> DataFrame:  # noqa: B008
-    """(cluster_id, center, n_eff) after all members in their order: a fold over each cluster's ordered members."""
+    """(cluster_id, center, n_eff) of given assignments after all members in their order.
+
+    A cluster's members stream through one task sorted by ord; it holds a center, not the members.
+    """
+    import numpy as np
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, center, mass = None, None, 0.0
+        for pdf in batches:
+            done = []
+            for c, v, w in zip(pdf["cluster_id"], pdf["v"], pdf["w"], strict=True):
+                if c != own:
+                    if own is not None:
+                        done.append((own, center, mass))
+                    own, center, mass, first = c, None, 1.0, True
+                else:
+                    first = False
+                step = min(max(w / (mass + w), 1e-6), params.max_step)
+                if v is not None and len(v):
+                    v = np.asarray(v, float)
+                    if center is None:
+                        center = v
+                    elif not first:
+                        moved = (1 - step) * center + step * v
+                        center = moved / (math.sqrt(float((moved * moved).sum())) or 1.0)
+                mass += 0.0 if first else w
+            if done:
+                yield pd.DataFrame(done, columns=["cluster_id", "center", "n_eff"])
+        if own is not None:
+            yield pd.DataFrame([(own, center, mass)], columns=["cluster_id", "center", "n_eff"])
+
     w = F.least(F.greatest(F.log1p(F.greatest("q", F.lit(0.0))), F.lit(params.min_weight)), F.lit(params.max_weight))
-    rows = units.select("unit_id", "q", F.col(view).cast("array<double>").alias("v")).join(assigned.select("ord", "unit_id", "cluster_id"), "unit_id").withColumn("w", w)
-    lists = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("ord", "v", "w"))).alias("m"))
-    start = F.struct(F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("c"))
-
-    def step(acc, x):
-        first = acc["n"] == 0
-        a = F.least(F.greatest(x["w"] / (acc["n"] + x["w"]), F.lit(1e-6)), F.lit(params.max_step))
-        moved = F.zip_with(acc["c"], x["v"], lambda p, y: (1 - a) * p + a * y)
-        length = F.sqrt(F.aggregate(moved, F.lit(0.0), lambda s, y: s + y * y))
-        norm = F.transform(moved, lambda y: y / F.when(length == 0, F.lit(1.0)).otherwise(length))
-        c = F.when(x["v"].isNull(), acc["c"]).when(F.size(acc["c"]) == 0, x["v"]).otherwise(norm)
-        return F.struct(F.when(first, F.lit(1.0)).otherwise(acc["n"] + x["w"]).alias("n"), c.alias("c"))
-
-    return lists.select("cluster_id", F.aggregate("m", start, step).alias("s")).select("cluster_id", F.col("s.c").alias("center"), F.col("s.n").alias("n_eff"))
+    rows = units.select(F.col("ord").cast("long").alias("ord"), "unit_id", w.alias("w"), F.col(view).cast("array<double>").alias("v")).join(assigned.select("ord", "unit_id", "cluster_id"), ["ord", "unit_id"])
+    rows = rows.select("cluster_id", "ord", "v", "w").repartition("cluster_id").sortWithinPartitions("cluster_id", "ord")
+    return rows.mapInPandas(fold, "cluster_id string, center array<double>, n_eff double")
 
 
 def top_members(assigned: DataFrame, quality: DataFrame, k: int = 20) -> DataFrame:
