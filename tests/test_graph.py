@@ -135,3 +135,15 @@ def test_khop_and_components(spark):
     nodes = frame(spark, [(1, i) for i in (0, 1, 3, 4, 5)], "g int, node_id int")
     part = {r["node_id"]: r["component"] for r in G.components(nodes, adj, K).collect()}
     assert part == {0: 0, 1: 0, 3: 3, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("in_task", [0, 10**6])
+def test_components_of_any_size(spark, in_task):
+    """A path of 100,000 nodes in random order, a hub of 5,000, equal ids in another graph, nodes alone, links to nodes that are left out."""
+    rng = random.Random(6)
+    order = rng.sample(range(100_000), 100_000)
+    links = [("p", a, b) for a, b in zip(order, order[1:], strict=False)] + [("h", 7, i) for i in range(8, 5_008)] + [("q", 1, 2), ("q", 2, 9), ("q", 4, 5)]
+    nodes = [("p", i) for i in order] + [("h", i) for i in range(7, 5_008)] + [("q", i) for i in range(6)]
+    n, e = spark.createDataFrame(nodes, "k string, node_id int"), spark.createDataFrame(links, "k string, src int, dst int")
+    got = {(r.k, r.node_id): r.component for r in G.components(n, e, ["k"], in_task).collect()}
+    assert got == {**{("p", i): 0 for i in order}, **{("h", i): 7 for i in range(7, 5_008)}, ("q", 0): 0, ("q", 1): 1, ("q", 2): 1, ("q", 3): 3, ("q", 4): 4, ("q", 5): 4}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .lineage import cut
+from .lineage import Kept, cut
 
 NO_CUT = 1e9
 
@@ -120,14 +120,69 @@ def _components(keys: list[str], node: str):
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+def _contracted(keys: list[str]):
+    """Union-find within a partition: its edges become stars, one edge at most for each node of a graph."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[tuple, tuple] = {}
+
+        def find(x: tuple) -> tuple:
+            root = x
+            while (up := parent.setdefault(root, root)) != root:
+                root = up
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for pdf in batches:
+            for *k, a, b in pdf[[*keys, "a", "b"]].itertuples(index=False):
+                x, y = find((*k, a)), find((*k, b))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        pairs = [(*v, r[-1]) for v in parent if (r := find(v)) != v]
+        for at in range(0, len(pairs), 1 << 16):
+            yield pd.DataFrame(pairs[at : at + (1 << 16)], columns=[*keys, "a", "b"])
+
+    return run
+
+
+def star_components(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+    """(keys, node_id, component) of the nodes with an edge (keys, a, b) to another one, in graphs of any size: none needs to fit a task.
+
+    A union-find in every partition thins the edges; then large-star and small-star rounds (Kiveris et al., 2014) alternate, each kept in
+    the shared folder, until none changes an edge. Nodes' lists of neighbours are never gathered: a hub is an aggregation by its id.
+    """
+    kinds = [f"`{c}` {t}" for c, t in edges.dtypes if c in keys]
+    with Kept(edges.sparkSession, "components") as kept:
+        e = edges.where("a <> b").select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+        e, seen = kept(e.mapInPandas(_contracted(keys), ", ".join([*kinds, "a long", "b long"])).distinct()), None
+        for _ in range(rounds):
+            both = e.union(e.select(*keys, "b", "a"))
+            low = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).select(*keys, "a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            low = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+            small = large.join(low, [*keys, "a"]).select(*keys, F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+            e = kept(small)
+            now = e.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
+            if now == seen:
+                own = e.select(*keys, F.col("a").alias("node_id"), F.col("b").alias("component"))
+                return kept.last(own.union(e.select(*keys, "b", F.col("b")).distinct()))
+            seen = now
+    raise RuntimeError(f"components did not settle in {rounds} rounds: raise rounds")
+
+
+def components(nodes: DataFrame, links: DataFrame, keys: list[str], in_task: int = 1_000_000) -> DataFrame:
     """(keys, node_id, component): components of the subgraph that the nodes induce; a component is named by its smallest node.
 
-    One task holds one graph (an application's), which is as much as its source holds at once.
+    While no graph has more than in_task links, a task holds one graph; else all graphs go through star_components. The links are counted.
     """
     inside = links.join(nodes.select(*keys, F.col("node_id").alias("src")), [*keys, "src"], "left_semi").join(nodes.select(*keys, F.col("node_id").alias("dst")), [*keys, "dst"], "left_semi")
+    own = nodes.select(*keys, "node_id").distinct()
+    if (inside.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > in_task:
+        found = star_components(inside.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")), keys)
+        return own.join(found, [*keys, "node_id"], "left").select(*keys, F.col("node_id").cast("int").alias("node_id"), F.coalesce("component", "node_id").cast("int").alias("component"))
     near = inside.groupBy(*keys, F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("near"))
-    rows = nodes.select(*keys, "node_id").distinct().join(near, [*keys, "node_id"], "left")
+    rows = own.join(near, [*keys, "node_id"], "left")
     fields = [*[f"`{k}` {t}" for k, t in rows.dtypes if k in keys], "node_id int", "component int"]
     return rows.groupBy(*keys).applyInPandas(_components(keys, "node_id"), ", ".join(fields))
 
@@ -141,10 +196,10 @@ def anchor_links(adj: DataFrame, nodes: DataFrame, vectors: DataFrame, keys: lis
     return pairs.select(*keys, F.col("from").alias("src"), F.col("node_id").alias("dst"), V.cosine(F.col("_from_h"), F.col("h")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def anchor_groups(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+def anchor_groups(nodes: DataFrame, links: DataFrame, keys: list[str], in_task: int = 1_000_000) -> DataFrame:
     """(keys, node_id, group_id) of sensitive nodes: components over their links, numbered by smallest member."""
     sens = nodes.where("is_sensitive = 1").select(*keys, F.col("node_id").cast("int").alias("node_id"))
-    own = components(sens, links.select(*keys, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")), keys)
+    own = components(sens, links.select(*keys, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")), keys, in_task)
     return own.select(*keys, "node_id", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("component")) - 1).alias("group_id"))
 
 

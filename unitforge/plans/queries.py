@@ -118,20 +118,24 @@ def api_permission_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.regexp_extract("api_sig", "La/(.*);->", 1).alias("p_brand"), F.array_join("perms", ",").alias("perms"))
 
 
-@query("SELECT source, coalesce(CASE WHEN a.toxic = 1 THEN 'toxic' WHEN a.doc_id IS NOT NULL THEN 'clean' END, CASE WHEN b.toxic = 1 THEN 'toxic' WHEN b.doc_id IS NOT NULL THEN 'clean' END, 'unknown') AS family, count(*) AS n FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id // 2 GROUP BY ALL")
+@query("SELECT source, coalesce(CASE WHEN a.toxic = 1 THEN 'toxic' WHEN a.doc_id IS NOT NULL THEN 'clean' END, CASE WHEN b.toxic = 1 THEN 'toxic' WHEN b.doc_id IS NOT NULL THEN 'clean' END) AS family, count(*) AS n FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id // 2 WHERE a.doc_id IS NOT NULL OR b.doc_id IS NOT NULL GROUP BY ALL")
 def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label by the full key, else by the short one."""
-    labels = B.table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("f"))
-    docs = B.table(spark, sf_dir, "documents").withColumn("short", F.floor(F.col("doc_id") / 2))
-    rows = docs.join(labels.withColumnRenamed("f", "f1"), "doc_id", "left").join(labels.select(F.col("doc_id").alias("short"), F.col("f").alias("f2")), "short", "left")
-    return rows.groupBy("source", F.coalesce("f1", "f2", F.lit("unknown")).alias("family")).agg(F.count("*").alias("n"))
+    """Label by the full key, else by its last part; documents without either have no family."""
+    full = lambda c: F.concat(c, F.lit("/"), F.floor(c / 2))
+    label = B.table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("family"), F.array().cast("array<string>").alias("behaviors"))
+    keys = label.select(F.explode(F.array(full(F.col("doc_id")), F.col("doc_id").cast("string"))).alias("apk_id"), "family", "behaviors")
+    assigned = B.table(spark, sf_dir, "documents").select(F.col("source").alias("cluster_id"), full(F.col("doc_id")).alias("apk_id"))
+    families, _ = cluster.label_counts(assigned, keys)
+    return families.select(F.col("cluster_id").alias("source"), "family", F.col("cnt").alias("n"))
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) GROUP BY 1")
 def anti_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 as an anti join: customers without a large order, by nation."""
-    c = B.table(spark, sf_dir, "customer").join(B.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    return c.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    called = B.table(spark, sf_dir, "customer").select(F.lit(0).alias("g"), F.col("c_custkey").alias("callee"), "c_nationkey")
+    own = B.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.lit(0).alias("g"), F.col("o_custkey").alias("sig"))
+    outer = graph.external_methods(own, called, ["g"]).select(F.col("sig").alias("callee"))
+    return called.join(outer, "callee", "left_semi").groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -173,36 +177,36 @@ def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("g", "dist").agg(F.count("*").alias("n"))
 
 
-_PPR = ", ".join(f"p{i} AS (SELECT g, node_id, sum(p) AS p FROM (SELECT g, node_id, 0.15 * s AS p FROM seeds UNION ALL SELECT p.g, a.dst, 0.85 * p.p * a.mult / t.total FROM p{i - 1} p JOIN adj a ON a.g = p.g AND a.src = p.node_id JOIN totals t ON t.g = p.g AND t.src = p.node_id) GROUP BY ALL)" for i in range(1, 5))
-_PPR_SQL = f"WITH {B.NODES_SQL}, seeds AS (SELECT g, node_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY g) AS s FROM nodes WHERE is_sensitive = 1), totals AS (SELECT g, src, sum(mult) AS total FROM adj GROUP BY ALL), p0 AS (SELECT g, node_id, s AS p FROM seeds), {_PPR} SELECT g, node_id, round(p, 9) AS ppr FROM p4 WHERE p >= 0.004"
+_PPR = ", ".join(f"p{i} AS (SELECT g, node_id, sum(p) AS p FROM (SELECT g, node_id, 0.15 * s AS p FROM seeds UNION ALL SELECT p.g, a.dst, 0.85 * p.p * a.mult / t.total FROM p{i - 1} p JOIN adj a ON a.g = p.g AND a.src = p.node_id JOIN totals t ON t.g = p.g AND t.src = p.node_id) GROUP BY ALL)" for i in range(1, 26))
+_PPR_SQL = f"WITH {B.NODES_SQL}, seeds AS (SELECT g, node_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY g) AS s FROM nodes WHERE is_sensitive = 1), totals AS (SELECT g, src, sum(mult) AS total FROM adj GROUP BY ALL), p0 AS (SELECT g, node_id, s AS p FROM seeds), {_PPR} SELECT g, node_id, round(p, 9) AS ppr FROM p25"
 
 
 @query(_PPR_SQL)
 def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four rounds from the sensitive nodes, a join and a sum each."""
+    """All 25 rounds from the sensitive nodes, a join and a sum each; every ranked node."""
     nodes, edges = _graph(spark, sf_dir)
-    p = graph.ppr(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS, iterations=4)
-    return p.where("ppr >= 0.004").select("g", "node_id", F.round("ppr", 9).alias("ppr"))
+    p = graph.ppr(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS)
+    return p.select("g", "node_id", F.round("ppr", 9).alias("ppr"))
 
 
 @query(_PPR_SQL)
 def ppr_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7 with all rounds of a graph in one task."""
+    """G7 with all 25 rounds of a graph in one task; every ranked node."""
     nodes, edges = _graph(spark, sf_dir)
-    p = graph.ppr_per_graph(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS, iterations=4)
-    return p.where("ppr >= 0.004").select("g", "node_id", F.round("ppr", 9).alias("ppr"))
+    p = graph.ppr_per_graph(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS)
+    return p.select("g", "node_id", F.round("ppr", 9).alias("ppr"))
 
 
 @query()
 def ppr_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7 whole: all 25 rounds and every ranked node, which `ppr` and its SQL cut at four rounds and 0.004."""
+    """G7 as `ppr`, ranks not rounded."""
     nodes, edges = _graph(spark, sf_dir)
     return graph.ppr(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS)
 
 
 @query()
 def ppr_grouped_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7 whole with all rounds of a graph in one task."""
+    """G7 as `ppr_grouped`, ranks not rounded."""
     nodes, edges = _graph(spark, sf_dir)
     return graph.ppr_per_graph(graph.adjacency(edges, B.KEYS), nodes.where("is_sensitive = 1"), B.KEYS)
 
@@ -305,9 +309,9 @@ def weighted_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CENTER}, s AS (SELECT vec_id, label, round(list_inner_product(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))), c), 6) AS sim FROM e JOIN u USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT label, rank, vec_id, sim FROM r WHERE rank <= 20")
 def member_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest members of each label."""
-    w = Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")
-    s = _near_center(spark, sf_dir).withColumn("sim", F.round("sim", 6))
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 20").select("label", "rank", "vec_id", "sim")
+    s = _near_center(spark, sf_dir).select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("unit_id"), F.col("vec_id").alias("ord"), F.lit("merge").alias("action"), F.round("sim", 6).alias("semantic_sim"))
+    top = cluster.top_members(s, s.select("unit_id", F.lit(1.0).alias("q")))
+    return top.select(F.col("cluster_id").alias("label"), F.col("rank").cast("long").alias("rank"), F.col("unit_id").alias("vec_id"), "sim")
 
 
 @query("SELECT doc_id, round(1 + 0.6 * ln(1 + len(list_distinct(string_split(text, ' ')))) + 0.5 * ln(1 + len(string_split(text, chr(10)))) + 0.4 * ln(1 + length(source)), 6) AS q, round(least(greatest(ln(1 + 1 + 0.6 * ln(1 + len(list_distinct(string_split(text, ' ')))) + 0.5 * ln(1 + len(string_split(text, chr(10)))) + 0.4 * ln(1 + length(source))), 0.5), 3.0), 6) AS weight FROM documents")
@@ -329,9 +333,11 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("jac", X.jaccard(F.col("x"), F.col("y"))).where("jac >= 0.5").select("a", "b", F.round("jac", 6).alias("jac"))
 
 
-@query()
+@query(f"""WITH {B.UNITS_SQL}, r AS (SELECT unit_id, list_sort(psi) AS psi, min(unit_id) OVER (PARTITION BY list_sort(psi)) AS rep FROM units), d AS MATERIALIZED (SELECT rep AS id, psi, len(psi) AS n FROM r WHERE unit_id = rep),
+ p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.psi, b.psi)) AS s, a.n + b.n AS n FROM d a JOIN d b ON a.id < b.id AND 2 * least(a.n, b.n) >= greatest(a.n, b.n) AND a.n > 0)
+ SELECT 'equal' AS kind, rep AS a, unit_id AS b, 1.0::DOUBLE AS jac FROM r WHERE unit_id <> rep UNION ALL SELECT 'near', a, b, round(s / (n - s), 6) FROM p WHERE 3 * s >= n""")
 def token_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X5, C6, J12 whole: all documents whose token sets agree by half, however common their tokens (`token_jaccard` and its SQL ask for a rare one)."""
+    """X5, C6, J12 whole: all documents whose token sets agree by half, however common their tokens (`token_jaccard` asks for a rare one)."""
     return retrieve.similar_sets(B.document_units(spark, sf_dir), 1, 2)
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import state as S
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import cluster, decide, graph, retrieve, units
-from ..operators.lineage import shared_dir
+from ..operators import cluster, decide, encoder, graph, retrieve, units
+from ..operators.lineage import cut, shared_dir
 from ..sources import readers, writers
 from . import bindings as B
 from . import code as C
@@ -140,10 +141,10 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- names and paths -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, upper(regexp_extract(url, '([^/]+?)(\\.[^./]*)?$', 1)) AS stem, replace(trim(coalesce(url, '')), '.', '/') AS path, coalesce(starts_with(url, 'https://m.'), FALSE) AS hit FROM pages WHERE url LIKE '%.html'")
+@query("SELECT page_id, upper(regexp_extract(url, '([^/]+?)(\\.[^./]*)?$', 1)) AS stem, rtrim(replace(trim(coalesce(url, '')), '.', '/'), '/') AS path, coalesce(starts_with(url, 'https://m.'), FALSE) AS hit FROM pages")
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of addresses, names as paths, and a plain prefix."""
-    p = B.table(spark, sf_dir, "pages").where("url like '%.html'")
+    p = B.table(spark, sf_dir, "pages")
     return p.select("page_id", T.sha_from_path(F.col("url")).alias("stem"), T.package_prefix(F.col("url")).alias("path"), F.coalesce(T.has_prefix(F.col("url"), F.lit("https://m.")), F.lit(False)).alias("hit"))
 
 
@@ -372,19 +373,21 @@ def unit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("g", "p.bu_id", _join("p.symbolic.sapi").alias("sapi"), F.size("p.symbolic.sapi").alias("n"), F.size("p.raw_nodes").alias("nodes"))
 
 
-@query("SELECT o_custkey, '# Unit ' || o_custkey || chr(10) || chr(10) || 'phi=' || printf('%.6f', o_custkey / 1000.0) || chr(10) || chr(10) || '## Internal' || chr(10) || string_agg('- `' || o_orderkey || '` score=' || printf('%.4f', o_orderkey / 10.0), chr(10) ORDER BY o_orderkey) || chr(10) || chr(10) || '## External' || chr(10) || chr(10) || chr(10) || '## Edges' || chr(10) || '- `a` -> `b`' || chr(10) AS report FROM orders GROUP BY o_custkey HAVING count(*) <= 60")
+@query("WITH r AS (SELECT o_custkey // 10 AS unit, o_orderkey, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT unit, '# Unit ' || unit || chr(10) || chr(10) || 'phi=' || printf('%.6f', unit / 1000.0) || chr(10) || chr(10) || '## Internal' || chr(10) || string_agg('- `' || o_orderkey || '` score=' || printf('%.4f', o_orderkey / 10.0), chr(10) ORDER BY r) || chr(10) || chr(10) || '## External' || chr(10) || chr(10) || chr(10) || '## Edges' || chr(10) || '- `a` -> `b`' || chr(10) AS report FROM r WHERE r <= 60 GROUP BY unit")
 def unit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """units' reports in Markdown."""
-    o = B.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("x")).where(F.size("x") <= 60)
+    """units' reports in Markdown; of their nodes, over a hundred, the report's sixty best."""
+    o = B.table(spark, sf_dir, "orders").withColumn("unit", F.floor(F.col("o_custkey") / 10))
+    best = Window.partitionBy("unit").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    o = o.withColumn("r", F.row_number().over(best)).where("r <= 80").groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("r", "o_orderkey"))).alias("x"))
     inner = F.transform("x", lambda r: F.struct(r["o_orderkey"].cast("string").alias("sig"), (r["o_orderkey"] / 10.0).alias("score")))
     none, edge = F.array().cast("array<struct<sig:string,score:double>>"), F.array(F.struct(F.lit("a").alias("src_sig"), F.lit("b").alias("dst_sig")))
-    return o.select("o_custkey", writers.unit_markdown(F.col("o_custkey").cast("string"), F.col("o_custkey") / 1000.0, inner, none, edge).alias("report"))
+    return o.select("unit", writers.unit_markdown(F.col("unit").cast("string"), F.col("unit") / 1000.0, inner, none, edge).alias("report"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'b' WHEN 2 THEN text ELSE '{\"x\":1}' END AS said FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'b' WHEN 2 THEN text ELSE '{\"x\":1}' END AS said FROM conversations")
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """texts of replies in chat form, in parts, as output text, and of none of these forms."""
-    c = B.table(spark, sf_dir, "conversations").where("text <> ''")
+    c = B.table(spark, sf_dir, "conversations")
     text, turn = F.col("text"), F.col("turn") % 4
     message = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
     parts = F.array(F.struct(text.alias("text")), F.struct(F.lit("b").alias("text")), F.struct(F.lit(None).cast("string").alias("text")))
@@ -447,12 +450,32 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.labels(raw).withColumn("behaviors", _join("behaviors"))
 
 
-@query("SELECT CAST(1990 + o_orderkey % 7 AS VARCHAR) AS year, upper(printf('a%d', o_orderkey)) AS apk_sha256 FROM orders WHERE o_orderkey % 7 IN (2, 3) AND o_orderkey < 5000")
+@query("SELECT CAST(1990 + o_orderkey % 7 AS VARCHAR) AS year, upper(printf('a%d', o_orderkey)) AS apk_sha256 FROM orders WHERE o_orderkey % 7 IN (2, 3)")
 def selected_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applications of a range of years, without those whose name begins with a dash."""
-    o = B.table(spark, sf_dir, "orders").where("o_orderkey < 5000")
+    """Applications of a range of years, without those whose name begins with a dash."""
+    return readers.select_targets(_applications(spark, sf_dir), years="1993-1992")
+
+
+def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = B.table(spark, sf_dir, "orders")
     a = o.select((1990 + F.col("o_orderkey") % 7).cast("string").alias("year"), F.upper(F.concat(F.lit("a"), "o_orderkey")).alias("apk_sha256"))
-    return readers.select_targets(a.union(a.select("year", F.concat(F.lit("_"), "apk_sha256"))), years="1993-1992")
+    return a.union(a.select("year", F.concat(F.lit("_"), "apk_sha256")))
+
+
+@query("SELECT CAST(1990 + o_orderkey % 7 AS VARCHAR) AS year, upper(printf('a%d', o_orderkey)) AS apk_sha256 FROM orders WHERE o_orderkey % 7 IN (2, 3) ORDER BY year, apk_sha256 LIMIT 100")
+def limited_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred applications of a range of years, in order; the limit is the feature."""
+    return readers.select_targets(_applications(spark, sf_dir), years="1992,1993", limit=100)
+
+
+@query("SELECT DISTINCT CAST(1990 + o_orderkey % 7 AS VARCHAR) AS year, upper(printf('a%d', o_orderkey)) AS apk_sha256 FROM orders JOIN part ON p_partkey = o_orderkey WHERE p_partkey % 5 <> 4 OR o_orderkey % 7 = 1")
+def listed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications named in a list: by year and name, with the archive's ending, by the bare name, as a folder, and under a year that may be wrong."""
+    k, name = F.col("p_partkey"), F.concat(F.lit("a"), "p_partkey")
+    year = (1990 + k % 7).cast("string")
+    line = F.when(k % 5 == 0, F.concat(year, F.lit("/"), name)).when(k % 5 == 1, F.concat(F.lit("/in/"), year, F.lit("/"), name, F.lit(".apk"))).when(k % 5 == 2, F.concat(F.lit(" "), F.upper(name), F.lit(".APK "))).when(k % 5 == 3, F.concat(F.lit("C:\\out\\"), year, F.lit("\\"), name, F.lit("\\"))).otherwise(F.concat(F.lit("1991/"), name))
+    wanted = B.table(spark, sf_dir, "part").select(line.alias("line"))
+    return readers.select_targets(_applications(spark, sf_dir), wanted)
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
@@ -486,12 +509,11 @@ def features_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("g", "node_id", F.get("x_base", 0).cast("double").alias("base"), F.get("x_symbolic", 0).cast("double").alias("symbolic"))
 
 
-_MEMBERS = "m AS (SELECT g, node_id, sig, is_sensitive, node_id % 2 AS unit_id FROM nodes WHERE node_id % 3 = 0)"
+_MEMBERS = "m AS (SELECT g, node_id, sig, is_sensitive, node_id % 2 AS unit_id FROM nodes)"
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    rows = nodes.where("node_id % 3 = 0")
-    return rows.select("g", "node_id", "sig", F.col("is_sensitive").alias("is_anchor"), (F.col("node_id") % 2).alias("unit_id"), (F.col("node_id") % 10 / 10.0).alias("score"))
+    return nodes.select("g", "node_id", "sig", F.col("is_sensitive").alias("is_anchor"), (F.col("node_id") % 2).alias("unit_id"), (F.col("node_id") % 10 / 10.0).alias("score"))
 
 
 @query(f"WITH {B.NODES_SQL}, {_MEMBERS} SELECT g, unit_id, node_id, row_number() OVER (PARTITION BY g, unit_id ORDER BY node_id % 10 DESC, node_id) AS rank FROM m")
@@ -510,12 +532,12 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("g", "unit_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 
-@query(f"WITH {B.NODES_SQL}, {_MEMBERS} SELECT a.g, a.unit_id, a.node_id AS src, b.node_id AS dst, count(*) * 2 AS copies FROM m a JOIN m b ON a.g = b.g AND a.unit_id = b.unit_id AND a.node_id < b.node_id WHERE a.is_sensitive = 1 AND b.is_sensitive = 1 AND (a.node_id + b.node_id) % 5 = 0 GROUP BY ALL")
+@query(f"WITH {B.NODES_SQL}, {_MEMBERS}, near AS (SELECT DISTINCT x.g, x.src, y.dst FROM edges x JOIN edges y ON y.g = x.g AND y.src = x.dst WHERE x.src < y.dst) SELECT a.g, a.unit_id, src, dst, CAST(2 AS BIGINT) AS copies FROM near JOIN m a ON a.g = near.g AND a.node_id = src AND a.is_sensitive = 1 JOIN m b ON b.g = near.g AND b.node_id = dst AND b.is_sensitive = 1 AND b.unit_id = a.unit_id")
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between the anchors of a unit, each listed twice."""
-    _, nodes, _ = _tables(spark, sf_dir)
-    s = nodes.where("is_sensitive = 1").select("g", "node_id")
-    links = s.withColumnRenamed("node_id", "src").join(s.withColumnRenamed("node_id", "dst"), "g").where("src <> dst and (src + dst) % 5 = 0").withColumn("sim", F.lit(0.5))
+    """Links between the anchors of a unit that two hops join, each listed twice."""
+    _, nodes, edges = _tables(spark, sf_dir)
+    one = nodes.select("g", "node_id", F.array(F.lit(1.0)).alias("h"))
+    links = graph.anchor_links(graph.adjacency(edges, B.KEYS), nodes, one, B.KEYS, 2, 0.3)
     return graph.chain_edges(_members(nodes), links, B.KEYS).groupBy("g", "unit_id", "src", "dst").agg(F.count("*").alias("copies"))
 
 
@@ -554,25 +576,61 @@ def propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("g", "node_id", F.round(F.get("h", 0), 6).alias("first"), F.round(F.get("h", 1), 6).alias("second"))
 
 
-_REACH = f"WITH RECURSIVE {B.NODES_SQL}, s AS (SELECT g, node_id FROM nodes WHERE is_sensitive = 1), pairs AS (SELECT DISTINCT a.g, a.src AS x, b.dst AS y FROM edges a JOIN edges b ON b.g = a.g AND b.src = a.dst JOIN s p ON p.g = a.g AND p.node_id = a.src JOIN s q ON q.g = b.g AND q.node_id = b.dst WHERE a.src <> b.dst)"
+_REACH = f"WITH RECURSIVE {B.NODES_SQL}, s AS (SELECT g, node_id FROM nodes WHERE is_sensitive = 1), pairs AS (SELECT DISTINCT a.g, a.src AS x, b.dst AS y FROM edges a JOIN edges b ON b.g = a.g AND b.src = a.dst JOIN s p ON p.g = a.g AND p.node_id = a.src JOIN s q ON q.g = b.g AND q.node_id = b.dst WHERE a.src <> b.dst AND (a.src % 3 = b.dst % 3))"
 
 
 @query(f"{_REACH}, lab(g, node_id, l) AS (SELECT g, node_id, node_id FROM s UNION SELECT p.g, p.y, lab.l FROM lab JOIN pairs p ON p.g = lab.g AND p.x = lab.node_id WHERE lab.l < p.y), low AS (SELECT g, node_id, min(l) AS l FROM lab GROUP BY ALL) SELECT g, node_id, dense_rank() OVER (PARTITION BY g ORDER BY l) - 1 AS group_id FROM low")
 def anchor_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of sensitive nodes that two hops join, vectors being alike; the SQL follows the smallest member through the links."""
+    """Groups of sensitive nodes that two hops join and whose vectors, one of three at right angles, agree, by star contraction
+    of all graphs at once; the SQL follows the smallest member through the links."""
     _, nodes, edges = _tables(spark, sf_dir)
-    one = nodes.select("g", "node_id", F.array(F.lit(1.0)).alias("h"))
-    links = graph.anchor_links(graph.adjacency(edges, B.KEYS), nodes, one, B.KEYS, 2, 0.3)
-    out = graph.anchor_groups(nodes, links, B.KEYS)
+    three = nodes.select("g", "node_id", F.array(*[F.when(F.col("node_id") % 3 == k, 2.0 + F.col("node_id") % 2).otherwise(0.0) for k in range(3)]).alias("h"))
+    links = graph.anchor_links(graph.adjacency(edges, B.KEYS), nodes, three, B.KEYS, 2, 0.3)
+    out = graph.anchor_groups(nodes, links, B.KEYS, in_task=0)
     return out.select("g", F.col("node_id").cast("long").alias("node_id"), F.col("group_id").cast("long").alias("group_id"))
 
 
-@query(f"WITH {B.NODES_SQL}, s AS (SELECT g, node_id FROM nodes WHERE is_sensitive = 1), c AS (SELECT n.g, n.node_id, is_external FROM nodes n WHERE node_id % 4 = 0 AND g IN (SELECT g FROM s)), m AS (SELECT g, avg(node_id % 5 + 1.0) AS x, avg(1.0) AS y FROM s GROUP BY g) SELECT c.g, c.node_id, round(0.45 * (c.node_id % 3) + 0.25 * ((c.node_id % 5 + 1.0) * x + y) / (sqrt((c.node_id % 5 + 1.0) * (c.node_id % 5 + 1.0) + 1) * sqrt(x * x + y * y)) + 0.10 / (is_external + 1.0), 6) AS score FROM c JOIN m USING (g)")
+@query(f"WITH {B.NODES_SQL}, s AS (SELECT g, node_id FROM nodes WHERE is_sensitive = 1), c AS (SELECT n.g, n.node_id, is_external FROM nodes n WHERE g IN (SELECT g FROM s)), m AS (SELECT g, avg(node_id % 5 + 1.0) AS x, avg(1.0) AS y FROM s GROUP BY g) SELECT c.g, c.node_id, round(0.45 * (c.node_id % 3) + 0.25 * ((c.node_id % 5 + 1.0) * x + y) / (sqrt((c.node_id % 5 + 1.0) * (c.node_id % 5 + 1.0) + 1) * sqrt(x * x + y * y)) + 0.10 / (is_external + 1.0), 6) AS score FROM c JOIN m USING (g)")
 def scored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank, likeness to the anchors' mean vector and nearness, weighed."""
     _, nodes, _ = _tables(spark, sf_dir)
     anchors = nodes.where("is_sensitive = 1").select("g", "node_id")
     h = nodes.select("g", "node_id", F.array(F.col("node_id") % 5 + 1.0, F.lit(1.0)).alias("h"))
-    c = nodes.where("node_id % 4 = 0").join(anchors.select("g").distinct(), "g", "left_semi").select("g", "node_id", F.col("is_external").alias("dist"))
+    c = nodes.join(anchors.select("g").distinct(), "g", "left_semi").select("g", "node_id", F.col("is_external").alias("dist"))
     ranks = c.select("g", "node_id", (F.col("node_id") % 3).cast("double").alias("ppr"))
     return graph.node_scores(c, ranks, h, anchors, B.KEYS, []).select("g", "node_id", F.round("score", 6).alias("score"))
+
+
+_LEAKY = "CASE WHEN {0} > 0 THEN {0} ELSE 0.2 * ({0}) END"
+_HEADS = [(1.5, -0.5, 2.0, -1.0), (-1.0, 0.25, 0.5, 0.5)]  # of each head: weights of x and y, of the source and of the target
+
+
+@query("WITH " + B.NODES_SQL + ", x AS (SELECT g, node_id, 1.0::DOUBLE + is_external AS x, CAST(node_id % 5 AS DOUBLE) AS y FROM nodes), e AS (SELECT g, src, dst FROM edges UNION ALL SELECT g, node_id, node_id FROM nodes), "
+       + ", ".join(f"z{k} AS (SELECT g, node_id, {a} * x + {b} * y AS z FROM x), s{k} AS (SELECT e.g, e.dst, u.z, {_LEAKY.format(f'({s} * u.z + {t} * v.z)')} AS e FROM e JOIN z{k} u ON u.g = e.g AND u.node_id = e.src JOIN z{k} v ON v.g = e.g AND v.node_id = e.dst), t{k} AS (SELECT g, dst, max(e) AS top FROM s{k} GROUP BY ALL), h{k} AS (SELECT s{k}.g, s{k}.dst, sum(exp(e - top) * z) / sum(exp(e - top)) AS h FROM s{k} JOIN t{k} ON t{k}.g = s{k}.g AND t{k}.dst = s{k}.dst GROUP BY ALL)" for k, (a, b, s, t) in enumerate(_HEADS))
+       + " SELECT h0.g, h0.dst AS node_id, round(h0.h, 6) AS first, round(h1.h + 0.5, 6) AS second FROM h0 JOIN h1 ON h1.g = h0.g AND h1.dst = h0.dst")
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attention layer of two heads with given weights over all graphs; parts that many customers order are hubs."""
+    _, nodes, edges = _tables(spark, sf_dir)
+    x = nodes.select("g", "node_id", F.array(1.0 + F.col("is_external"), (F.col("node_id") % 5).cast("double")).alias("x"))
+    heads = [{"weight": [[a], [b]], "src": [s], "dst": [t]} for a, b, s, t in _HEADS]
+    h = encoder.attend(x, edges, B.KEYS, [{"heads": heads, "bias": [0.0, 0.5]}])
+    return h.select("g", "node_id", F.round(F.get("h", 0), 6).alias("first"), F.round(F.get("h", 1), 6).alias("second"))
+
+
+@query(f"WITH {B.NODES_SQL}, x AS (SELECT g, node_id, 1.0::DOUBLE + is_external AS x FROM nodes), m AS (SELECT e.g, e.dst AS node_id, avg(x) AS m FROM edges e JOIN x ON x.g = e.g AND x.node_id = e.src GROUP BY ALL), z AS (SELECT x.g, x.node_id, 0.5 * x - 0.25 * coalesce(m, 0) AS z FROM x LEFT JOIN m ON m.g = x.g AND m.node_id = x.node_id), l AS (SELECT a.z * b.z AS t, CAST(is_fwd AS INT) AS y, a.z AS s, b.z AS d, e.g, e.src, e.dst FROM edges e JOIN z a ON a.g = e.g AND a.node_id = e.src JOIN z b ON b.g = e.g AND b.node_id = e.dst), k AS (SELECT *, 1 / (1 + exp(-t)) - y AS r FROM l), n AS (SELECT g, node_id, sum(r) AS r FROM (SELECT g, src AS node_id, r * d AS r FROM k UNION ALL SELECT g, dst, r * s FROM k) GROUP BY ALL) SELECT round((SELECT avg(greatest(t, 0) - t * y + ln(1 + exp(-abs(t)))) FROM k), 6) AS loss, round(sum(x * n.r) / (SELECT count(*) FROM k), 6) AS own, round(sum(coalesce(m, 0) * n.r) / (SELECT count(*) FROM k), 6) AS near FROM n JOIN x ON x.g = n.g AND x.node_id = n.node_id LEFT JOIN m ON m.g = n.g AND m.node_id = n.node_id")
+def link_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradients of one layer's two weights, forward edges being the links and reverse ones none."""
+    _, nodes, edges = _tables(spark, sf_dir)
+    x = nodes.select("g", "node_id", F.array(1.0 + F.col("is_external")).alias("x"))
+    pairs = edges.select("g", "src", "dst", F.col("is_fwd").cast("double").alias("y"))
+    loss, slopes = encoder.gradients(x, edges, pairs, B.KEYS, [[np.array([[0.5]]), np.array([[-0.25]])]])
+    return spark.createDataFrame([(round(loss, 6), round(float(slopes[0][0][0, 0]), 6), round(float(slopes[0][1][0, 0]), 6))], "loss double, own double, near double")
+
+
+@query()
+def link_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of three epochs of the encoder's training over all graphs."""
+    _, nodes, edges = _tables(spark, sf_dir)
+    x = nodes.select("g", "node_id", F.array(F.col("is_external").cast("double"), F.col("is_sensitive").cast("double"), F.lit(1.0)).alias("x"))
+    _, losses = encoder.train(cut(x), cut(edges), B.KEYS, hidden=8, outputs=4, epochs=3, rate=0.02)
+    return spark.createDataFrame(list(enumerate(losses, 1)), "epoch int, loss double")
