@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from unitforge.llm import kd_means, langid, lsh_forest, periodic_runs, quotient_filter
+from unitforge.llm import kd_means, langid, lsh_forest, periodic_runs, quotient_filter, suffix_dedup, token_counts
 from unitforge.llm.queries import op11_kd_means, op12_quotient_filter, op13_harmonic_runs, tiled_tail
 
 # --- counting quotient filters ---------------------------------------------------------------------------------------
@@ -317,3 +317,21 @@ def test_language_sample_with_one_frequent_key(spark):
         assert model.langs == ["aa", "bb", "cc"]
         got = langid.predict(spark.createDataFrame([(k, text(k)) for k in parts for _ in range(5)], "doc_id string, text string"), model).collect()
         assert sum(r.lang_pred == r.doc_id for r in got) >= 14
+
+
+# --- clashing columns and bounded caches -------------------------------------------------------------------------------
+
+
+def test_suffix_dedup_columns_of_any_name(spark):
+    text = " ".join(str(i * 7919) for i in range(60))
+    rows = [(1, text, "a", 1, True, "x", [1]), (2, "new " + text, "b", 2, False, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _id int, _copy boolean, c0 string, _spans array<int>")
+    out = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert out[1].n_removed == 0 and out[2].n_removed == len(text)
+    assert [(out[k]._text, out[k]._id, out[k]._copy, out[k].c0, out[k]._spans) for k in (1, 2)] == [r[2:] for r in rows]
+
+
+def test_long_words_stay_out_of_the_counter_cache():
+    counter = token_counts.Counter([("<unk>", -5.0), ("\u2581", -1.0), ("a", -1.0)], False)
+    n = counter.count("a" * 5000 + " aa")
+    assert n == counter.count("a" * 5000 + " aa") and all(len(w) <= token_counts.LONG_WORD for w in counter.young)

@@ -612,7 +612,7 @@ def merge_spans(packed: list[bytes] | None) -> np.ndarray:
     return np.stack([pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]], axis=1)
 
 
-def _cut(least: int, kept_text: bool):
+def _cut(least: int, kept_text: bool, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 1024):
@@ -632,8 +632,7 @@ def _cut(least: int, kept_text: bool):
                     texts.append(t if not len(spans) else kept.decode("utf-8", "ignore"))
                 new = [pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), *([pa.array(texts, pa.string())] if kept_text else [])]
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if kept_text else [])]
-                others = [(n, batch.column(j)) for j, n in enumerate(batch.schema.names) if n not in ("_text", "_spans", "_copy")]
-                yield pa.RecordBatch.from_arrays([*[c for _, c in others], *new], names=[*[n for n, _ in others], *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=[*columns, *names])
 
     return run
 
@@ -703,8 +702,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least
     facts = spans.join(copies, ["id", "v"], "full").withColumnsRenamed({"id": "_id", "v": "_v"})
     names = {"n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if kept_text else [])}
     columns = [c for c in df.columns if c != text and c.lower() not in names]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(key).cast("long").alias("_id"), value.alias("_text")).withColumn("_v", F.xxhash64("_text"))
-    rows = rows.join(facts, ["_id", "_v"], "left").select(*[F.col(f"`{c}`") for c in columns], "_text", "_spans", "_copy")
+    others = [f"c{i}" for i in range(len(columns))]  # whatever the table's columns are called
+    rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, others, strict=True)], F.col(key).cast("long").alias("_id"), value.alias("_text")).withColumn("_v", F.xxhash64("_text"))
+    rows = rows.join(facts, ["_id", "_v"], "left").select(*others, "_text", "_spans", "_copy")
     new = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + ([T.StructField("kept_text", T.StringType())] if kept_text else [])
-    schema = T.StructType([f for f in rows.schema.fields if f.name in columns] + new)
-    return rows.mapInArrow(_cut(least, kept_text), schema)
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns] + new)
+    return rows.mapInArrow(_cut(least, kept_text, columns), schema)

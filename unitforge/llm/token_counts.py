@@ -28,6 +28,10 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+#: Longer words stay out of the caches, which so are bounded in bytes too.
+LONG_WORD = 64
+
+
 class Counter:
     """Counts pieces of words; pieces: vocabulary with scores."""
 
@@ -83,6 +87,8 @@ class Counter:
         value = self.old.get(word)
         if value is None:
             value = self.pieces_of(SPACE + word)
+        if len(word) > LONG_WORD:
+            return value
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         self.young[word] = value
