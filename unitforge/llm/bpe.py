@@ -83,6 +83,10 @@ class ChunkEncoder:
         #: Whether words can be encoded apart from each other, as with a vocabulary that marks word ends.
         self.by_word = bool(self.ends_word.any()) and self.tokenizer.decoder is None
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that goes on to other work keeps the tokenizer alone."""
+        self.chunks, self.ids, self.old_ids = _Cache(self.chunks.limit), {}, {}
+
     def whole(self, text: str) -> bytes:
         """The plain way: the whole text at once."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -177,7 +181,7 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
 def encoder(path: str, mean_chars: int) -> ChunkEncoder:
-    """One encoder a Python worker, so that its caches serve all the worker's tasks."""
+    """One encoder a Python worker; its caches serve a task and are emptied at its end."""
     if (path, mean_chars) not in _ENCODERS:
         _ENCODERS[path, mean_chars] = ChunkEncoder(path, mean_chars)
     return _ENCODERS[path, mean_chars]
@@ -221,5 +225,6 @@ def _task(path: str, column: str, mean_chars: int, with_ids: bool) -> Callable[[
                 extra = [pa.array(counts, pa.int64()), *([pa.array(all_ids, pa.binary()), pa.array(decoded, pa.string())] if with_ids else []), pa.array(sha_ids, pa.string()), pa.array(sha_decoded, pa.string())]
                 names = ["n_tokens", *(["token_ids", "decoded"] if with_ids else []), "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
+        enc.forget()
 
     return run
