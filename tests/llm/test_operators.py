@@ -317,6 +317,55 @@ def test_spotsigs_near_duplicates(spark):
     assert {r["k"]: r["component_id"] for r in got} == want
 
 
+def test_spotsigs_classes_of_the_query(spark, tmp_path):
+    """Classes against all pairs of fingerprints, by DataFrame operations alone: groups of copies and near copies, equal and null ids."""
+    rng = random.Random(12)
+    base = ["the " + " the ".join(f"{rng.choice('abcdefgh')}{rng.randrange(40)} w{rng.randrange(9)}" for _ in range(rng.choice([4, 30, 60]))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, base[i % 5] + f" the new{i} x") for i in range(60)] + [(300, base[0])] * 3
+    rows += [(7, f"the u{i} of v{i}") for i in range(30)] + [(None, base[1]), (None, "the lone of none"), (None, None), (400, None), (401, "")]
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["op5_spotsigs"](spark, str(tmp_path))
+    got = df.collect()
+    assert len(got) == len(rows)
+    plan = df._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "Python" not in plan
+    sets = {r["fingerprint"]: frozenset(r["fingerprint"].split()) for r in got}
+    names = {f: n for n, f in enumerate(sets)}
+    pairs = [(names[f], names[g]) for f, a in sets.items() for g, b in sets.items() if names[f] < names[g] and len(a & b) >= 0.75 * len(a | b)]
+    group = union(pairs, names.values())
+    low = {}
+    for r in got:
+        c = group[names[r["fingerprint"]]]
+        low[c] = min((x for x in (low.get(c), r["doc_id"]) if x is not None), default=None)
+    assert len(pairs) > 50
+    for r in got:
+        assert r["component_id"] == low[group[names[r["fingerprint"]]]] and r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+@pytest.mark.parametrize(("hot", "rare", "share"), [(1, 0, 1), (100, 2, 3), (50_000, 50, 1024)])
+def test_spotsigs_classes_under_any_parameters(spark, hot, rare, share):
+    rng = random.Random(hot)
+    rows = [(i, sorted(rng.sample(range(60), rng.choice([1, 4, 12, 20])))) for i in range(150)]
+    rows += [(200 + i, sorted({*rows[i % 7][1], 1000 + i})) for i in range(80)]
+    sets = {i: set(s) for i, s in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(rows, "k long, s array<long>")
+    classes = {r["digest"]: r["component_id"] for r in spotsigs.near_classes(df, "k", "s", hot=hot, rare=rare, share=share).collect()}
+    digests = {r["k"]: r["d"] for r in df.select("k", spotsigs.set_digest(F.col("s")).alias("d")).collect()}
+    assert {k: classes.get(d, k) for k, d in digests.items()} == union(pairs, sets)
+
+
+def test_spotsigs_next_splits_a_hot_key(spark):
+    """A third of the rows under one key, and null keys, are dealt over several ranges in the order of key and tie."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, t string, b int").repartition(7)
+    out = spotsigs.with_next(df, "k", ["t"], F.xxhash64("t"), rows_per_bucket=20)
+    tie = {r["t"]: r["h"] for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    order = [t for _, t, _ in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))]
+    assert {r["t"]: r["next_t"] for r in out.collect()} == dict(zip(order, [*order[1:], order[0]], strict=True))
+    assert out.columns == ["k", "t", "b", "next_t"]
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows, labels = [], []

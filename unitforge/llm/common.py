@@ -64,15 +64,15 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40, thin: bool = True) -> DataFrame:
     """Connected components of an undirected graph: (a, b) longs -> (node, component), the component being its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to the shared folder, after
-    a union-find inside every partition has thinned the edges. Nodes without an edge to another node are absent.
+    a union-find inside every partition has thinned the edges (thin=False: by DataFrame operations only, without it). Nodes without an edge to another node are absent.
     """
     spark = scratch.spark
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    e = scratch.keep(e.mapInPandas(_contract, "a long, b long").distinct(), "edges")
+    e = scratch.keep((e.mapInPandas(_contract, "a long, b long") if thin else e).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))

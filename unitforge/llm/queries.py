@@ -29,19 +29,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text, its edited form and the next document's. Null texts count as empty; equal doc_ids are ordered by a hash of their texts."""
+    """Fingerprints of every text, its edited form and the next document's, and its near-duplicate class by fingerprints (component_id, kept).
+
+    Null texts count as empty; equal doc_ids are ordered by a hash of their texts, and each row is classed by its own text. A class is
+    named by its smallest doc_id; rows without a doc_id are named by others of their class, or null. An empty table gives an empty one.
+    """
     from . import spotsigs as S
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = S.with_next(S.add_signatures(docs, "text", "sigs"), "doc_id", ["text", "sigs"], F.xxhash64("text"))
+    docs = S.add_signatures(docs, "text", "sigs")
+    classes = S.near_classes(docs, "doc_id", "sigs")
+    docs = S.with_next(docs, "doc_id", ["text", "sigs"], F.xxhash64("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
     docs = S.add_signatures(docs, "edited", "edited_sigs")
+    docs = docs.withColumn("digest", S.set_digest(F.col("sigs"))).join(classes, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
     return docs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), S.as_text(F.col("sigs")).alias("fingerprint"), S.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         S.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), S.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
 
 

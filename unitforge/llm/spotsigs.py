@@ -2,11 +2,12 @@
 
 A spot is a run of common words (the anchor); its signature is the hash of the anchor and of the chain of content words after it.
 A document's fingerprint is the set of its signatures. Near duplicates are found among sets of compatible length only, through
-the signatures that are rarest in the corpus, and are settled by Jaccard similarity. DataFrame operations only.
+signatures of which the corpus' frequent ones come last, and are settled by Jaccard similarity. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 
@@ -70,58 +71,123 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per
     """Append next_<column>: values of the row after this one by descending key; the last row's next is the first.
 
     Rows are dealt into key ranges by the key's quantiles, which grow in number with the table up to most_buckets; beyond, ranges get
-    longer, and a range is sorted by a task that may spill. Each range also gets the first row of the range after it. A key's range is
-    found in two steps, each over about the root of their number. Equal keys are ordered by tie, rows that also agree in it are alike;
-    null keys come last. An empty table gives an empty one; columns named like the new ones are refused by Spark as ambiguous.
+    longer, and a range is sorted by a task that may spill. A key that fills several ranges (or the null key) has a range of its own,
+    which is split further by tie, a 64-bit hash. Each range also gets the first row of the range after it. A key's range is found in two
+    steps, each over about the root of their number. Equal keys are ordered by tie, rows that also agree in it are alike; null keys come
+    last. An empty table gives an empty one; columns named like the new ones are refused by Spark as ambiguous.
     """
     total = df.count()
     n = max(1, min(most_buckets, math.ceil(total / rows_per_bucket)))
-    cuts = sorted({int(x) for x in df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))}, reverse=True) if n > 1 else []
+    quantiles = [int(x) for x in df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n))] if n > 1 else []
+    often = {b for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}
+    cuts = sorted({*quantiles, *(x + 1 for x in often if x < (1 << 63) - 1)}, reverse=True)
     width = max(1, math.isqrt(len(cuts)))
     groups = [cuts[a : a + width] for a in range(0, len(cuts), width)]
     over = lambda bounds: F.size(F.filter(bounds, lambda b: b > F.col(key)))
     group = over(_table([g[-1] for g in groups], "bigint"))  # groups whose bounds are all above the key
     inside = F.coalesce(over(F.get(_table(groups, "array<bigint>"), group)), F.lit(0))
-    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(group * width + F.greatest(inside, F.lit(0)))
-    df = df.withColumns({"_bucket": bucket, "_tie": tie})
+    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(group * width + F.greatest(inside, F.lit(0))).cast("int")
+    sizes = {r["_r"]: r for r in df.select(key, bucket.alias("_r")).groupBy("_r").agg(F.count("*").alias("rows"), F.min(key).eqNullSafe(F.max(key)).alias("one")).collect()}
+    least = max(1, math.ceil(total / most_buckets), rows_per_bucket)
+    shares = [max(1, sizes[b]["rows"] // least) if b in sizes and sizes[b]["one"] else 1 for b in range(len(cuts) + 2)]
+    starts = list(itertools.accumulate(shares, initial=0))[:-1]
+    # Shares of the tie's 2**64 values, in their order.
+    share = F.floor((F.col("_tie") / float(1 << 64) + 0.5) * F.get(_table(shares, "int"), F.col("_r")))
+    share = F.greatest(F.lit(0), F.least(share, F.get(_table(shares, "int"), F.col("_r")) - 1))
+    df = df.withColumns({"_r": bucket, "_tie": tie}).withColumn("_bucket", (F.get(_table(starts, "int"), F.col("_r")) + share).cast("int")).drop("_r")
     heads = {r["_bucket"]: r["h"] for r in df.groupBy("_bucket").agg(F.min(F.struct(-F.col(key), "_tie")).alias("h")).collect()}
     order = sorted(heads)
     goes_to = {b: order[i - 1] for i, b in enumerate(order)}
-    at = lambda f, kind: F.get(_table([f(b) if b in heads else None for b in range(len(cuts) + 2)], kind), F.col("_bucket"))
+    at = lambda f, kind: F.get(_table([f(b) if b in heads else None for b in range(sum(shares))], kind), F.col("_bucket"))
     first = (-F.col(key)).eqNullSafe(at(lambda b: heads[b][0], "bigint")) & F.col("_tie").eqNullSafe(at(lambda b: heads[b][1], "bigint"))
-    places = F.when(first, F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra")), F.struct(at(lambda b: goes_to[b], "int").alias("b"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra"))))
-    dealt = df.withColumn("_place", F.explode(places)).drop("_bucket").select("*", "_place.b", "_place.extra").drop("_place")
-    w = Window.partitionBy("b").orderBy("extra", F.col(key).desc_nulls_last(), "_tie")
+    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra"))
+    places = F.when(first, F.array(own, F.struct(at(lambda b: goes_to[b], "int").alias("b"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    dealt = df.withColumn("_place", F.explode(places)).drop("_bucket")
+    w = Window.partitionBy("_place.b").orderBy("_place.extra", F.col(key).desc_nulls_last(), "_tie")
     out = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return out.where("extra = 0").drop("b", "extra", "_tie")
+    return out.where("_place.extra = 0").drop("_place", "_tie")
 
 
-def near_duplicates(df: DataFrame, key: str, signatures: str, threshold: float = 0.75) -> DataFrame:
-    """(key, n_signatures, component_id, kept): documents joined where the Jaccard similarity of their sets reaches threshold.
+def set_digest(signatures: Column) -> Column:
+    """128 bits that name a sorted set."""
+    return F.md5(as_text(signatures))
+
+
+def _marks(signatures: Column, words: int = 4) -> list[Column]:
+    """A bit for each member, at a place that the member tells, in `words` longs: equal members set equal bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 2), F.lit(64)).cast("int"))
+    word = lambda w: F.aggregate(signatures, F.lit(0).cast("long"), lambda a, x: F.when(F.pmod(x, F.lit(words)) == w, a.bitwiseOR(bit(x))).otherwise(a))
+    return [word(w).alias(f"m{w}") for w in range(words)]
+
+
+def _plausible(a: str, b: str, threshold: float, words: int = 4) -> Column:
+    """Can two sets reach the threshold, by their lengths and by the marks that one has and the other lacks? No pair that does is refused."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    lacking = lambda p, q: sum((F.bit_count(F.col(f"{p}.m{w}").bitwiseAND(F.bitwise_not(F.col(f"{q}.m{w}")))) for w in range(words)), F.lit(0))
+    most = F.least(n - lacking(a, b), m - lacking(b, a))
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most * (1 + threshold) >= threshold * (n + m) - 1e-9)
 
-    Equal sets collapse first. Sets are partitioned by length, neighbours in geometric steps of 1/threshold, and meet only on their
-    rarest signatures: two sets above the threshold share one of the first n - ceil(threshold * n) + 1. Null sets link with nothing.
+
+def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.75, hot: int = 50_000, rare: int = 50, share: int = 1024) -> DataFrame:
+    """(digest, component_id): the near-duplicate class of every set that several rows hold or that is linked with another set.
+
+    Sets are linked where their Jaccard similarity reaches threshold; component_id is the smallest key of all rows whose sets are
+    joined by links, null if all these keys are null. Equal sets collapse first. A set is entered under its first
+    n - ceil(threshold * n) + 1 signatures, in an order in which the corpus' frequent signatures come last: two sets above the threshold
+    share one of these. The frequent ones have over `rare` sets and over the hot-th part of all entries, so they number
+    `hot` at most. Sets meet in
+    cells of a signature and a length class (steps of 1/threshold, neighbouring classes only); lengths and bit marks prune pairs, the
+    full sets decide. First all sets of a cell meet its first one, which joins a group of near copies without its pairs; then sets outside
+    the largest component under a signature meet all others there, in shares of `share` sets. Empty and null sets have no class.
     """
     scratch = Scratch(df.sparkSession, "spots")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s")).where(F.size(F.coalesce("s", F.array().cast("array<bigint>"))) > 0)
+    held = rows.groupBy(set_digest(F.col("s")).alias("digest")).agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("s").alias("s"))
+    step = F.floor(F.log(F.size("s")) / math.log(1 / threshold) + 1e-9).cast("int")
+    sets = scratch.keep(held.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "rows", F.size("s").alias("n"), step.alias("part"), "s"), "sets")
+
+    entries = sets.agg(F.sum("n")).first()[0] or 0
+    often = [r["x"] for r in sets.select(F.explode("s").alias("x")).groupBy("x").count().where(F.col("count") > max(rare, entries // hot + 1)).collect()]
+    slots: list[list[int]] = [[] for _ in range(max(1, len(often)))]
+    for x in often:
+        slots[x % len(slots)].append(x)
+    table = _table(slots, "array<bigint>")
+    frequent = lambda x: F.array_contains(F.get(table, F.pmod(x, F.lit(len(slots))).cast("int")), x)
+    ordered = F.concat(F.filter("s", lambda x: ~frequent(x)), F.filter("s", frequent))
+    need = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
+    marks = [f"m{w}" for w in range(4)]
+    entered = scratch.keep(sets.select("node", "n", "part", *_marks(F.col("s")), F.explode(F.slice(ordered, F.lit(1), need)).alias("x")), "entered")
+
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
+        met = pairs.distinct().join(a, "a").join(b, "b")
+        return scratch.keep(met.where(likeness(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), tag)
+
+    heads = entered.groupBy("x", "part").agg(F.min(F.struct("node", "n", *marks)).alias("h"), F.count("*").alias("c")).where("c > 1").select("x", "part", "h")
+    to_head = entered.select("x", "part", F.struct("node", "n", *marks).alias("e")).join(heads, ["x", "part"]).where((F.col("e.node") != F.col("h.node")) & _plausible("e", "h", threshold))
+    links = confirmed(to_head.select(F.col("h.node").alias("a"), F.col("e.node").alias("b")), "to-heads")
+    member = scratch.keep(connected_components(links, scratch, thin=False), "first")
+
+    placed = entered.join(member, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    sizes = placed.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("all"))
+    sizes = sizes.where("comps > 1").select("x", "top", F.ceil(F.col("all") / share).cast("int").alias("shares"))
+    placed = scratch.keep(placed.join(sizes, "x"), "placed")
+    e = F.struct("node", "n", "comp", *marks)
+    cell = lambda part, i: F.xxhash64("x", part, i)  # noqa: E731  a cell's name; cells that share one only compare more
+    minors = placed.where("comp <> top").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(F.explode(F.array(*[cell(F.col("part") + d, F.col("i")) for d in (-1, 0, 1)])).alias("cell"), e.alias("e"))
+    others = placed.select(cell(F.col("part"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).alias("cell"), e.alias("h"))
+    apart = minors.join(others, "cell").where((F.col("e.comp") != F.col("h.comp")) & _plausible("e", "h", threshold))
+    more = confirmed(apart.select(F.least("e.node", "h.node").alias("a"), F.greatest("e.node", "h.node").alias("b")), "apart")
+    member = connected_components(links.union(more), scratch, thin=False)
+
+    classes = sets.select("node", "digest", "least", "rows").join(member, "node", "left").where("rows > 1 or component is not null")
+    low = classes.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("least").alias("component_id"))
+    return scratch.keep(classes.select("digest", F.coalesce("component", "node").alias("c")).join(low, "c").select("digest", "component_id"), "classes")
+
+
+def near_duplicates(df: DataFrame, key: str, signatures: str, threshold: float = 0.75) -> DataFrame:
+    """(key, n_signatures, component_id, kept), a row for each row: its class by near_classes, itself where it has none."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s"))
-    rows = scratch.keep(rows.withColumn("n", F.coalesce(F.size("s"), F.lit(0))), "rows")
-    sets = scratch.keep(rows.where("n > 0").groupBy("s").agg(F.min("id").alias("id"), F.first("n").alias("n")).where("id is not null"), "sets")
-    counts = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    ranked = sets.select("id", "n", F.explode("s").alias("x")).join(counts.where("df > 1"), "x")
-    need = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    unique = sets.select("id", F.col("n").alias("full"))
-    w = Window.partitionBy("id").orderBy("df", "x")
-    met = ranked.join(unique, "id").groupBy("id", "full").agg(F.count("*").alias("shared"))
-    prefix = ranked.join(met, "id").withColumn("at", F.row_number().over(w) + F.col("full") - F.col("shared")).where(F.col("at") <= need)
-    step = F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int")
-    left = prefix.select("x", "id", "n", step.alias("part"))
-    right = left.select("x", F.col("id").alias("other"), F.col("n").alias("m"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
-    pairs = left.join(right, ["x", "part"]).where((F.col("id") != F.col("other")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") < F.col("other")))) & (F.col("n") >= threshold * F.col("m")))
-    pairs = pairs.select("id", "other").distinct()
-    a, b = sets.select("id", F.col("s").alias("sa")), sets.select(F.col("id").alias("other"), F.col("s").alias("sb"))
-    links = pairs.join(a, "id").join(b, "other").where(likeness(F.col("sa"), F.col("sb")) >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    member = connected_components(links, scratch)
-    same = sets.select("s", F.col("id").alias("first"))
-    out = rows.join(same, "s", "left").join(member, F.col("first") == F.col("node"), "left")
-    component = F.coalesce("component", "first", "id")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_signatures"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = rows.withColumn("digest", set_digest(F.col("s"))).join(near_classes(df, key, signatures, threshold), "digest", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(key), F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_signatures"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
