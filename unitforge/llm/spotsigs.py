@@ -141,10 +141,11 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     the largest component under a signature meet all others there, in shares of `share` sets. Empty and null sets have no class.
     """
     scratch = Scratch(df.sparkSession, "spots")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s")).where(F.size(F.coalesce("s", F.array().cast("array<bigint>"))) > 0)
+    # Written first: a filter on sets that are still to be computed would be pushed below them and compute them over and over.
+    rows = scratch.keep(df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s")), "rows").where(F.size(F.coalesce("s", F.array().cast("array<bigint>"))) > 0)
     held = rows.groupBy(set_digest(F.col("s")).alias("digest")).agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("s").alias("s"))
     step = F.floor(F.log(F.size("s")) / math.log(1 / threshold) + 1e-9).cast("int")
-    sets = scratch.keep(held.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "rows", F.size("s").alias("n"), step.alias("part"), "s"), "sets")
+    sets = scratch.keep(held.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "rows", F.size("s").alias("n"), step.alias("part"), "s", *_marks(F.col("s"))), "sets")
 
     entries = sets.agg(F.sum("n")).first()[0] or 0
     often = [r["x"] for r in sets.select(F.explode("s").alias("x")).groupBy("x").count().where(F.col("count") > max(rare, entries // hot + 1)).collect()]
@@ -156,7 +157,7 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     ordered = F.concat(F.filter("s", lambda x: ~frequent(x)), F.filter("s", frequent))
     need = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     marks = [f"m{w}" for w in range(4)]
-    entered = scratch.keep(sets.select("node", "n", "part", *_marks(F.col("s")), F.explode(F.slice(ordered, F.lit(1), need)).alias("x")), "entered")
+    entered = scratch.keep(sets.select("node", "n", "part", *marks, F.explode(F.slice(ordered, F.lit(1), need)).alias("x")), "entered")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
