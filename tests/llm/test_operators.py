@@ -366,6 +366,14 @@ def test_spotsigs_next_splits_a_hot_key(spark):
     assert out.columns == ["k", "t", "b", "next_t"]
 
 
+@pytest.mark.parametrize("n", [240, 260, 1030])
+def test_spotsigs_next_in_ranges_of_any_number(spark, n):
+    """The last group of bounds may be shorter than the others; keys below all bounds still belong to the last range."""
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(n)], "k long, t string")
+    out = spotsigs.with_next(df, "k", ["t"], F.xxhash64("t"), rows_per_bucket=20)
+    assert {r["k"]: r["next_t"] for r in out.collect()} == {i: f"t{(i - 1) % n}" for i in range(n)}
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows, labels = [], []

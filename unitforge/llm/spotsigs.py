@@ -86,7 +86,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per
     over = lambda bounds: F.size(F.filter(bounds, lambda b: b > F.col(key)))
     group = over(_table([g[-1] for g in groups], "bigint"))  # groups whose bounds are all above the key
     inside = F.coalesce(over(F.get(_table(groups, "array<bigint>"), group)), F.lit(0))
-    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(group * width + F.greatest(inside, F.lit(0))).cast("int")
+    bucket = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(F.least(group * width + F.greatest(inside, F.lit(0)), F.lit(len(cuts)))).cast("int")
     sizes = {r["_r"]: r for r in df.select(key, bucket.alias("_r")).groupBy("_r").agg(F.count("*").alias("rows"), F.min(key).eqNullSafe(F.max(key)).alias("one")).collect()}
     least = max(1, math.ceil(total / most_buckets), rows_per_bucket)
     shares = [max(1, sizes[b]["rows"] // least) if b in sizes and sizes[b]["one"] else 1 for b in range(len(cuts) + 2)]
