@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,9 +68,11 @@ def _table(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_bucket: int = 500, most_buckets: int = 1 << 16) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_bucket: int = 500, most_buckets: int = 1 << 16, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Append next_<column>: values of the row after this one by descending key; the last row's next is the first.
 
+    derive adds columns to the rows where they have arrived, so that what it computes isn't shuffled; `columns` may name them.
+
     Rows are dealt into key ranges by the key's quantiles, which grow in number with the table up to most_buckets; beyond, ranges get
     longer, and a range is sorted by a task that may spill. A key that fills several ranges (or the null key) has a range of its own,
     which is split further by tie, a 64-bit hash. Each range also gets the first row of the range after it. A key's range is found in two
@@ -102,10 +105,10 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per
     first = (-F.col(key)).eqNullSafe(at(lambda b: heads[b][0], "bigint")) & F.col("_tie").eqNullSafe(at(lambda b: heads[b][1], "bigint"))
     own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra"))
     places = F.when(first, F.array(own, F.struct(at(lambda b: goes_to[b], "int").alias("b"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    dealt = df.withColumn("_place", F.explode(places)).drop("_bucket")
-    w = Window.partitionBy("_place.b").orderBy("_place.extra", F.col(key).desc_nulls_last(), "_tie")
-    out = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return out.where("_place.extra = 0").drop("_place", "_tie")
+    dealt = df.withColumn("_place", F.explode(places)).drop("_bucket").withColumns({"_range": F.col("_place.b"), "_extra": F.col("_place.extra")}).drop("_place")
+    w = Window.partitionBy("_range").orderBy("_extra", F.col(key).desc_nulls_last(), "_tie")
+    out = derive(dealt.repartition("_range")).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    return out.where("_extra = 0").drop("_range", "_extra", "_tie")
 
 
 def set_digest(signatures: Column) -> Column:
@@ -141,9 +144,10 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     the largest component under a signature meet all others there, in shares of `share` sets. Empty and null sets have no class.
     """
     scratch = Scratch(df.sparkSession, "spots")
-    # Written first: a filter on sets that are still to be computed would be pushed below them and compute them over and over.
-    rows = scratch.keep(df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s")), "rows").where(F.size(F.coalesce("s", F.array().cast("array<bigint>"))) > 0)
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s"))
     held = rows.groupBy(set_digest(F.col("s")).alias("digest")).agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("s").alias("s"))
+    # Only after the aggregation: a filter on sets that are still to be computed would be pushed below them and compute them over and over.
+    held = held.where(F.size(F.coalesce("s", F.array().cast("array<bigint>"))) > 0)
     step = F.floor(F.log(F.size("s")) / math.log(1 / threshold) + 1e-9).cast("int")
     sets = scratch.keep(held.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "rows", F.size("s").alias("n"), step.alias("part"), "s", *_marks(F.col("s"))), "sets")
 
@@ -173,17 +177,24 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     sizes = placed.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("all"))
     sizes = sizes.where("comps > 1").select("x", "top", F.ceil(F.col("all") / share).cast("int").alias("shares"))
     placed = scratch.keep(placed.join(sizes, "x"), "placed")
+    scratch.drop(entered)
+    scratch.drop(member)
     e = F.struct("node", "n", "comp", *marks)
     cell = lambda part, i: F.xxhash64("x", part, i)  # noqa: E731  a cell's name; cells that share one only compare more
     minors = placed.where("comp <> top").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(F.explode(F.array(*[cell(F.col("part") + d, F.col("i")) for d in (-1, 0, 1)])).alias("cell"), e.alias("e"))
     others = placed.select(cell(F.col("part"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).alias("cell"), e.alias("h"))
     apart = minors.join(others, "cell").where((F.col("e.comp") != F.col("h.comp")) & _plausible("e", "h", threshold))
     more = confirmed(apart.select(F.least("e.node", "h.node").alias("a"), F.greatest("e.node", "h.node").alias("b")), "apart")
+    scratch.drop(placed)
     member = connected_components(links.union(more), scratch, thin=False)
+    scratch.drop(links)
+    scratch.drop(more)
 
     classes = sets.select("node", "digest", "least", "rows").join(member, "node", "left").where("rows > 1 or component is not null")
     low = classes.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("least").alias("component_id"))
-    return scratch.keep(classes.select("digest", F.coalesce("component", "node").alias("c")).join(low, "c").select("digest", "component_id"), "classes")
+    out = scratch.keep(classes.select("digest", F.coalesce("component", "node").alias("c")).join(low, "c").select("digest", "component_id"), "classes")
+    scratch.drop(sets)
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str, signatures: str, threshold: float = 0.75) -> DataFrame:
