@@ -140,8 +140,9 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     share one of these. The frequent ones have over `rare` sets and over the hot-th part of all entries, so they number
     `hot` at most. Sets meet in
     cells of a signature and a length class (steps of 1/threshold, neighbouring classes only); lengths and bit marks prune pairs, the
-    full sets decide. First all sets of a cell meet its first one, which joins a group of near copies without its pairs; then sets outside
-    the largest component under a signature meet all others there, in shares of `share` sets. Empty and null sets have no class.
+    full sets decide. First all sets of a cell meet its first one and that of the next shorter class, which joins a group of near
+    copies without its pairs; then sets outside the largest component under a signature meet all others there, in shares of `share`
+    sets. Empty and null sets have no class.
     """
     scratch = Scratch(df.sparkSession, "spots")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(signatures).alias("s"))
@@ -161,14 +162,15 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     ordered = F.concat(F.filter("s", lambda x: ~frequent(x)), F.filter("s", frequent))
     need = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     marks = [f"m{w}" for w in range(4)]
-    entered = scratch.keep(sets.select("node", "n", "part", *marks, F.explode(F.slice(ordered, F.lit(1), need)).alias("x")), "entered")
+    entries = sets.select("node", "n", "part", *marks, F.explode(F.slice(ordered, F.lit(1), need)).alias("x"))
+    entered = scratch.keep(entries.join(entries.groupBy("x").count().where("count > 1").select("x"), "x"), "entered")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
         met = pairs.distinct().join(a, "a").join(b, "b")
         return scratch.keep(met.where(likeness(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), tag)
 
-    heads = entered.groupBy("x", "part").agg(F.min(F.struct("node", "n", *marks)).alias("h"), F.count("*").alias("c")).where("c > 1").select("x", "part", "h")
+    heads = entered.groupBy("x", "part").agg(F.min(F.struct("node", "n", *marks)).alias("h")).select("x", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "h")
     to_head = entered.select("x", "part", F.struct("node", "n", *marks).alias("e")).join(heads, ["x", "part"]).where((F.col("e.node") != F.col("h.node")) & _plausible("e", "h", threshold))
     links = confirmed(to_head.select(F.col("h.node").alias("a"), F.col("e.node").alias("b")), "to-heads")
     member = scratch.keep(connected_components(links, scratch, thin=False), "first")
