@@ -136,8 +136,8 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
 
     Sets are linked where their Jaccard similarity reaches threshold; component_id is the smallest key of all rows whose sets are
     joined by links, null if all these keys are null. Equal sets collapse first. A set is entered under its first
-    n - ceil(threshold * n) + 1 signatures, in an order in which the corpus' frequent signatures come last: two sets above the threshold
-    share one of these. The frequent ones have over `rare` sets and over the hot-th part of all entries, so they number
+    n - ceil(threshold * n) + 1 signatures, in an order in which the corpus' frequent signatures come last, the most frequent at the end: two sets above
+    the threshold share one of these. The frequent ones have over `rare` sets and over the hot-th part of all entries, so they number
     `hot` at most. Sets meet in
     cells of a signature and a length class (steps of 1/threshold, neighbouring classes only); lengths and bit marks prune pairs, the
     full sets decide. First all sets of a cell meet its first one and that of the next shorter class, which joins a group of near
@@ -153,13 +153,18 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     sets = scratch.keep(held.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "rows", F.size("s").alias("n"), step.alias("part"), "s", *_marks(F.col("s"))), "sets")
 
     entries = sets.agg(F.sum("n")).first()[0] or 0
-    often = [r["x"] for r in sets.select(F.explode("s").alias("x")).groupBy("x").count().where(F.col("count") > max(rare, entries // hot + 1)).collect()]
+    counts = sets.select(F.explode("s").alias("x")).groupBy("x").count().where(F.col("count") > max(rare, entries // hot + 1)).collect()
+    often = [r["x"] for r in sorted(counts, key=lambda r: (r["count"], r["x"]))]
     slots: list[list[int]] = [[] for _ in range(max(1, len(often)))]
-    for x in often:
+    ranks: list[list[int]] = [[] for _ in slots]
+    for rank, x in enumerate(often):
         slots[x % len(slots)].append(x)
-    table = _table(slots, "array<bigint>")
-    frequent = lambda x: F.array_contains(F.get(table, F.pmod(x, F.lit(len(slots))).cast("int")), x)
-    ordered = F.concat(F.filter("s", lambda x: ~frequent(x)), F.filter("s", frequent))
+        ranks[x % len(slots)].append(rank)
+    table, rank_table, slot = _table(slots, "array<bigint>"), _table(ranks, "array<int>"), lambda x: F.pmod(x, F.lit(len(slots))).cast("int")
+    frequent = lambda x: F.array_contains(F.get(table, slot(x)), x)
+    rank = lambda x: F.get(F.get(rank_table, slot(x)), F.array_position(F.get(table, slot(x)), x).cast("int") - 1)
+    last = F.transform(F.array_sort(F.transform(F.filter("s", frequent), lambda x: F.struct(rank(x).alias("r"), x.alias("x")))), lambda e: e["x"])
+    ordered = F.concat(F.filter("s", lambda x: ~frequent(x)), last)
     need = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     marks = [f"m{w}" for w in range(4)]
     entries = sets.select("node", "n", "part", *marks, F.explode(F.slice(ordered, F.lit(1), need)).alias("x"))
