@@ -153,8 +153,9 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     sets = scratch.keep(held.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "rows", F.size("s").alias("n"), step.alias("part"), "s", *_marks(F.col("s"))), "sets")
 
     entries = sets.agg(F.sum("n")).first()[0] or 0
-    counts = sets.select(F.explode("s").alias("x")).groupBy("x").count().where(F.col("count") > max(rare, entries // hot + 1)).collect()
-    often = [r["x"] for r in sorted(counts, key=lambda r: (r["count"], r["x"]))]
+    # Written rather than collected at once: the counts of all signatures are a large shuffle, which goes with its job.
+    counts = scratch.keep(sets.select(F.explode("s").alias("x")).groupBy("x").count().where(F.col("count") > max(rare, entries // hot + 1)), "frequent")
+    often = [r["x"] for r in sorted(counts.collect(), key=lambda r: (r["count"], r["x"]))]
     slots: list[list[int]] = [[] for _ in range(max(1, len(often)))]
     ranks: list[list[int]] = [[] for _ in slots]
     for rank, x in enumerate(often):
@@ -171,9 +172,15 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     entered = scratch.keep(entries.join(entries.groupBy("x").count().where("count > 1").select("x"), "x"), "entered")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        a, b = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-        met = pairs.distinct().join(a, "a").join(b, "b")
-        return scratch.keep(met.where(likeness(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), tag)
+        pairs = scratch.keep(pairs.distinct(), f"{tag}-pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = scratch.keep(sets.select("node", "s").join(nodes, "node"), f"{tag}-sets")
+        a, b = (asked.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
+        met = pairs.join(a, "a").join(b, "b")
+        out = scratch.keep(met.where(likeness(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), tag)
+        scratch.drop(pairs)
+        scratch.drop(asked)
+        return out
 
     heads = entered.groupBy("x", "part").agg(F.min(F.struct("node", "n", *marks)).alias("h")).select("x", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "h")
     to_head = entered.select("x", "part", F.struct("node", "n", *marks).alias("e")).join(heads, ["x", "part"]).where((F.col("e.node") != F.col("h.node")) & _plausible("e", "h", threshold))
@@ -186,11 +193,11 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     placed = scratch.keep(placed.join(sizes, "x"), "placed")
     scratch.drop(entered)
     scratch.drop(member)
-    e = F.struct("node", "n", "comp", *marks)
-    cell = lambda part, i: F.xxhash64("x", part, i)  # noqa: E731  a cell's name; cells that share one only compare more
-    minors = placed.where("comp <> top").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(F.explode(F.array(*[cell(F.col("part") + d, F.col("i")) for d in (-1, 0, 1)])).alias("cell"), e.alias("e"))
-    others = placed.select(cell(F.col("part"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).alias("cell"), e.alias("h"))
-    apart = minors.join(others, "cell").where((F.col("e.comp") != F.col("h.comp")) & _plausible("e", "h", threshold))
+    e = F.struct("node", "n", "comp", "part", *marks)
+    minors = placed.where("comp <> top").select("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("i"), e.alias("e"))
+    others = placed.select("x", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("i"), e.alias("h"))
+    near = (F.col("e.comp") != F.col("h.comp")) & (F.abs(F.col("e.part") - F.col("h.part")) <= 1)
+    apart = minors.join(others, ["x", "i"]).where(near & _plausible("e", "h", threshold))
     more = confirmed(apart.select(F.least("e.node", "h.node").alias("a"), F.greatest("e.node", "h.node").alias("b")), "apart")
     scratch.drop(placed)
     member = connected_components(links.union(more), scratch, thin=False)
