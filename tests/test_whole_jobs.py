@@ -26,3 +26,7 @@ def check_units(spark, name, sf):
 
 def test_unit_parts_of_many_literals(spark, one_nation):
     check_units(spark, "unit_parts", one_nation)
+
+
+def test_unit_tokens_of_many_literals(spark, one_nation):
+    check_units(spark, "unit_tokens", one_nation)
