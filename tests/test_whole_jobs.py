@@ -30,3 +30,12 @@ def test_unit_parts_of_many_literals(spark, one_nation):
 
 def test_unit_tokens_of_many_literals(spark, one_nation):
     check_units(spark, "unit_tokens", one_nation)
+
+
+def test_label_fallback_counts_every_document(spark):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = registry.QUERIES["label_fallback"](spark, SF).toPandas(), con.sql(registry.ORACLE_SQL["label_fallback"]).df()
+    assert rows_of(got) == rows_of(want)
+    assert got["n"].sum() == con.sql("SELECT count(*) FROM documents").fetchall()[0][0] and "unknown" in set(got["family"])

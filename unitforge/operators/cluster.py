@@ -333,10 +333,15 @@ def exemplars(assigned: DataFrame, quality: DataFrame, least: float = 0.85, m: i
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).where(F.col("rank") <= m).select("cluster_id", "rank", "unit_id", "sim", "q")
 
 
-def label_counts(assigned: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cluster_id, family, cnt) and (cluster_id, behavior, cnt), a count for every unit. Labels by apk_id, else by the bare sha."""
+def labelled(assigned: DataFrame, labels: DataFrame) -> DataFrame:
+    """Assigned with l, the label (family, behaviors) by apk_id, else by the bare sha; null where there is neither."""
     full, bare = labels.select("apk_id", F.struct("family", "behaviors").alias("l1")), labels.select(F.col("apk_id").alias("sha"), F.struct("family", "behaviors").alias("l2"))
-    rows = assigned.withColumn("sha", F.element_at(F.split("apk_id", "/"), -1)).join(full, "apk_id", "left").join(bare, "sha", "left").withColumn("l", F.coalesce("l1", "l2"))
+    return assigned.withColumn("sha", F.element_at(F.split("apk_id", "/"), -1)).join(full, "apk_id", "left").join(bare, "sha", "left").withColumn("l", F.coalesce("l1", "l2"))
+
+
+def label_counts(assigned: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cluster_id, family, cnt) and (cluster_id, behavior, cnt), a count for every unit."""
+    rows = labelled(assigned, labels)
     family = rows.withColumn("family", F.trim("l.family")).where("family <> '' and lower(family) <> 'unknown'").groupBy("cluster_id", "family").agg(F.count("*").alias("cnt"))
     behavior = rows.select("cluster_id", F.explode("l.behaviors").alias("b")).withColumn("behavior", F.trim("b")).where("behavior <> ''").groupBy("cluster_id", "behavior").agg(F.count("*").alias("cnt"))
     return family, behavior
