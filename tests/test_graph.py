@@ -147,3 +147,30 @@ def test_components_of_any_size(spark, in_task):
     n, e = spark.createDataFrame(nodes, "k string, node_id int"), spark.createDataFrame(links, "k string, src int, dst int")
     got = {(r.k, r.node_id): r.component for r in G.components(n, e, ["k"], in_task).collect()}
     assert got == {**{("p", i): 0 for i in order}, **{("h", i): 7 for i in range(7, 5_008)}, ("q", 0): 0, ("q", 1): 1, ("q", 2): 1, ("q", 3): 3, ("q", 4): 4, ("q", 5): 4}
+
+
+def test_last_hop_lands_on_ends(spark):
+    """What the last hop reaches besides the ends is not made; shared vectors give the same links as a vector a node."""
+    edges = frame(spark, [(1, 0, i) for i in range(1, 9)] + [(1, 9, 8), (1, 9, 9)], "g int, src int, dst int")
+    adj = G.adjacency(edges, K)
+    got = {(r["node_id"], r["dist"]) for r in G.khop(adj, frame(spark, [(1, 1)], "g int, node_id int"), 2, K, ends=frame(spark, [(1, 3), (1, 8)], "g int, node_id int")).collect()}
+    assert got == {(1, 0), (0, 1), (3, 2), (8, 2)}
+    nodes = frame(spark, [(1, i, int(i in (1, 3, 8))) for i in range(10)], "g int, node_id int, is_sensitive int")
+    table = frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, h array<double>")
+    index = nodes.select("g", "node_id", (F.col("node_id") % 2).cast("long").alias("vec_id"))
+    plain = index.join(table, "vec_id").drop("vec_id")
+    a, b = ({(r["src"], r["dst"]): round(r["sim"], 9) for r in G.anchor_links(adj, nodes, v, K, 2, 0.1).collect()} for v in (plain, (index, table)))
+    assert a == b and set(a) == {(x, y) for x in (1, 3, 8) for y in (1, 3, 8) if x != y}
+
+
+def test_small_graphs_share_a_call_and_large_ones_are_sliced(spark):
+    """Groups cut by batches and by the bound on held rows; ranks in slices of edges equal those in one."""
+    import pandas as pd
+
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(30), rng.randrange(30), 1) for g in range(40) for _ in range(rng.randrange(1, 60))] + [(g, 1, -1, 0) for g in range(40)]
+    pdf = pd.DataFrame(sorted(rows), columns=["g", "src", "dst", "mult"])
+    run = lambda least, step, size: pd.concat(G._by_group(K, least, G._ppr_arrays(K, 0.15, 5, size))(iter([pdf.iloc[i : i + step] for i in range(0, len(pdf), step)]))).reset_index(drop=True)
+    want = pd.concat([G._ppr_arrays(K, 0.15, 5)(pd.DataFrame({"g": [g]}), *(p[c].to_numpy("int32") for c in ("zero", "src", "dst", "mult"))) for g, p in pdf.assign(zero=0).groupby("g")]).reset_index(drop=True)
+    for got in (run(1, 7, 1 << 22), run(100, 13, 3), run(1 << 20, 1 << 20, 50)):
+        assert got[["g", "node_id"]].values.tolist() == want[["g", "node_id"]].values.tolist() and got["ppr"].tolist() == pytest.approx(want["ppr"].tolist())
