@@ -125,3 +125,10 @@ def test_attention_equals_a_dense_pass(spark):
         h = np.maximum(h, 0) if k == 0 else h
     got = {(r.g, r.node_id): r.h for r in encoder.attend(*tables(spark, nodes, edges), ["g"], layers).collect()}
     assert set(got) == set(at) and all(got[k] == pytest.approx(h[i].tolist(), abs=1e-9) for k, i in at.items())
+
+
+def test_components_summed_in_one_row(spark):
+    """Vectors up to WIDE components and beyond give the same means; nulls count for nothing."""
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, None]), (2, [5.0, 6.0])], "k int, h array<double>")
+    narrow, wide = ({r.k: r.m for r in encoder.by_component(rows, ["k"], "h", w, "m", F.avg).collect()} for w in (2, encoder.WIDE + 1))
+    assert narrow == wide == {1: [2.0, 2.0], 2: [5.0, 6.0]}
