@@ -355,6 +355,20 @@ def test_spotsigs_classes_under_any_parameters(spark, hot, rare, share):
     assert {k: classes.get(d, k) for k, d in digests.items()} == union(pairs, sets)
 
 
+def test_spotsigs_short_hashes_refuse_no_linked_pair(spark):
+    """Pairs at and around the threshold, also of sets so large that hashes of 16 bits collide."""
+    rng = random.Random(4)
+    rows = []
+    for n, change in [(4, 0), (40, 5), (400, 57), (400, 90), (400, 300), (20_000, 2857), (20_000, 2858)]:
+        a = [rng.getrandbits(63) for _ in range(n)]
+        rows.append((a, a[change:] + [rng.getrandbits(63) for _ in range(change)]))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    may = spotsigs.may_reach(F.size("a"), F.size("b"), spotsigs.short_hashes(F.col("a")), spotsigs.short_hashes(F.col("b")), 0.75)
+    got = df.select((spotsigs.likeness(F.col("a"), F.col("b")) >= 0.75).alias("linked"), may.alias("may"), F.size("a").alias("n")).collect()
+    assert all(r["may"] for r in got if r["linked"]) and sum(r["linked"] for r in got) == 4
+    assert [r["may"] for r in got if r["n"] == 400] == [True, False, False]
+
+
 def test_spotsigs_next_splits_a_hot_key(spark):
     """A third of the rows under one key, and null keys, are dealt over several ranges in the order of key and tie."""
     rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i}", i) for i in range(600)]

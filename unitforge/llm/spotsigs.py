@@ -131,6 +131,20 @@ def _plausible(a: str, b: str, threshold: float, words: int = 4) -> Column:
     return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most * (1 + threshold) >= threshold * (n + m) - 1e-9)
 
 
+def short_hashes(signatures: Column) -> Column:
+    """The set's members hashed to 16 bits, each once: a quarter of its bytes."""
+    return F.array_distinct(F.transform(signatures, lambda x: (F.pmod(F.xxhash64(x), F.lit(1 << 16)) - (1 << 15)).cast("short")))
+
+
+def may_reach(n: Column, m: Column, h: Column, g: Column, threshold: float) -> Column:
+    """Can sets of n and m members with short hashes h and g reach the threshold? No pair that does is refused.
+
+    What two sets share has a hash that both hold; members beyond the first of a hash are at most those that each set lost to equal hashes.
+    """
+    most = F.size(F.array_intersect(h, g)) + F.least(n - F.size(h), m - F.size(g))
+    return most * (1 + threshold) >= threshold * (n + m) - 1e-9
+
+
 def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.75, hot: int = 50_000, rare: int = 50, share: int = 1024) -> DataFrame:
     """(digest, component_id): the near-duplicate class of every set that several rows hold or that is linked with another set.
 
@@ -174,11 +188,16 @@ def near_classes(df: DataFrame, key: str, signatures: str, threshold: float = 0.
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = scratch.keep(pairs.distinct(), f"{tag}-pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = scratch.keep(sets.select("node", "s").join(nodes, "node"), f"{tag}-sets")
+        asked = scratch.keep(sets.select("node", "n", "s").join(nodes, "node").withColumn("h", short_hashes(F.col("s"))), f"{tag}-sets")
+        # A pair's way to its second set carries the first one: short hashes for all pairs, full sets for those that may be linked.
+        a, b = (asked.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("h").alias(f"h_{c}")) for c in "ab")
+        close = pairs.join(a, "a").join(b, "b").where(may_reach(F.col("n_a"), F.col("n_b"), F.col("h_a"), F.col("h_b"), threshold))
+        close = scratch.keep(close.select("a", "b"), f"{tag}-close")
         a, b = (asked.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-        met = pairs.join(a, "a").join(b, "b")
+        met = close.join(a, "a").join(b, "b")
         out = scratch.keep(met.where(likeness(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"), tag)
         scratch.drop(pairs)
+        scratch.drop(close)
         scratch.drop(asked)
         return out
 
