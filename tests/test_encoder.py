@@ -134,3 +134,19 @@ def test_components_summed_in_one_row(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, None]), (2, [5.0, 6.0])], "k int, h array<double>")
     narrow, wide = ({r.k: r.m for r in encoder.by_component(rows, ["k"], "h", w, "m", F.avg).collect()} for w in (2, encoder.WIDE + 1))
     assert narrow == wide == {1: [2.0, 2.0], 2: [5.0, 6.0]}
+
+
+def _refuse(*_):
+    raise AssertionError("narrow products need no Python")
+
+
+def test_narrow_layers_run_as_columns(spark):
+    """Products with small matrices are column expressions, equal to those in Arrow batches."""
+    nodes, edges = tables(spark, *planted(np.random.default_rng(6)))
+    h = graph.propagate(nodes, edges, ["g"], width=8)
+    assert "MapInPandas" not in h._jdf.queryExecution().toString()
+    given = [[m.tolist() for m in graph._seeded(7, layer, n, 8)] for layer, n in ((0, 5), (1, 8))]
+    _, x, own = dense(*planted(np.random.default_rng(6)))
+    want = dense_forward(x, own, [[np.array(m) for m in pair] for pair in given])[2]
+    got = sorted(h.collect(), key=lambda r: (r.g, r.node_id))
+    assert np.array([r.h for r in got]) == pytest.approx(want)
