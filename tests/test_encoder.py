@@ -150,3 +150,13 @@ def test_narrow_layers_run_as_columns(spark):
     want = dense_forward(x, own, [[np.array(m) for m in pair] for pair in given])[2]
     got = sorted(h.collect(), key=lambda r: (r.g, r.node_id))
     assert np.array([r.h for r in got]) == pytest.approx(want)
+
+
+def test_narrow_attention_runs_as_columns(spark, monkeypatch):
+    """Without Python; edges to or from what is no node, whose rows no longer meet in a join at the target, are left out."""
+    rng = np.random.default_rng(7)
+    nodes, edges = planted(rng)
+    layers = [{"heads": [{"weight": rng.normal(size=(5, 3)).tolist(), "src": rng.normal(size=3).tolist(), "dst": rng.normal(size=3).tolist()} for _ in range(2)]}]
+    monkeypatch.setattr(encoder, "_mapped", _refuse)
+    clean, odd = ({(r.g, r.node_id): r.h for r in encoder.attend(*tables(spark, nodes, e), ["g"], layers).collect()} for e in (edges, [*edges, (0, 1, 99), (0, 99, 1), (2, 0, 1)]))
+    assert set(odd) == set(nodes) and all(odd[k] == pytest.approx(clean[k]) for k in clean)
