@@ -160,3 +160,15 @@ def test_narrow_attention_runs_as_columns(spark, monkeypatch):
     monkeypatch.setattr(encoder, "_mapped", _refuse)
     clean, odd = ({(r.g, r.node_id): r.h for r in encoder.attend(*tables(spark, nodes, e), ["g"], layers).collect()} for e in (edges, [*edges, (0, 1, 99), (0, 99, 1), (2, 0, 1)]))
     assert set(odd) == set(nodes) and all(odd[k] == pytest.approx(clean[k]) for k in clean)
+
+
+def test_narrow_gradients_run_as_columns(spark, monkeypatch):
+    """Losses and slopes of pairs are summed by node in one pass, without Python."""
+    nodes, edges = planted(np.random.default_rng(8))
+    at, x, own = dense(nodes, edges)
+    weights = encoder.first_weights(5, 4, 3, layers=1)
+    pairs = [(g, s, d, float((s + d) % 2)) for g, s, d in edges]
+    monkeypatch.setattr(encoder, "_mapped", _refuse)
+    loss, slopes = encoder.gradients(*tables(spark, nodes, edges), spark.createDataFrame(pairs, "g int, src int, dst int, y double"), ["g"], weights)
+    assert loss == pytest.approx(dense_loss(x, own, [(at[g, s], at[g, d], y) for g, s, d, y in pairs], weights))
+    assert [w.shape for w in slopes[0]] == [(5, 3), (5, 3)]
