@@ -380,6 +380,32 @@ def test_spotsigs_next_splits_a_hot_key(spark):
     assert out.columns == ["k", "t", "b", "next_t"]
 
 
+def test_spotsigs_next_with_columns_beside(spark):
+    """Columns for some keys and ties arrive as by a left join, with a hot key, null keys and repeated rows; next rows stay the same."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i}") for i in range(600)] + [(7, "t0")] * 2
+    df = spark.createDataFrame(rows, "k long, t string").repartition(7)
+    some = df.where("substring(t, -1) < '5'").select("k", F.xxhash64("t").alias("tie"), F.substring("t", 2, 9).alias("more"))
+    out = spotsigs.with_next(df, "k", ["t"], F.xxhash64("t"), rows_per_bucket=20, beside=some)
+    plain = spotsigs.with_next(df, "k", ["t"], F.xxhash64("t"), rows_per_bucket=20)
+    assert out.columns == ["k", "t", "more", "next_t"]
+    got = [tuple(r) for r in out.collect()]
+    want = [(r["k"], r["t"], r["t"][1:] if r["t"][-1] < "5" else None, r["next_t"]) for r in plain.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
+def test_spotsigs_rows_with_fingerprints_are_not_shuffled(spark, tmp_path):
+    """Whatever the number of classes, they reach the rows in the dealing that next documents need."""
+    spark.createDataFrame(corpus(), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = QUERIES["op5_spotsigs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert 0 < plan.index("Window") < plan.index("Exchange")
+
+
 @pytest.mark.parametrize("n", [240, 260, 1030])
 def test_spotsigs_next_in_ranges_of_any_number(spark, n):
     """The last group of bounds may be shorter than the others; keys below all bounds still belong to the last range."""

@@ -37,17 +37,19 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import spotsigs as S
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    classes = S.near_classes(S.add_signatures(docs, "text", "sigs"), "doc_id", "sigs")
-    docs = S.with_next(docs, "doc_id", ["text", "sigs"], F.xxhash64("text"), derive=lambda df: S.add_signatures(df, "text", "sigs"))
+    signed = S.add_signatures(docs, "text", "sigs")
+    classes = S.near_classes(signed, "doc_id", "sigs")
+    classes = signed.select("doc_id", F.xxhash64("text").alias("tie"), S.set_digest(F.col("sigs")).alias("digest")).join(classes, "digest").select("doc_id", "tie", "component_id")
+    docs = S.with_next(docs, "doc_id", ["text", "sigs"], F.xxhash64("text"), derive=lambda df: S.add_signatures(df, "text", "sigs"), beside=classes)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
+    docs = docs.select("doc_id", "component_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
     docs = S.add_signatures(docs, "edited", "edited_sigs")
     docs = docs.select(
-        "doc_id", "n_chars", "sigs", "edited_sigs", F.sha2("edited", 256).alias("edited_sha256"), S.set_digest(F.col("sigs")).alias("digest"),
+        "doc_id", "component_id", "n_chars", "sigs", "edited_sigs", F.sha2("edited", 256).alias("edited_sha256"),
         S.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), S.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
-    ).join(classes, "digest", "left")
+    )
     component = F.coalesce("component_id", "doc_id")
     return docs.select(
         "doc_id", "n_chars", "edited_sha256", S.as_text(F.col("sigs")).alias("fingerprint"), S.as_text(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next",

@@ -68,10 +68,12 @@ def _table(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_bucket: int = 500, most_buckets: int = 1 << 16, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_bucket: int = 500, most_buckets: int = 1 << 16, derive: Callable[[DataFrame], DataFrame] = lambda df: df, beside: DataFrame | None = None) -> DataFrame:
     """Append next_<column>: values of the row after this one by descending key; the last row's next is the first.
 
     derive adds columns to the rows where they have arrived, so that what it computes isn't shuffled; `columns` may name them.
+    beside: (key, tie, further columns) for some keys and ties, such as a join by these would add, null where there is none: its rows are dealt
+    into the same ranges, so that rows of df go one way and are not shuffled again with all that was derived. Of several alike the largest counts.
 
     Rows are dealt into key ranges by the key's quantiles, which grow in number with the table up to most_buckets; beyond, ranges get
     longer, and a range is sorted by a task that may spill. A key that fills several ranges (or the null key) has a range of its own,
@@ -97,7 +99,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per
     # Shares of the tie's 2**64 values, in their order.
     share = F.floor((F.col("_tie") / float(1 << 64) + 0.5) * F.get(_table(shares, "int"), F.col("_r")))
     share = F.greatest(F.lit(0), F.least(share, F.get(_table(shares, "int"), F.col("_r")) - 1))
-    df = df.withColumns({"_r": bucket, "_tie": tie}).withColumn("_bucket", (F.get(_table(starts, "int"), F.col("_r")) + share).cast("int")).drop("_r")
+    in_range = lambda rows, t: rows.withColumns({"_r": bucket, "_tie": t}).withColumn("_bucket", (F.get(_table(starts, "int"), F.col("_r")) + share).cast("int")).drop("_r")
+    df = in_range(df, tie)
     heads = {r["_bucket"]: r["h"] for r in df.groupBy("_bucket").agg(F.min(F.struct(-F.col(key), "_tie")).alias("h")).collect()}
     order = sorted(heads)
     goes_to = {b: order[i - 1] for i, b in enumerate(order)}
@@ -106,8 +109,16 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per
     own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("extra"))
     places = F.when(first, F.array(own, F.struct(at(lambda b: goes_to[b], "int").alias("b"), F.lit(1).alias("extra")))).otherwise(F.array(own))
     dealt = df.withColumn("_place", F.explode(places)).drop("_bucket").withColumns({"_range": F.col("_place.b"), "_extra": F.col("_place.extra")}).drop("_place")
+    if beside is None:
+        dealt = dealt.repartition("_range")
+    else:
+        added = [c for c in beside.columns if c not in (key, "tie")]
+        rows = in_range(beside, F.col("tie")).select(key, "_tie", *added, F.col("_bucket").alias("_range"), F.lit(0).alias("_extra"), F.lit(True).alias("_beside"))
+        dealt = dealt.withColumn("_beside", F.lit(False)).unionByName(rows, allowMissingColumns=True).repartition("_range")
+        alike = Window.partitionBy("_range", "_extra", key, "_tie")
+        dealt = dealt.withColumns({c: F.max(c).over(alike) for c in added}).where(~F.col("_beside")).drop("_beside")
     w = Window.partitionBy("_range").orderBy("_extra", F.col(key).desc_nulls_last(), "_tie")
-    out = derive(dealt.repartition("_range")).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    out = derive(dealt).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return out.where("_extra = 0").drop("_range", "_extra", "_tie")
 
 
