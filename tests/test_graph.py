@@ -227,3 +227,29 @@ def test_ranks_of_a_large_graph_hold_its_links_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert abs(total - 1) < 1e-9 and peak < 32 * n
+
+
+def test_marked_edges_give_the_same_hops_and_links(spark):
+    """Edges with their ends' marks: the same pairs, hops and links as by joins; loops, both directions, isolated and several sources."""
+    rng = random.Random(8)
+    methods = spark.createDataFrame([(g, f"m{i}", i) for g in (1, 2) for i in range(30)], "g int, sig string, ord int")
+    pairs = {(g, f"m{rng.randrange(30)}", rng.choice([f"m{rng.randrange(30)}", f"api{rng.randrange(12)}"])) for g in (1, 2) for _ in range(70)} | {(1, "m3", "m3"), (1, "m4", "m5"), (1, "m5", "m4")}
+    calls = spark.createDataFrame(sorted(pairs), "g int, caller string, callee string")
+    perms = spark.createDataFrame([(f"api{i}", ["P"]) for i in range(7)], "api_sig string, perms array<string>")
+    nodes = G.build_nodes(methods, calls, perms, K)
+    plain, marked = G.build_edges(nodes, calls, K), G.build_edges(nodes, calls, K, mark="is_sensitive").localCheckpoint()
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    columns = ["g", "src", "dst", "is_fwd"]
+    assert rows(marked, *columns) == rows(plain, *columns)
+    kind = {(r["g"], r["node_id"]): r["is_sensitive"] for r in nodes.collect()}
+    assert all((r["src_is_sensitive"], r["dst_is_sensitive"]) == (kind[r["g"], r["src"]], kind[r["g"], r["dst"]]) for r in marked.collect())
+    for loops in (True, False):
+        one = G.build_edges(nodes, calls, K, reverse=False, self_loops=loops, mark="is_sensitive")
+        assert rows(one, *columns) == rows(G.build_edges(nodes, calls, K, reverse=False, self_loops=loops), *columns)
+    adj, bare = G.adjacency(marked, K, mirrored=True), G.adjacency(plain, K, mirrored=True)
+    sens = nodes.where("is_sensitive = 1").select("g", "node_id")
+    for k in (1, 2, 3):
+        assert rows(G.khop(adj, sens, k, K, mark="is_sensitive"), "g", "node_id", "dist") == rows(G.khop(bare, sens, k, K), "g", "node_id", "dist")
+    h = nodes.select("g", "node_id", F.array(1.0 + F.col("node_id") % 3, F.lit(-1.5)).alias("h"))
+    want = rows(G.anchor_links(bare, nodes, h, K, 3, 0.3), "g", "src", "dst", "sim")
+    assert want and rows(G.anchor_links(adj, nodes, h.join(sens, ["g", "node_id"], "left_semi"), K, 3, 0.3), "g", "src", "dst", "sim") == want
