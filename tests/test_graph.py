@@ -253,3 +253,12 @@ def test_marked_edges_give_the_same_hops_and_links(spark):
     h = nodes.select("g", "node_id", F.array(1.0 + F.col("node_id") % 3, F.lit(-1.5)).alias("h"))
     want = rows(G.anchor_links(bare, nodes, h, K, 3, 0.3), "g", "src", "dst", "sim")
     assert want and rows(G.anchor_links(adj, nodes, h.join(sens, ["g", "node_id"], "left_semi"), K, 3, 0.3), "g", "src", "dst", "sim") == want
+
+
+def test_compact_of_a_graphs_edges(spark):
+    """A whole graph's edges give what the edges inside of its units give; a node may stand in several units, rows may repeat."""
+    members = spark.createDataFrame([(1, u, n, f"s{n}") for u, n in [(0, 7), (0, 2), (0, 5), (1, 5), (1, 2), (1, 9)]] * 2, "g int, unit_id int, node_id int, sig string")
+    edges = spark.createDataFrame([(1, 7, 2), (1, 2, 5), (1, 2, 5), (1, 5, 9), (1, 7, 9), (1, 2, 2)], "g int, src int, dst int")
+    got = sorted(tuple(r) for r in G.compact(members, edges, K)[1].collect())
+    inside = G.unit_edges(edges, members, K, ["unit_id"])
+    assert got == [(1, 0, 0, 1), (1, 0, 2, 0), (1, 1, 0, 1), (1, 1, 1, 2)] == sorted(tuple(r) for r in G.compact(members, inside, K)[1].collect())
