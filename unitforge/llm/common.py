@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_dir
+from ..operators.lineage import shared_dir, written
 
 
 class Scratch:
@@ -27,14 +27,8 @@ class Scratch:
 
         The shuffle files of that job go when it ends: what comes after reads the table.
         """
-        path, conf, name = self.path(tag), self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = conf.get(name, "false")
-        conf.set(name, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(name, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        path = self.path(tag)
+        out = written(df, path)
         out._scratch_path = path
         return out
 
